@@ -1,0 +1,247 @@
+"""Registered queries: every operator run over the whole test tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from platter.operators import ranking
+from platter.plans import catalogue, marts, quality, staging
+from platter.plans.warehouse import Warehouse
+from platter.session import prepare, scratch_path
+from platter.sources import sample, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def present(df: DataFrame) -> DataFrame:
+    """Types both engines print the same way: DECIMAL as DOUBLE, TIMESTAMP without zone."""
+    shown = []
+    for f in df.schema.fields:
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DecimalType):
+            col = col.cast("double")
+        elif isinstance(f.dataType, T.TimestampType):
+            col = col.cast("timestamp_ntz")
+        shown.append(col.alias(f.name))
+    return df.select(*shown)
+
+
+def query(name: str):
+    def register(build: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return present(build(spark, sf_dir))
+
+        run.__name__ = name
+        QUERIES[name] = run
+        return build
+
+    return register
+
+
+def house(spark: SparkSession, sf_dir: str) -> Warehouse:
+    return Warehouse(spark, sample.Landing(spark, sf_dir), lambda: sample.review_enriched(spark, sf_dir))
+
+
+# ------------------------------------------------------------- warehouse tables
+def _register_tables() -> None:
+    names = (
+        "stg_users", "stg_food", "stg_menu", "stg_orders", "stg_order_items", "stg_restaurant", "dim_customer",
+        "dim_food", "dim_restaurant", "fct_orders", "fact_order_items", "mart_daily_city_revenue",
+        "mart_delivery_sla", "mart_restaurant_performance", "mart_food_performance", "mart_customer_performance",
+        "mart_cuisine_performance", "mart_payment_performance", "mart_review_insights",
+    )
+    for name in names:
+        query(name)(lambda spark, sf_dir, name=name: getattr(house(spark, sf_dir), name))
+
+
+_register_tables()
+
+
+@query("stg_reviews")
+def _stg_reviews(spark, sf_dir):
+    return house(spark, sf_dir).stg_reviews
+
+
+@query("dim_date")
+def _dim_date(spark, sf_dir):
+    return marts.dim_date_covering(house(spark, sf_dir).fct_orders, "order_date")
+
+
+@query("mart_delivery_sla_sketch")
+def _sla_sketch(spark, sf_dir):
+    return marts.mart_delivery_sla(house(spark, sf_dir).fct_orders, exact=False)
+
+
+@query("usable_reviews")
+def _usable(spark, sf_dir):
+    return staging.usable_reviews(house(spark, sf_dir).raw["reviews"]).select("review_id", "rating", "comment")
+
+
+@query("multi_distinct")
+def _multi_distinct(spark, sf_dir):
+    return marts.multi_distinct(house(spark, sf_dir).fct_orders)
+
+
+@query("customer_latest_city")
+def _customer_city(spark, sf_dir):
+    return marts.customer_latest_city(house(spark, sf_dir).fct_orders)
+
+
+@query("kpi_overall")
+def _kpi(spark, sf_dir):
+    return marts.kpi_overall(house(spark, sf_dir).fct_orders)
+
+
+@query("table_row_counts")
+def _row_counts(spark, sf_dir):
+    return tables.row_counts(house(spark, sf_dir).raw)
+
+
+@query("latest_enrichment")
+def _latest(spark, sf_dir):
+    return ranking.latest_enrichment(sample.review_enriched(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------- quality
+@query("dq_unique")
+def _dq_unique(spark, sf_dir):
+    items = house(spark, sf_dir).stg_order_items
+    return quality.unique_failures(items, "order_id").select("value", "copies")
+
+
+@query("dq_not_null")
+def _dq_not_null(spark, sf_dir):
+    return quality.not_null_failures(house(spark, sf_dir).fct_orders, "restaurant_id").select("order_id", "restaurant_id")
+
+
+@query("dq_relationships")
+def _dq_relationships(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    return quality.relationship_failures(wh.stg_order_items, "order_id", wh.stg_orders, "order_id")
+
+
+@query("dq_accepted_values")
+def _dq_accepted(spark, sf_dir):
+    return quality.accepted_value_failures(house(spark, sf_dir).fct_orders, "order_status", ("Delivered", "Cancelled"))
+
+
+@query("dq_order_fact")
+def _dq_order_fact(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    return quality.order_fact_violations(wh.fct_orders, wh.dim_customer)
+
+
+@query("id_set_diff")
+def _id_set_diff(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    reviews = wh.raw["reviews"].select(F.col("review_id").cast("string").alias("review_id"))
+    return quality.id_set_diff(reviews, wh.review_enriched, "review_id")
+
+
+# -------------------------------------------------------------------- catalogue
+@query("cities_by_gmv")
+def _c1(spark, sf_dir):
+    return catalogue.cities_by_gmv(house(spark, sf_dir).mart_daily_city_revenue)
+
+
+@query("cuisines_by_orders")
+def _c2(spark, sf_dir):
+    return catalogue.cuisines_by_orders(house(spark, sf_dir).mart_cuisine_performance)
+
+
+@query("restaurants_by_revenue")
+def _c3a(spark, sf_dir):
+    return catalogue.restaurants_by(house(spark, sf_dir).mart_restaurant_performance, "revenue")
+
+
+@query("restaurants_by_orders")
+def _c3b(spark, sf_dir):
+    return catalogue.restaurants_by(house(spark, sf_dir).mart_restaurant_performance, "orders")
+
+
+@query("restaurants_by_rating")
+def _c3c(spark, sf_dir):
+    return catalogue.restaurants_by(house(spark, sf_dir).mart_restaurant_performance, "rating")
+
+
+@query("best_restaurant_per_city")
+def _c4(spark, sf_dir):
+    return catalogue.best_restaurant_per_city(house(spark, sf_dir).mart_restaurant_performance)
+
+
+@query("delivery_time_by_city")
+def _c5(spark, sf_dir):
+    return catalogue.delivery_time_by_city(house(spark, sf_dir).fct_orders)
+
+
+@query("fastest_cities")
+def _c5b(spark, sf_dir):
+    return catalogue.fastest_cities(house(spark, sf_dir).fct_orders)
+
+
+@query("cities_by_cancellation")
+def _c6(spark, sf_dir):
+    return catalogue.cities_by_cancellation(house(spark, sf_dir).fct_orders)
+
+
+@query("negative_topics")
+def _c7a(spark, sf_dir):
+    return catalogue.negative_topics(ranking.latest_enrichment(sample.review_enriched(spark, sf_dir)))
+
+
+@query("common_complaints")
+def _c7b(spark, sf_dir):
+    return catalogue.common_complaints(ranking.latest_enrichment(sample.review_enriched(spark, sf_dir)))
+
+
+@query("sentiment_summary")
+def _c8(spark, sf_dir):
+    return catalogue.sentiment_summary(ranking.latest_enrichment(sample.review_enriched(spark, sf_dir)))
+
+
+@query("highest_spending_customers")
+def _c9(spark, sf_dir):
+    return catalogue.highest_spending_customers(house(spark, sf_dir).mart_customer_performance)
+
+
+@query("payment_methods_by_orders")
+def _c11(spark, sf_dir):
+    return catalogue.payment_methods_by_orders(house(spark, sf_dir).mart_payment_performance)
+
+
+@query("reviews_with_enrichment")
+def _c12(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    return catalogue.reviews_with_enrichment(wh.raw["reviews"], ranking.latest_enrichment(wh.review_enriched))
+
+
+@query("top_restaurant_reviews")
+def _h1(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    found = catalogue.reviews_of_top_restaurant(wh.mart_restaurant_performance, wh.raw["reviews"], "revenue")
+    return found.select("restaurant_name", "review_id", "rating", "comment")
+
+
+@query("top_city_topics")
+def _h2(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    return catalogue.topics_in_city(catalogue.cities_by_gmv(wh.mart_daily_city_revenue, 1), wh.mart_review_insights)
+
+
+@query("slowest_city_topics")
+def _h2b(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    slowest = catalogue.top(catalogue.delivery_time_by_city(wh.fct_orders), "avg_delivery_min", ["city"], 1)
+    return catalogue.topics_in_city(slowest, wh.mart_review_insights)
+
+
+@query("best_cuisine_reviews")
+def _h3(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    return catalogue.reviews_of_best_cuisine(wh.mart_cuisine_performance, wh.fct_orders, wh.raw["reviews"])
