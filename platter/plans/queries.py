@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platter.operators import ranking
-from platter.plans import catalogue, marts, quality, staging
-from platter.plans.warehouse import Warehouse
-from platter.session import prepare, scratch_path
+from platter.functions import text as X
+from platter.functions import vector as V
+from platter.operators import batching, dedupe, ranking, vector_search
+from platter.plans import catalogue, enrichment, evaluation, index, marts, quality, retrieval, staging
+from platter.plans.warehouse import Warehouse, build_all
+from platter.session import prepare, scratch_path, settle
 from platter.sources import sample, tables
+from platter.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -245,3 +248,592 @@ def _h2b(spark, sf_dir):
 def _h3(spark, sf_dir):
     wh = house(spark, sf_dir)
     return catalogue.reviews_of_best_cuisine(wh.mart_cuisine_performance, wh.fct_orders, wh.raw["reviews"])
+
+
+# ------------------------------------------------------------- loads and copies
+@query("load_csv_roundtrip")
+def _load_csv(spark, sf_dir):
+    orders = house(spark, sf_dir).raw["orders"]
+    csv, out = scratch_path(spark, "orders-csv"), scratch_path(spark, "orders")
+    tables.write_csv(orders, csv)
+    return tables.load_csv(spark, csv, out, orders.schema)
+
+
+@query("load_csv_texts")
+def _load_csv_texts(spark, sf_dir):
+    """Texts with quotes and line breaks survive the load."""
+    reviews = house(spark, sf_dir).raw["reviews"].select("review_id", "rating", "comment")
+    csv, out = scratch_path(spark, "reviews-csv"), scratch_path(spark, "reviews")
+    tables.write_csv(reviews, csv)
+    return tables.load_csv(spark, csv, out, reviews.schema, multi_line=True)
+
+
+@query("load_menu_coerced")
+def _load_menu(spark, sf_dir):
+    """Two runs over the same directory; the second finds nothing new."""
+    menu = house(spark, sf_dir).raw["menu"]
+    csv, out, checkpoint = (scratch_path(spark, n) for n in ("menu-csv", "menu", "menu-checkpoint"))
+    tables.write_csv(menu, csv)
+    tables.append_csv_once(spark, csv, out, checkpoint, menu.schema)
+    return tables.append_csv_once(spark, csv, out, checkpoint, menu.schema)
+
+
+@query("bronze_copy")
+def _bronze_copy(spark, sf_dir):
+    """Every landing table copied, then counted from the copies."""
+    copies = {}
+    for name, df in house(spark, sf_dir).raw.items():
+        path = scratch_path(spark, f"raw-{name}")
+        tables.replace_table(df, path)
+        copies[name] = spark.read.parquet(path)
+    return tables.row_counts(copies)
+
+
+@query("build_all")
+def _build_all(spark, sf_dir):
+    """The whole warehouse build; row counts of everything written."""
+    return build_all(house(spark, sf_dir), scratch_path(spark, "warehouse"))
+
+
+@query("lookup_by_ids")
+def _lookup(spark, sf_dir):
+    """Reviews whose id, as a string, occurs in the enrichment table."""
+    wh = house(spark, sf_dir)
+    found = tables.lookup_by_ids(wh.raw["reviews"], "review_id", wh.review_enriched.select("review_id"))
+    return found.select("review_id", "rating", "review_date")
+
+
+@query("review_dates")
+def _review_dates(spark, sf_dir):
+    """Dates as text, some of them broken, parsed leniently."""
+    key = F.col("review_id")
+    text = (
+        F.when(key % 11 == 0, F.lit("not a date"))
+        .when(key % 13 == 0, F.lit("2024-02-30"))
+        .otherwise(F.date_format("review_date", "yyyy-MM-dd"))
+    )
+    reviews = house(spark, sf_dir).raw["reviews"].select("review_id", text.alias("review_date"))
+    return tables.parse_review_dates(reviews)
+
+
+@query("embedding_batch_scan")
+def _batch_scan(spark, sf_dir):
+    """Batches written in files of bounded size, read back without their vectors."""
+    path = scratch_path(spark, "batches")
+    reviews = house(spark, sf_dir).raw["reviews"].select("review_id", "rating", "comment", "review_date")
+    tables.write_embedding_batches(reviews.join(sample.review_embeddings(spark, sf_dir), "review_id"), path, 100)
+    return tables.embedding_batch_scan(tables.read_embedding_batches(spark, path))
+
+
+# -------------------------------------------------------------- ordering, batches
+@query("first_n_reviews")
+def _first_n(spark, sf_dir):
+    return batching.first_n(staging.usable_reviews(house(spark, sf_dir).raw["reviews"]), 100, as_text=True).select(
+        F.col("review_id").cast("string").alias("review_id"), "rating", "comment"
+    )
+
+
+@query("keyset_page")
+def _keyset(spark, sf_dir):
+    """The third page of 50 usable reviews, found by the last id of the page before."""
+    usable = staging.usable_reviews(house(spark, sf_dir).raw["reviews"]).select("review_id", "rating", "comment")
+    last = None
+    for _ in range(2):
+        last = batching.keyset_page(usable.select("review_id"), "review_id", last, 50).agg(F.max("review_id")).first()[0]
+    return batching.keyset_page(usable, "review_id", last, 50)
+
+
+@query("stratified_sample")
+def _stratified(spark, sf_dir):
+    usable = staging.usable_reviews(house(spark, sf_dir).raw["reviews"])
+    return batching.stratified_sample(usable, seed=7).select("stratum", "review_id", "rating", "comment")
+
+
+@query("shard_reviews")
+def _shards(spark, sf_dir):
+    usable = staging.usable_reviews(house(spark, sf_dir).raw["reviews"])
+    return batching.with_worker(usable, "review_id", 4).groupBy("worker").agg(
+        F.count(F.lit(1)).alias("reviews"), F.min("review_id").alias("first_id"), F.max("review_id").alias("last_id")
+    )
+
+
+@query("batch_reviews")
+def _batches(spark, sf_dir):
+    usable = staging.usable_reviews(house(spark, sf_dir).raw["reviews"]).select("review_id", "rating", "comment")
+    batches = batching.request_payloads(batching.with_batch(usable, "review_id", 15, workers=3))
+    parsed = F.from_json("payload", "array<struct<review_id:bigint,rating:bigint,comment:string>>")
+    return batches.select(
+        "worker",
+        "batch_no",
+        "reviews",
+        F.array_join(F.transform("review_ids", lambda i: i.cast("string")), ",").alias("review_ids"),
+        F.aggregate(parsed, F.lit(0).cast("bigint"), lambda n, i: n + F.length(i["comment"])).alias("characters"),
+    )
+
+
+# --------------------------------------------------------------------- enrichment
+def _parsed(spark, sf_dir):
+    return enrichment.response_parse(sample.model_responses(spark, sf_dir))
+
+
+def _validated(spark, sf_dir):
+    return enrichment.response_validate(_parsed(spark, sf_dir), sample.request_batches(spark, sf_dir))
+
+
+@query("unprocessed_reviews")
+def _unprocessed(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    return enrichment.unprocessed_reviews(wh.raw["reviews"], wh.review_enriched)
+
+
+@query("enrich_coverage")
+def _coverage(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    return enrichment.enrich_coverage(staging.usable_reviews(wh.raw["reviews"]), wh.review_enriched)
+
+
+@query("response_parse")
+def _response_parse(spark, sf_dir):
+    return enrichment.response_items(_parsed(spark, sf_dir)).drop("seconds", "priority")
+
+
+@query("response_validate")
+def _response_validate(spark, sf_dir):
+    return _validated(spark, sf_dir).drop("raw", "items", "seconds")
+
+
+@query("response_scorecard")
+def _scorecard(spark, sf_dir):
+    responses = sample.model_responses(spark, sf_dir).drop("seconds")
+    return enrichment.response_scorecard(responses, sample.request_batches(spark, sf_dir))
+
+
+@query("first_valid_model")
+def _first_valid(spark, sf_dir):
+    return enrichment.first_valid_model(_validated(spark, sf_dir)).select("batch_id", "model", "priority")
+
+
+@query("attempts_used")
+def _attempts(spark, sf_dir):
+    return enrichment.attempts_used(_validated(spark, sf_dir))
+
+
+@query("model_run_stats")
+def _run_stats(spark, sf_dir):
+    return enrichment.model_run_stats(_validated(spark, sf_dir))
+
+
+@query("response_time_summary")
+def _times(spark, sf_dir):
+    return enrichment.response_time_summary(sample.model_responses(spark, sf_dir))
+
+
+def _comparison(spark, sf_dir):
+    items = enrichment.response_items(_validated(spark, sf_dir).filter("valid").select("batch_id", "model", "items"))
+    return enrichment.model_compare(
+        items.filter(F.col("model") == sample.MODELS[0]), items.filter(F.col("model") == sample.MODELS[3])
+    )
+
+
+@query("model_compare")
+def _model_compare(spark, sf_dir):
+    return _comparison(spark, sf_dir)
+
+
+@query("model_agreement")
+def _agreement(spark, sf_dir):
+    return enrichment.model_agreement(_comparison(spark, sf_dir))
+
+
+def _clean_rows(spark, sf_dir):
+    accepted = enrichment.first_valid_model(_validated(spark, sf_dir)).select("batch_id", "model", "items")
+    return enrichment.enrich_clean(
+        enrichment.response_items(accepted), F.col("model"), F.lit("2024-07-01 00:00:00")
+    )
+
+
+@query("enrich_clean")
+def _enrich_clean(spark, sf_dir):
+    return _clean_rows(spark, sf_dir)
+
+
+@query("enrich_append")
+def _enrich_append(spark, sf_dir):
+    """Valid answers appended to the stored enrichment, twice; the second time adds nothing."""
+    path = scratch_path(spark, "enriched")
+    stored = sample.review_enriched(spark, sf_dir)
+    tables.replace_table(stored, path)
+    for _ in range(2):
+        target = spark.read.schema(stored.schema).parquet(path)
+        tables.append_table(enrichment.not_yet_written(_clean_rows(spark, sf_dir), target), path)
+    return spark.read.schema(stored.schema).parquet(path)
+
+
+# ------------------------------------------------------------- questions and routes
+@query("query_intents")
+def _intents(spark, sf_dir):
+    return retrieval.query_intents(sample.question_log(spark, sf_dir)).drop("question")
+
+
+@query("question_category")
+def _category(spark, sf_dir):
+    return evaluation.question_category(sample.full_question_log(spark, sf_dir)).drop("question")
+
+
+@query("domain_flag")
+def _domain(spark, sf_dir):
+    return evaluation.domain_flag(sample.full_question_log(spark, sf_dir)).drop("question")
+
+
+@query("sql_audit")
+def _sql_audit(spark, sf_dir):
+    return evaluation.sql_audit(sample.sql_log(spark, sf_dir))
+
+
+@query("route_validate")
+def _route_validate(spark, sf_dir):
+    return evaluation.route_validate(sample.route_responses(spark, sf_dir))
+
+
+@query("route_confusion")
+def _route_confusion(spark, sf_dir):
+    return evaluation.route_confusion(sample.route_cases(spark, sf_dir))
+
+
+@query("route_accuracy")
+def _route_accuracy(spark, sf_dir):
+    return evaluation.route_accuracy(sample.route_cases(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- text operators
+def _featured(spark, sf_dir):
+    reviews = house(spark, sf_dir).raw["reviews"].select("review_id", "comment")
+    return dedupe.with_text_features(reviews)
+
+
+@query("normalize_text")
+def _normalize(spark, sf_dir):
+    return _featured(spark, sf_dir).select("review_id", "normalized", F.size("tokens").alias("token_count"))
+
+
+@query("token_jaccard")
+def _jaccard(spark, sf_dir):
+    """Similarity of every review to the one before it."""
+    rows = _featured(spark, sf_dir).select("review_id", "tokens")
+    before = rows.select((F.col("review_id") + 1).alias("review_id"), F.col("tokens").alias("before"))
+    return rows.join(before, "review_id").select(
+        "review_id", X.jaccard(F.col("tokens"), F.col("before")).alias("similarity")
+    )
+
+
+@query("term_match")
+def _term_match(spark, sf_dir):
+    return _featured(spark, sf_dir).select(
+        "review_id", *[X.matches_terms(F.col("tokens"), terms).alias(name) for name, terms in X.TERM_FAMILIES.items()]
+    )
+
+
+@query("review_pattern")
+def _pattern(spark, sf_dir):
+    return _featured(spark, sf_dir).select("review_id", "pattern")
+
+
+@query("pattern_distribution")
+def _distribution(spark, sf_dir):
+    return retrieval.pattern_distribution(house(spark, sf_dir).raw["reviews"].select("review_id", "comment"))
+
+
+@query("duplicate_comment_stats")
+def _duplicates(spark, sf_dir):
+    return retrieval.duplicate_comment_stats(house(spark, sf_dir).raw["reviews"])
+
+
+# -------------------------------------------------------------- embedding table
+DIMENSION = 64
+
+
+def _with_broken(spark, sf_dir):
+    """The vectors, some replaced by each kind of broken one."""
+    vector, key = F.col("embedding"), F.col("review_id")
+    return sample.review_embeddings(spark, sf_dir).withColumn(
+        "embedding",
+        F.when(key % 50 == 1, F.lit(None))
+        .when(key % 50 == 2, F.slice(vector, 1, 10))
+        .when(key % 50 == 3, F.transform(vector, lambda x: F.lit(float("nan")).cast("float")))
+        .when(key % 50 == 4, F.transform(vector, lambda x: F.lit(0.0).cast("float")))
+        .otherwise(vector),
+    )
+
+
+def _embedding_batches(spark, sf_dir):
+    """All vectors as batch 0 and those of one label again, reversed, as batch 1."""
+    rows = sample.table(spark, sf_dir, "embeddings")
+    first = rows.select(F.col("vec_id").alias("review_id"), "embedding", F.lit(0).alias("batch"))
+    again = rows.filter("label = 0").select(
+        F.col("vec_id").alias("review_id"), F.reverse("embedding").alias("embedding"), F.lit(1).alias("batch")
+    )
+    return first.unionByName(again)
+
+
+def _vector_digest(df: DataFrame, *keys: str) -> DataFrame:
+    """Numbers that identify a vector: size, ends, sum and length."""
+    vector = F.transform("embedding", lambda x: x.cast("double"))
+    total = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x)
+    return df.select(
+        *keys,
+        F.size("embedding").alias("dimension"),
+        F.round(F.element_at(vector, 1), 6).alias("first_value"),
+        F.round(F.element_at(vector, -1), 6).alias("last_value"),
+        F.round(total, 6).alias("total"),
+        F.round(V.norm(F.col("embedding")), 6).alias("length"),
+    )
+
+
+@query("embedding_quality")
+def _embedding_quality(spark, sf_dir):
+    return index.embedding_quality(_with_broken(spark, sf_dir), DIMENSION)
+
+
+@query("embedding_quarantine")
+def _quarantine(spark, sf_dir):
+    _, bad = index.split_embeddings(_with_broken(spark, sf_dir), DIMENSION)
+    return bad.select("review_id", F.array_join("problems", "|").alias("problems"))
+
+
+@query("embedding_normalize")
+def _embedding_normalize(spark, sf_dir):
+    doubled = sample.review_embeddings(spark, sf_dir).withColumn(
+        "embedding", F.transform("embedding", lambda x: x * F.lit(3.0))
+    )
+    return _vector_digest(index.embedding_normalize(doubled), "review_id")
+
+
+@query("index_dedupe")
+def _index_dedupe(spark, sf_dir):
+    return _vector_digest(index.index_dedupe(_embedding_batches(spark, sf_dir), ["batch"]), "review_id", "batch")
+
+
+@query("index_metadata")
+def _index_metadata(spark, sf_dir):
+    path = scratch_path(spark, "index")
+    return index.build_index(spark, _embedding_batches(spark, sf_dir), ["batch"], DIMENSION, path)
+
+
+@query("index_validation")
+def _index_validation(spark, sf_dir):
+    path = scratch_path(spark, "index")
+    vectors = sample.review_embeddings(spark, sf_dir)
+    tables.replace_table(index.embedding_normalize(vectors), path)
+    return index.index_validation(spark.read.parquet(path), vectors.count(), DIMENSION)
+
+
+@query("vector_upsert")
+def _upsert(spark, sf_dir):
+    batches = _embedding_batches(spark, sf_dir).withColumnRenamed("batch", "version")
+    current, incoming = batches.filter("version = 0"), batches.filter("version = 1")
+    once = index.vector_upsert(current, incoming)
+    return _vector_digest(index.vector_upsert(once, incoming), "review_id", "version")
+
+
+@query("ingest_violations")
+def _violations(spark, sf_dir):
+    reviews = house(spark, sf_dir).raw["reviews"].select(
+        F.floor(F.col("review_id") / 100).alias("batch"), "review_id", "comment"
+    )
+    broken = reviews.filter("batch = 1").select(
+        "batch", F.when(F.col("review_id") % 3 != 0, F.col("review_id")).alias("review_id"), "comment"
+    )
+    return index.ingest_violations(reviews.unionByName(broken))
+
+
+@query("index_coverage")
+def _index_coverage(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    usable = staging.usable_reviews(wh.raw["reviews"])
+    return index.index_coverage(usable, sample.review_embeddings(spark, sf_dir), wh.review_enriched)
+
+
+# ------------------------------------------------------------------------ retrieval
+# One query vector per label; the labels of the given vectors are ten classes.
+MAX_QUERIES = 10
+WIDEST = dedupe.LEVELS[-1]
+MAX_CANDIDATES = MAX_QUERIES * WIDEST
+
+
+def _ranked(spark, sf_dir, k=WIDEST):
+    return vector_search.vector_topk(
+        sample.query_embeddings(spark, sf_dir), sample.review_embeddings(spark, sf_dir), k
+    )
+
+
+def _relevant(spark, sf_dir):
+    return settle(retrieval.adaptive_threshold(_ranked(spark, sf_dir)))
+
+
+def _hydrated(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    return retrieval.hydrate_candidates(
+        _relevant(spark, sf_dir), wh.raw["reviews"], wh.review_enriched, MAX_CANDIDATES
+    )
+
+
+def _pool(spark, sf_dir):
+    """The selection's input, written once because selection and hydration both read it."""
+    wh = house(spark, sf_dir)
+    corpus = sample.review_embeddings(spark, sf_dir)
+    pool = retrieval.evidence_pool(
+        sample.questions(spark, sf_dir), sample.query_embeddings(spark, sf_dir), corpus, wh.raw["reviews"],
+        wh.review_enriched, MAX_QUERIES,
+    )
+    return settle(retrieval.with_vectors(pool, corpus, MAX_CANDIDATES))
+
+
+@query("vector_topk")
+def _vector_topk(spark, sf_dir):
+    return _ranked(spark, sf_dir, 5)
+
+
+@query("vector_topk_lsh")
+def _vector_topk_lsh(spark, sf_dir):
+    return vector_search.vector_topk_lsh(
+        sample.query_embeddings(spark, sf_dir), sample.review_embeddings(spark, sf_dir), 5
+    )
+
+
+@query("adaptive_threshold")
+def _adaptive(spark, sf_dir):
+    return retrieval.adaptive_threshold(_ranked(spark, sf_dir))
+
+
+@query("hydrate_candidates")
+def _hydrate(spark, sf_dir):
+    return _hydrated(spark, sf_dir).drop("threshold")
+
+
+@query("hydrate_left_ranked")
+def _hydrate_left(spark, sf_dir):
+    ranked = settle(_ranked(spark, sf_dir, 20))
+    return retrieval.hydrate_left_ranked(ranked, house(spark, sf_dir).raw["reviews"], MAX_QUERIES * 20)
+
+
+@query("retrieval_diagnostics")
+def _diagnostics(spark, sf_dir):
+    return retrieval.retrieval_diagnostics(_hydrate_left(spark, sf_dir))
+
+
+@query("evidence_validity")
+def _validity(spark, sf_dir):
+    return retrieval.evidence_validity(_hydrate_left(spark, sf_dir))
+
+
+@query("intent_rating_filter")
+def _rating_filter(spark, sf_dir):
+    intents = retrieval.query_intents(sample.questions(spark, sf_dir))
+    return retrieval.intent_rating_filter(_hydrated(spark, sf_dir), intents).select("query_id", "review_id", "rating")
+
+
+@query("intent_term_filter")
+def _term_filter(spark, sf_dir):
+    intents = retrieval.query_intents(sample.questions(spark, sf_dir))
+    featured = dedupe.with_text_features(_hydrated(spark, sf_dir))
+    return retrieval.intent_term_filter(featured, intents).select("query_id", "review_id", "pattern")
+
+
+@query("exact_dedupe")
+def _exact(spark, sf_dir):
+    featured = dedupe.with_text_features(_hydrated(spark, sf_dir))
+    return dedupe.exact_dedupe(featured).select("query_id", "review_id", "score")
+
+
+@query("near_dedupe")
+def _near(spark, sf_dir):
+    return dedupe.near_dedupe(dedupe.exact_dedupe(dedupe.with_text_features(_hydrated(spark, sf_dir))))
+
+
+@query("diverse_select")
+def _diverse(spark, sf_dir):
+    return dedupe.diverse_select(_pool(spark, sf_dir))
+
+
+@query("progressive_retrieve")
+def _progressive(spark, sf_dir):
+    stages = dedupe.progressive_select(_pool(spark, sf_dir))
+    return stages.select(
+        "query_id", "level", "stopped_early", "distinct_texts", "near_duplicates_removed",
+        F.array_join(F.transform("selected", lambda r: r.cast("string")), ",").alias("selected"),
+        F.array_join("dominant_patterns", ",").alias("dominant_patterns"),
+    )
+
+
+@query("mmr_rerank")
+def _mmr(spark, sf_dir):
+    ranked = settle(_ranked(spark, sf_dir, 40))
+    return dedupe.mmr_rerank(retrieval.with_vectors(ranked, sample.review_embeddings(spark, sf_dir), MAX_QUERIES * 40))
+
+
+@query("format_evidence")
+def _format_evidence(spark, sf_dir):
+    pool = _pool(spark, sf_dir)
+    evidence = retrieval.selected_evidence(dedupe.progressive_select(pool), pool)
+    return retrieval.format_evidence(sample.questions(spark, sf_dir), evidence)
+
+
+@query("format_context")
+def _format_context(spark, sf_dir):
+    ranked = settle(_ranked(spark, sf_dir, 5))
+    wh = house(spark, sf_dir)
+    return retrieval.format_context(
+        retrieval.hydrate_candidates(ranked, wh.raw["reviews"], wh.review_enriched, MAX_QUERIES * 5)
+    )
+
+
+# ------------------------------------------------------------------------ streaming
+def _review_batches(spark, sf_dir):
+    reviews = staging.usable_reviews(house(spark, sf_dir).raw["reviews"])
+    return reviews.select(F.floor(F.col("review_id") / 250).alias("batch"), "review_id", "comment")
+
+
+def _letters(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(
+        *keys, *[F.col("embedding")[i].cast("bigint").alias(f"count_{c}") for i, c in enumerate(sample.LETTERS)]
+    )
+
+
+@query("stream_embed")
+def _stream_embed(spark, sf_dir):
+    """Reviews arrive in two loads; the embedding stream runs after each and once more at the end."""
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("arrivals", "embedded", "embed-checkpoint"))
+    reviews = _review_batches(spark, sf_dir)
+    for load in (reviews.filter("batch = 0"), reviews.filter("batch > 0"), None):
+        if load is not None:
+            tables.append_table(load, source)
+        jobs.stream_embed(
+            spark, source, reviews.schema, out, checkpoint, sample.letter_embedding, len(sample.LETTERS)
+        )
+    return _letters(spark.read.parquet(out), "review_id")
+
+
+def _ingest_source(spark, sf_dir) -> tuple[str, T.StructType]:
+    source = scratch_path(spark, "ingest")
+    reviews = _review_batches(spark, sf_dir)
+    reviews.repartition("batch").write.partitionBy("batch").parquet(source)
+    return source, reviews.schema
+
+
+@query("stream_ingest")
+def _stream_ingest(spark, sf_dir):
+    source, schema = _ingest_source(spark, sf_dir)
+    points = jobs.stream_ingest(
+        spark, source, schema, scratch_path(spark, "points"), sample.letter_embedding, len(sample.LETTERS),
+        "reviews", "letters", files_per_batch=16,
+    )
+    return _letters(points, "review_id", "batch")
+
+
+@query("ingest_plan")
+def _ingest_plan(spark, sf_dir):
+    """Batches found against the batches of an earlier, shorter run."""
+    source, schema = _ingest_source(spark, sf_dir)
+    found = spark.read.schema(schema).parquet(source)
+    done = found.filter(F.col("batch") < 2).select("batch")
+    return jobs.ingest_plan(found, done)

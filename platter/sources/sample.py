@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -297,3 +298,157 @@ def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter(F.col("role") == "user")
         .select("conv_id", "turn", F.concat_ws(" ", opening, "text").alias("question"))
     )
+
+
+# Extra openings of logged questions and the SQL that answered them.
+LOG_QUESTIONS = (
+    "Top 10 cities by GMV", "What is the average sentiment score?", "Which users order most, by age?",
+    "Is the weather better on Netflix or YouTube?", "How many negative reviews are there?",
+    "What was the share price of amazon?", "Show everything",
+)
+LOG_SQL = (
+    "SELECT city FROM marts.mart_daily_city_revenue",
+    "  with t AS (SELECT 1 AS x) SELECT x FROM t",
+    "SELECT 1; SELECT 2",
+    "DROP TABLE raw.reviews",
+    "SELECT * FROM t WHERE 1 = 1 delete",
+    "",
+    "SELECT 1 EXPORT   DATA",
+    "SELECT updated, created_at FROM t",
+)
+
+
+def _pick(values, index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
+
+
+def full_question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The question log with every third turn opened by one of the other questions."""
+    log = question_log(spark, sf_dir)
+    n = F.col("conv_id") * 7 + F.col("turn")
+    other = F.concat_ws(" ", _pick(LOG_QUESTIONS, n), F.col("question"))
+    return log.withColumn("question", F.when(F.pmod(n, F.lit(3)) == 0, other).otherwise(F.col("question")))
+
+
+def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One logged statement per question."""
+    n = F.col("conv_id") * 5 + F.col("turn")
+    return question_log(spark, sf_dir).select("conv_id", "turn", _pick(LOG_SQL, n).alias("sql"))
+
+
+def route_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected and actual route with seconds per logged question; every seventh has no answer."""
+    n = F.col("conv_id") * 3 + F.col("turn")
+    routes = ("sql", "rag", "hybrid")
+    return question_log(spark, sf_dir).select(
+        "conv_id",
+        "turn",
+        _pick(routes, F.col("conv_id")).alias("expected"),
+        F.when(F.pmod(n, F.lit(7)) != 0, _pick(routes, F.col("conv_id") + F.when(n % 5 == 0, 1).otherwise(0))).alias(
+            "actual"
+        ),
+        (1 + n % 9).alias("seconds"),
+    )
+
+
+def route_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw router answers, some of them broken in one of several ways."""
+    n = F.col("conv_id") * 3 + F.col("turn")
+    answers = (
+        '{"route": "sql", "confidence": 0.9, "reason": "numbers"}',
+        '{"route": " RAG ", "confidence": "0.5", "reason": " reviews "}',
+        '{"route": "hybrid", "confidence": 1, "reason": "both"}',
+        '{"route": "other", "confidence": 0.9, "reason": "x"}',
+        '{"route": "sql", "confidence": 1.5, "reason": "x"}',
+        '{"route": "rag", "confidence": "high", "reason": "x"}',
+        '{"route": "rag", "confidence": 0.4, "reason": "  "}',
+        '{"confidence": 0.4, "reason": "x"}',
+        "not json",
+    )
+    return question_log(spark, sf_dir).select("conv_id", "turn", _pick(answers, n).alias("response"))
+
+
+MODELS = ("model-a", "model-b", "model-c", "model-d")
+
+
+def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested review ids per batch of 15 neighbouring ids."""
+    return (
+        table(spark, sf_dir, "documents")
+        .groupBy(F.floor(F.col("doc_id") / 15).alias("batch_id"))
+        .agg(F.array_sort(F.collect_list("doc_id")).alias("review_ids"))
+    )
+
+
+def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw answers of four models per batch, broken in nine known ways.
+
+    (batch_id, model, priority, seconds, raw); a failed request has no answer and
+    no time.
+    """
+    key, p = F.col("doc_id"), F.col("priority")
+    label = _pick(("positive", "neutral", "negative"), key + p)
+    score = _pick(("0.5", "0.0", "-0.25", "1"), key + p)
+    issue = F.when(key % 3 == 0, F.concat(F.lit('" issue '), (key % 7).cast("string"), F.lit(' "'))).otherwise(
+        F.when(key % 3 == 1, F.lit('"  "')).otherwise(F.lit("null"))
+    )
+    item = F.concat(
+        F.lit('{"review_id": "'), key.cast("string"), F.lit('", "sentiment_label": "'), label,
+        F.lit('", "sentiment_score": '), score, F.lit(', "topic": "'),
+        _pick(("food_quality", " delivery ", "service", "other"), key + p), F.lit('", "key_issue": '), issue,
+        F.lit("}"),
+    )
+    asked = (
+        table(spark, sf_dir, "documents")
+        .select("doc_id")
+        .withColumn("priority", F.explode(F.array(*[F.lit(i) for i in range(1, len(MODELS) + 1)])))
+        .select(F.floor(key / 15).alias("batch_id"), "priority", F.struct(key.alias("id"), item.alias("json")).alias("x"))
+        .groupBy("batch_id", "priority")
+        .agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["json"]).alias("items"))
+    )
+    items, first = F.col("items"), F.col("items")[0]
+    rest = F.slice(items, 2, 1000)
+
+    def joined(*parts: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.concat(*parts), ", "), F.lit("]"))
+
+    def with_first(changed: Column) -> Column:
+        return joined(F.array(changed), rest)
+
+    plain = joined(items)
+    variants = [
+        plain,
+        F.concat(F.lit("```json\n"), plain, F.lit("\n```")),
+        F.concat(F.lit("Here are the results: "), plain, F.lit(" Done.")),
+        with_first(F.regexp_replace(first, '"sentiment_label": "[a-z]+"', '"sentiment_label": "mixed"')),
+        with_first(F.regexp_replace(first, '"sentiment_score": [-0-9.]+', '"sentiment_score": 1.2')),
+        with_first(F.regexp_replace(first, '"topic": "[a-z_ ]+", ', "")),
+        joined(rest),
+        joined(items, F.array(F.regexp_replace(first, '"review_id": "[0-9]+"', '"review_id": "-1"'))),
+        joined(F.array(first), items),
+        F.lit("not json"),
+        F.lit(None).cast("string"),
+        with_first(F.regexp_replace(first, '"sentiment_score": [-0-9.]+', '"sentiment_score": "0.5"')),
+    ]
+    n = F.pmod(F.col("batch_id") + 5 * (p - 1), F.lit(len(variants)))
+    raw = F.lit(None).cast("string")
+    for i, variant in enumerate(variants):
+        raw = F.when(n == i, variant).otherwise(raw)
+    return asked.select(
+        "batch_id",
+        _pick(MODELS, p - 1).alias("model"),
+        "priority",
+        F.when(n != 10, 1 + F.pmod(F.col("batch_id") * 7 + p * 3, F.lit(11))).alias("seconds"),
+        raw.alias("raw"),
+    )
+
+
+# Letters counted by the stand-in embedding.
+LETTERS = "aeournst"
+
+
+def letter_embedding(texts: list[str]) -> np.ndarray:
+    """A deterministic stand-in for an embedding model: how often each of eight letters occurs."""
+    return np.array([[t.lower().count(c) for c in LETTERS] for t in texts], dtype=np.float32).reshape(
+        len(texts), len(LETTERS)
+    )

@@ -33,18 +33,37 @@ def row_counts(named: dict[str, DataFrame]) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------- CSV
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A headed CSV with quoted multi-line text; the schema is given, never inferred by a second pass."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', nullValue="")
+def _csv_options(multi_line: bool) -> dict[str, object]:
+    return {"header": True, "escape": '"', "nullValue": "", "multiLine": multi_line}
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False
+) -> DataFrame:
+    """A headed CSV with a given schema, never inferred by a second pass.
+
+    Only texts with line breaks need ``multi_line``; it makes a file unsplittable.
+    """
+    return spark.read.csv(path, schema=schema, **_csv_options(multi_line))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"', nullValue="", emptyValue='""')
+    df.write.mode("overwrite").csv(
+        path,
+        header=True,
+        escape='"',
+        nullValue="",
+        emptyValue='""',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
-def load_csv(spark: SparkSession, csv_path: str, table_path: str, schema: T.StructType | str) -> DataFrame:
+def load_csv(
+    spark: SparkSession, csv_path: str, table_path: str, schema: T.StructType | str, multi_line: bool = False
+) -> DataFrame:
     """Replace a landing table by a CSV; partitions take the place of upload chunks."""
-    replace_table(read_csv(spark, csv_path, schema), table_path)
+    replace_table(read_csv(spark, csv_path, schema, multi_line), table_path)
     return spark.read.parquet(table_path)
 
 
@@ -55,13 +74,13 @@ def coerce_price(menu: DataFrame) -> DataFrame:
 
 def append_csv_once(
     spark: SparkSession, csv_dir: str, table_path: str, checkpoint: str, schema: T.StructType | str
-) -> None:
+) -> DataFrame:
     """Append menu files that were not loaded before.
 
     The stream's checkpoint remembers finished files, so a rerun resumes after the
     last one and adds nothing twice.
     """
-    files = spark.readStream.csv(csv_dir, schema=schema, header=True, multiLine=True, escape='"')
+    files = spark.readStream.csv(csv_dir, schema=schema, **_csv_options(False))
     (
         coerce_price(files)
         .writeStream.format("parquet")
@@ -71,6 +90,7 @@ def append_csv_once(
         .start()
         .awaitTermination()
     )
+    return spark.read.parquet(table_path)
 
 
 # --------------------------------------------------------------- embedding batches
