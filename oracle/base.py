@@ -225,8 +225,9 @@ def needed(sql: str, extra: dict[str, str]) -> list[str]:
     order: list[str] = []
 
     def visit(body: str) -> None:
+        code = re.sub(r"'(?:[^']|'')*'", "''", body)  # names inside text literals do not count
         for name in known:
-            if name not in order and body is not known[name] and re.search(rf"\b{name}\b", body):
+            if name not in order and body != known[name] and re.search(rf"\b{name}\b", code):
                 visit(known[name])
                 if name not in order:
                     order.append(name)
@@ -241,5 +242,9 @@ def with_ctes(sql: str, **extra: str) -> str:
     names = needed(sql, extra)
     if not names:
         return sql.strip()
-    body = ",\n".join(f"{n} AS ({known[n].strip()})" for n in names)
+    def defined(name: str) -> str:
+        recursive = re.search(rf"\b{name}\b", known[name])
+        return f"{name} AS {'' if recursive else 'MATERIALIZED '}({known[name].strip()})"
+
+    body = ",\n".join(defined(n) for n in names)
     return f"WITH RECURSIVE {body}\n{sql.strip()}"

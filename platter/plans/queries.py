@@ -750,6 +750,40 @@ def _near(spark, sf_dir):
     return dedupe.near_dedupe(dedupe.exact_dedupe(dedupe.with_text_features(_hydrated(spark, sf_dir))))
 
 
+def _wide_pool(spark, sf_dir):
+    """Every embedded review with text as a candidate of every query: the largest pools there can be."""
+    wh = house(spark, sf_dir)
+    corpus = sample.review_embeddings(spark, sf_dir)
+    ranked = settle(_ranked(spark, sf_dir))
+    rows = retrieval.hydrate_candidates(ranked, wh.raw["reviews"], wh.review_enriched, MAX_CANDIDATES)
+    pool = dedupe.exact_dedupe(dedupe.with_text_features(rows))
+    return settle(retrieval.with_vectors(pool, corpus, MAX_CANDIDATES))
+
+
+@query("near_dedupe_wide")
+def _near_wide(spark, sf_dir):
+    return dedupe.near_dedupe(_wide_pool(spark, sf_dir))
+
+
+@query("diverse_select_wide")
+def _diverse_wide(spark, sf_dir):
+    return dedupe.diverse_select(_wide_pool(spark, sf_dir))
+
+
+@query("diverse_select_strict")
+def _diverse_strict(spark, sf_dir):
+    """A low vector threshold, a pattern cap of one and 40 picks make every rule of the selection bite."""
+    strict = dedupe.Selection(vector_duplicate=0.2, dominant_share=0.1, max_same_pattern=1, final_k=40)
+    return dedupe.diverse_select(_wide_pool(spark, sf_dir), strict)
+
+
+@query("progressive_retrieve_wide")
+def _progressive_wide(spark, sf_dir):
+    """Small levels and more picks than the first ones hold, so that the retrieval widens."""
+    wide = dedupe.Selection(vector_duplicate=0.12, levels=(5, 20, 60, 150, WIDEST), final_k=12)
+    return _stages(dedupe.progressive_select(_wide_pool(spark, sf_dir), wide))
+
+
 @query("diverse_select")
 def _diverse(spark, sf_dir):
     return dedupe.diverse_select(_pool(spark, sf_dir))
@@ -757,7 +791,10 @@ def _diverse(spark, sf_dir):
 
 @query("progressive_retrieve")
 def _progressive(spark, sf_dir):
-    stages = dedupe.progressive_select(_pool(spark, sf_dir))
+    return _stages(dedupe.progressive_select(_pool(spark, sf_dir)))
+
+
+def _stages(stages: DataFrame) -> DataFrame:
     return stages.select(
         "query_id", "level", "stopped_early", "distinct_texts", "near_duplicates_removed",
         F.array_join(F.transform("selected", lambda r: r.cast("string")), ",").alias("selected"),

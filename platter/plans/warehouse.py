@@ -155,7 +155,9 @@ def build_all(house: Warehouse, out_dir: str, with_enrichment: bool = True) -> D
     for name in DIMENSIONS:
         tables.replace_table(getattr(built, name), path("marts", name))
     by_month = built.fct_orders.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
-    tables.replace_table(by_month, path("marts", "fct_orders"), partition_by=["order_month"])
+    # One file set per month; the rebalance splits a large month and joins small ones.
+    balanced = by_month.hint("rebalance", "order_month")
+    tables.replace_table(balanced, path("marts", "fct_orders"), partition_by=["order_month"])
 
     built.__dict__["fct_orders"] = spark.read.parquet(path("marts", "fct_orders")).drop("order_month")
     for name in DIMENSIONS:
