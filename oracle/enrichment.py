@@ -41,9 +41,9 @@ _VARIANTS = [
 ]
 _N = f"(batch_id + 5 * (priority - 1)) % {len(_VARIANTS)}"
 _UNFENCED = rf"""trim(regexp_replace(regexp_replace(trim(raw, {TRIM}), '\A```[^\n]*\n?', ''), '\n?[ \t]*```[^\n]*\z', ''), {TRIM})"""
-_LABEL = pick(("positive", "neutral", "negative"), "doc_id + priority")
-_SCORE = pick(("0.5", "0.0", "-0.25", "1"), "doc_id + priority")
-_TOPIC = pick(("food_quality", " delivery ", "service", "other"), "doc_id + priority")
+_LABEL = pick(("positive", "neutral", "negative"), "doc_id * priority")
+_SCORE = pick(("0.5", "0.0", "-0.25", "1"), "doc_id * priority")
+_TOPIC = pick(("food_quality", " delivery ", "service", "other"), "doc_id * priority")
 RESPONSES = {
     "answer_items": f"""SELECT doc_id // 15 AS batch_id, priority, list('{{"review_id": "' || doc_id || '", "sentiment_label": "' || {_LABEL}
   || '", "sentiment_score": ' || {_SCORE} || ', "topic": "' || {_TOPIC} || '", "key_issue": '
@@ -132,7 +132,7 @@ responses(
 _SIDE = "SELECT o.* FROM objects_out o JOIN verdicts v USING (batch_id, priority) WHERE v.valid AND o.model = {}"
 _COMPARED = {
     "left_items": _SIDE.format(text(MODELS[0])),
-    "right_items": _SIDE.format(text(MODELS[3])),
+    "right_items": _SIDE.format(text(MODELS[1])),
     "compared": """SELECT a.review_id, a.sentiment_label AS left_sentiment_label, a.sentiment_score AS left_sentiment_score, a.topic AS left_topic,
   a.key_issue AS left_key_issue, b.sentiment_label AS right_sentiment_label, b.sentiment_score AS right_sentiment_score, b.topic AS right_topic,
   b.key_issue AS right_key_issue, a.sentiment_label IS NOT DISTINCT FROM b.sentiment_label AS sentiment_match,

@@ -210,6 +210,7 @@ def stage(**changes: str) -> dict[str, str]:
 
 
 add("vector_topk", "SELECT query_id, review_id, score, rank FROM ranked WHERE rank <= 5", **stage())
+SQL["vector_topk_all_cells"] = SQL["vector_topk"]
 add("adaptive_threshold", "SELECT query_id, review_id, score, rank, threshold FROM relevant", **stage())
 add("hydrate_candidates", "SELECT * EXCLUDE (threshold) FROM hydrated", **stage())
 add("hydrate_left_ranked", "SELECT * FROM left_ranked", **stage())

@@ -68,18 +68,19 @@ STRATA = {"positive": 10, "negative": 10, "medium": 10, "random": 20}
 def stratified_sample(reviews: DataFrame, seed: int, strata: dict[str, int] | None = None) -> DataFrame:
     """Seeded sample per rating stratum plus one over everything; strata overlap and are not deduplicated.
 
-    One scan: each task keeps its own first rows per stratum, so nothing but the
-    sample is shuffled.
+    Ids are drawn first: each task keeps its own first ids per stratum, so only
+    narrow rows are sorted. The drawn ids then fetch their rows.
     """
     sizes = strata or STRATA
     rating = C.safe_int(F.col("rating"))
     member = {"positive": rating >= 4, "negative": rating <= 2, "medium": rating == 3, "random": F.lit(True)}
     names = F.array_compact(F.array(*[F.when(member[name], F.lit(name)) for name in sizes]))
-    tagged = reviews.withColumn("stratum", F.explode(names)).withColumn("_order", sample_order("review_id", seed))
+    tagged = reviews.select("review_id", F.explode(names).alias("stratum"), sample_order("review_id", seed).alias("_order"))
     ranked = top_n_per_key(
         tagged, ["stratum"], [F.col("_order"), F.col("review_id")], max(sizes.values()), "_rank"
     )
     size = F.lit(0)
     for name, n in sizes.items():
         size = F.when(F.col("stratum") == name, F.lit(n)).otherwise(size)
-    return ranked.filter(F.col("_rank") <= size).drop("_order", "_rank")
+    drawn = ranked.filter(F.col("_rank") <= size).select("review_id", "stratum")
+    return reviews.join(F.broadcast(drawn), "review_id")  # at most the sum of the stratum sizes

@@ -12,12 +12,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from platter.functions import vector as V
 from platter.operators.ranking import top_n_per_key
 
 # Query vectors held by one task at a time; more queries take more passes.
@@ -120,54 +118,94 @@ def _one_pass(rows: list[Row], corpus: DataFrame, k: int, min_score: float | Non
     return usable.select("review_id", "embedding").mapInArrow(search, schema)
 
 
-def _merge_salts(df: DataFrame) -> int:
-    """How many ways the per-task winners of one query are split before the last merge."""
-    return max(1, min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+def _merge(winners: list[DataFrame], k: int) -> DataFrame:
+    """Global top-k from the winners of all tasks, in two rounds on a cluster.
 
-
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
-    """(query_id, review_id, score, rank): exact cosine top-k, ties by review id.
-
-    A zero vector scores 0. ``min_score`` may be given where lower scores are
-    dropped later anyway. The winners of all tasks are merged in two rounds, so no
-    single task receives them all.
+    On many tasks the winners of one query are first merged in up to 64 groups, so
+    no single task receives them all.
     """
     order = [F.col("score").desc(), F.col("review_id")]
-    found = reduce(
-        DataFrame.unionByName, [_one_pass(block, corpus, k, min_score) for block in _passes(queries)]
-    )
-    salts = _merge_salts(found)
+    found = reduce(DataFrame.unionByName, winners)
+    salts = min(64, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
     if salts > 1:
         salted = found.withColumn("_salt", F.pmod(F.xxhash64("review_id"), F.lit(salts)))
         found = top_n_per_key(salted, ["query_id", "_salt"], order, k, "_rank").drop("_salt", "_rank")
     return top_n_per_key(found, ["query_id"], order, k)
 
 
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
+    """(query_id, review_id, score, rank): exact cosine top-k, ties by review id.
+
+    A zero vector scores 0. ``min_score`` may be given where lower scores are
+    dropped later anyway.
+    """
+    return _merge([_one_pass(block, corpus, k, min_score) for block in _passes(queries)], k)
+
+
+# ------------------------------------------------------------------ approximate search
+def _planes(dimension: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dimension, bits))
+
+
+def _cells(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Cell number of each row: one bit per side of a random hyperplane."""
+    sides = (vectors @ planes) >= 0
+    return sides @ (1 << np.arange(planes.shape[1]))
+
+
+def write_cells(corpus: DataFrame, path: str, bits: int = 6, seed: int = 42) -> None:
+    """The vectors as a table partitioned by cell, so that a search reads only the cells it probes.
+
+    The rebalance splits a crowded cell over several files and tasks.
+    """
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("embedding")
+            matrix = _as_matrix(column, len(column[0]))
+            cells = _cells(matrix, _planes(matrix.shape[1], bits, seed))
+            yield batch.append_column("cell", pa.array(cells, pa.int32()))
+
+    known = corpus.filter(F.col("embedding").isNotNull()).select("review_id", "embedding")
+    schema = T.StructType(known.schema.fields + [T.StructField("cell", T.IntegerType())])
+    known.mapInArrow(place, schema).hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
+def probed_cells(rows: list[Row], bits: int, probes: int, seed: int) -> list[int]:
+    """The cells nearest to each query: its own first, then those across its closest hyperplanes."""
+    wanted: set[int] = set()
+    for row in rows:
+        vector = np.asarray(row["embedding"], dtype=np.float64)
+        margin = np.abs(vector @ _planes(len(vector), bits, seed))
+        own = int(_cells(vector[None, :], _planes(len(vector), bits, seed))[0])
+        flips = range(1 << bits)
+        cost = [margin[[b for b in range(bits) if f >> b & 1]].sum() for f in flips]
+        wanted.update(own ^ f for f in sorted(flips, key=lambda f: (cost[f], f))[:probes])
+    return sorted(wanted)
+
+
 def vector_topk_lsh(
-    queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 1.0, tables: int = 8, seed: int = 42
+    queries: DataFrame, path: str, k: int, probes: int = 16, bits: int = 6, seed: int = 42
 ) -> DataFrame:
-    """Approximate top-k: random-projection buckets propose, exact cosine ranks.
+    """Approximate top-k: exact cosine over the probed cells only.
 
-    On unit vectors Euclidean distance and cosine order alike
-    (distance^2 = 2 - 2 cosine).
+    The cell list prunes table partitions before anything is read. Probing all
+    2^bits cells gives the exact result.
     """
-    def shaped(df: DataFrame, key: str) -> DataFrame:
-        return (
-            df.select(key, V.unit(F.col("embedding")).alias("unit"))
-            .filter(F.col("unit").isNotNull())
-            .select(key, array_to_vector("unit").alias("features"))
-        )
-
-    index = shaped(corpus, "review_id")
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(index)
-    pairs = model.approxSimilarityJoin(shaped(queries, "query_id"), index, 2.0, "distance")
-    scored = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.review_id").alias("review_id"),
-        F.round(
-            V.dot(vector_to_array("datasetA.features"), vector_to_array("datasetB.features")), SCORE_DIGITS
-        ).alias("score"),
+    spark = queries.sparkSession
+    parts = []
+    for rows in _passes(queries):
+        near = spark.read.parquet(path).filter(F.col("cell").isin(probed_cells(rows, bits, probes, seed)))
+        parts.append(_one_pass(rows, near, k, None))
+    return _merge(parts, k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query_id, expected, hit): how many of the exact results the approximate search returned."""
+    hits = found.select("query_id", "review_id", F.lit(1).alias("_hit"))
+    return (
+        exact.join(hits, ["query_id", "review_id"], "left")
+        .groupBy("query_id")
+        .agg(F.count(F.lit(1)).alias("expected"), F.count("_hit").alias("hit"))
     )
-    return top_n_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("review_id")], k)

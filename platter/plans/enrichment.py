@@ -28,13 +28,16 @@ _ITEMS = "array<map<string,string>>"
 
 # ----------------------------------------------------------------------- selection
 def unprocessed_reviews(reviews: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Usable reviews without any enrichment row; ids meet as strings."""
+    """Usable reviews without any enrichment row; ids meet as strings.
+
+    Stored ids are made distinct first, so one enriched over and over costs one row.
+    """
     pending = usable_reviews(reviews).select(
         F.col("review_id").cast("string").alias("review_id"),
         C.safe_int(F.col("rating")).alias("rating"),
         F.col("comment").cast("string").alias("comment"),
     )
-    return pending.join(enriched.select("review_id"), "review_id", "left_anti")
+    return pending.join(enriched.select("review_id").distinct(), "review_id", "left_anti")
 
 
 # ------------------------------------------------------------------------- parsing
@@ -272,7 +275,7 @@ def enrich_clean(items: DataFrame, model: Column, processed_at: Column) -> DataF
 
 def not_yet_written(rows: DataFrame, target: DataFrame) -> DataFrame:
     """The write guard: rows whose review has no stored enrichment, one per review."""
-    fresh = rows.join(target.select("review_id"), "review_id", "left_anti")
+    fresh = rows.join(target.select("review_id").distinct(), "review_id", "left_anti")
     return first_per_key(fresh, ["review_id"], [F.col("processed_at").desc(), F.col("model_used")])
 
 

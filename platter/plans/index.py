@@ -99,8 +99,9 @@ def index_metadata(batches: DataFrame, index: DataFrame, dimension: int) -> Data
         F.min(F.size("embedding")).alias("smallest_dimension"),
         F.max(F.size("embedding")).alias("largest_dimension"),
     )
-    # Two one-row aggregates side by side.
-    both = loaded.withColumn("_one", F.lit(1)).join(final.withColumn("_one", F.lit(1)), "_one")
+    both = loaded.unionByName(final, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in (*loaded.columns, *final.columns)]
+    )
     return both.select(
         "source_reviews_loaded",
         (F.col("source_reviews_loaded") - F.col("final_reviews")).alias("duplicates_removed"),

@@ -35,7 +35,7 @@ def relationship_failures(child: DataFrame, column: str, parent: DataFrame, fiel
         .groupBy(F.col(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
-    return values.join(parent.select(F.col(field).alias("value")), "value", "left_anti")
+    return values.join(parent.select(F.col(field).alias("value")).distinct(), "value", "left_anti")
 
 
 def accepted_value_failures(df: DataFrame, column: str, accepted) -> DataFrame:

@@ -431,7 +431,7 @@ def _times(spark, sf_dir):
 def _comparison(spark, sf_dir):
     items = enrichment.response_items(_validated(spark, sf_dir).filter("valid").select("batch_id", "model", "items"))
     return enrichment.model_compare(
-        items.filter(F.col("model") == sample.MODELS[0]), items.filter(F.col("model") == sample.MODELS[3])
+        items.filter(F.col("model") == sample.MODELS[0]), items.filter(F.col("model") == sample.MODELS[1])
     )
 
 
@@ -654,55 +654,67 @@ def _index_coverage(spark, sf_dir):
 
 
 # ------------------------------------------------------------------------ retrieval
-# One query vector per label; the labels of the given vectors are ten classes.
-MAX_QUERIES = 10
 WIDEST = dedupe.LEVELS[-1]
-MAX_CANDIDATES = MAX_QUERIES * WIDEST
 
 
-def _ranked(spark, sf_dir, k=WIDEST):
-    return vector_search.vector_topk(
-        sample.query_embeddings(spark, sf_dir), sample.review_embeddings(spark, sf_dir), k
-    )
+def _queries(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The query vectors, computed once, and how many there are."""
+    vectors = settle(sample.query_embeddings(spark, sf_dir))
+    return vectors, vectors.count()
 
 
-def _relevant(spark, sf_dir):
-    return settle(retrieval.adaptive_threshold(_ranked(spark, sf_dir)))
+def _ranked(spark, sf_dir, k=WIDEST) -> tuple[DataFrame, int]:
+    """Top-k candidates, written once because several steps read them, and their proven row bound."""
+    queries, n = _queries(spark, sf_dir)
+    return settle(vector_search.vector_topk(queries, sample.review_embeddings(spark, sf_dir), k)), n * k
 
 
 def _hydrated(spark, sf_dir):
     wh = house(spark, sf_dir)
-    return retrieval.hydrate_candidates(
-        _relevant(spark, sf_dir), wh.raw["reviews"], wh.review_enriched, MAX_CANDIDATES
-    )
+    ranked, bound = _ranked(spark, sf_dir)
+    relevant = retrieval.adaptive_threshold(ranked)
+    return retrieval.hydrate_candidates(relevant, wh.raw["reviews"], wh.review_enriched, bound)
 
 
 def _pool(spark, sf_dir):
     """The selection's input, written once because selection and hydration both read it."""
     wh = house(spark, sf_dir)
     corpus = sample.review_embeddings(spark, sf_dir)
+    queries, n = _queries(spark, sf_dir)
     pool = retrieval.evidence_pool(
-        sample.questions(spark, sf_dir), sample.query_embeddings(spark, sf_dir), corpus, wh.raw["reviews"],
-        wh.review_enriched, MAX_QUERIES,
+        sample.questions(spark, sf_dir), queries, corpus, wh.raw["reviews"], wh.review_enriched, n
     )
-    return settle(retrieval.with_vectors(pool, corpus, MAX_CANDIDATES))
+    return settle(retrieval.with_vectors(pool, corpus, n * WIDEST))
 
 
 @query("vector_topk")
 def _vector_topk(spark, sf_dir):
-    return _ranked(spark, sf_dir, 5)
+    queries, _ = _queries(spark, sf_dir)
+    return vector_search.vector_topk(queries, sample.review_embeddings(spark, sf_dir), 5)
 
 
 @query("vector_topk_lsh")
 def _vector_topk_lsh(spark, sf_dir):
-    return vector_search.vector_topk_lsh(
-        sample.query_embeddings(spark, sf_dir), sample.review_embeddings(spark, sf_dir), 5
-    )
+    """Approximate top-5 over the probed cells, with its overlap with the exact result."""
+    queries, _ = _queries(spark, sf_dir)
+    corpus, cells = sample.review_embeddings(spark, sf_dir), scratch_path(spark, "cells")
+    vector_search.write_cells(corpus, cells)
+    found = vector_search.vector_topk_lsh(queries, cells, 5)
+    return vector_search.recall(found, vector_search.vector_topk(queries, corpus, 5))
+
+
+@query("vector_topk_all_cells")
+def _vector_topk_all_cells(spark, sf_dir):
+    """The partitioned search with every cell probed, which is exact."""
+    queries, _ = _queries(spark, sf_dir)
+    cells = scratch_path(spark, "cells")
+    vector_search.write_cells(sample.review_embeddings(spark, sf_dir), cells)
+    return vector_search.vector_topk_lsh(queries, cells, 5, probes=64)
 
 
 @query("adaptive_threshold")
 def _adaptive(spark, sf_dir):
-    return retrieval.adaptive_threshold(_ranked(spark, sf_dir))
+    return retrieval.adaptive_threshold(_ranked(spark, sf_dir)[0])
 
 
 @query("hydrate_candidates")
@@ -712,8 +724,8 @@ def _hydrate(spark, sf_dir):
 
 @query("hydrate_left_ranked")
 def _hydrate_left(spark, sf_dir):
-    ranked = settle(_ranked(spark, sf_dir, 20))
-    return retrieval.hydrate_left_ranked(ranked, house(spark, sf_dir).raw["reviews"], MAX_QUERIES * 20)
+    ranked, bound = _ranked(spark, sf_dir, 20)
+    return retrieval.hydrate_left_ranked(ranked, house(spark, sf_dir).raw["reviews"], bound)
 
 
 @query("retrieval_diagnostics")
@@ -754,10 +766,10 @@ def _wide_pool(spark, sf_dir):
     """Every embedded review with text as a candidate of every query: the largest pools there can be."""
     wh = house(spark, sf_dir)
     corpus = sample.review_embeddings(spark, sf_dir)
-    ranked = settle(_ranked(spark, sf_dir))
-    rows = retrieval.hydrate_candidates(ranked, wh.raw["reviews"], wh.review_enriched, MAX_CANDIDATES)
+    ranked, bound = _ranked(spark, sf_dir)
+    rows = retrieval.hydrate_candidates(ranked, wh.raw["reviews"], wh.review_enriched, bound)
     pool = dedupe.exact_dedupe(dedupe.with_text_features(rows))
-    return settle(retrieval.with_vectors(pool, corpus, MAX_CANDIDATES))
+    return settle(retrieval.with_vectors(pool, corpus, bound))
 
 
 @query("near_dedupe_wide")
@@ -804,8 +816,8 @@ def _stages(stages: DataFrame) -> DataFrame:
 
 @query("mmr_rerank")
 def _mmr(spark, sf_dir):
-    ranked = settle(_ranked(spark, sf_dir, 40))
-    return dedupe.mmr_rerank(retrieval.with_vectors(ranked, sample.review_embeddings(spark, sf_dir), MAX_QUERIES * 40))
+    ranked, bound = _ranked(spark, sf_dir, 40)
+    return dedupe.mmr_rerank(retrieval.with_vectors(ranked, sample.review_embeddings(spark, sf_dir), bound))
 
 
 @query("format_evidence")
@@ -817,10 +829,10 @@ def _format_evidence(spark, sf_dir):
 
 @query("format_context")
 def _format_context(spark, sf_dir):
-    ranked = settle(_ranked(spark, sf_dir, 5))
+    ranked, bound = _ranked(spark, sf_dir, 5)
     wh = house(spark, sf_dir)
     return retrieval.format_context(
-        retrieval.hydrate_candidates(ranked, wh.raw["reviews"], wh.review_enriched, MAX_QUERIES * 5)
+        retrieval.hydrate_candidates(ranked, wh.raw["reviews"], wh.review_enriched, bound)
     )
 
 

@@ -262,14 +262,10 @@ def duplicate_comment_stats(reviews: DataFrame) -> DataFrame:
 def pattern_distribution(reviews: DataFrame, dominant_share: float = dedupe.DOMINANT_SHARE) -> DataFrame:
     """(pattern, reviews, share, dominant) over all reviews; at most one row per family combination."""
     counts = dedupe.with_text_features(reviews).groupBy("pattern").agg(F.count(F.lit(1)).alias("reviews"))
-    total = counts.agg(F.sum("reviews").alias("_total")).withColumn("_one", F.lit(1))
-    return (
-        counts.withColumn("_one", F.lit(1))
-        .join(total, "_one")
-        .select(
-            "pattern",
-            "reviews",
-            C.rounded_share(F.col("reviews"), F.col("_total"), 4).alias("share"),
-            (F.col("reviews") / F.col("_total") >= dominant_share).alias("dominant"),
-        )
+    total = F.sum("reviews").over(Window.partitionBy())
+    return counts.select(
+        "pattern",
+        "reviews",
+        C.rounded_share(F.col("reviews"), total, 4).alias("share"),
+        (F.col("reviews") / total >= dominant_share).alias("dominant"),
     )

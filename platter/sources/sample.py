@@ -387,15 +387,15 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     no time.
     """
     key, p = F.col("doc_id"), F.col("priority")
-    label = _pick(("positive", "neutral", "negative"), key + p)
-    score = _pick(("0.5", "0.0", "-0.25", "1"), key + p)
+    label = _pick(("positive", "neutral", "negative"), key * p)
+    score = _pick(("0.5", "0.0", "-0.25", "1"), key * p)
     issue = F.when(key % 3 == 0, F.concat(F.lit('" issue '), (key % 7).cast("string"), F.lit(' "'))).otherwise(
         F.when(key % 3 == 1, F.lit('"  "')).otherwise(F.lit("null"))
     )
     item = F.concat(
         F.lit('{"review_id": "'), key.cast("string"), F.lit('", "sentiment_label": "'), label,
         F.lit('", "sentiment_score": '), score, F.lit(', "topic": "'),
-        _pick(("food_quality", " delivery ", "service", "other"), key + p), F.lit('", "key_issue": '), issue,
+        _pick(("food_quality", " delivery ", "service", "other"), key * p), F.lit('", "key_issue": '), issue,
         F.lit("}"),
     )
     asked = (
