@@ -80,23 +80,20 @@ INTENT_PHRASES: dict[str, tuple[str, ...]] = {
 ASPECTS = ("food", "delivery", "service", "price", "packaging")
 
 
-def _strip_spaces(col: Column) -> Column:
-    return F.regexp_replace(col, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
-
-
 def normalize_text(col: Column) -> Column:
     """Lower case, runs of white space to one blank, punctuation removed, ends stripped.
 
     White space is collapsed before punctuation goes, so "a - b" keeps two blanks.
     """
     lowered = F.lower(F.coalesce(col, F.lit("")))
-    collapsed = F.btrim(F.regexp_replace(lowered, f"[{SPACE_CLASS}]+", " "), F.lit(" "))
-    return F.btrim(F.regexp_replace(collapsed, r"[^\p{L}\p{N}_ ]", ""), F.lit(" "))
+    # Single blanks, the usual case, are left alone instead of being replaced by themselves.
+    collapsed = F.regexp_replace(lowered, f"[{SPACE_CLASS}&&[^ ]][{SPACE_CLASS}]*| [{SPACE_CLASS}]+", " ")
+    return F.btrim(F.regexp_replace(F.btrim(collapsed, F.lit(" ")), r"[^\p{L}\p{N}_ ]+", ""), F.lit(" "))
 
 
 def tokens(normalized: Column) -> Column:
     """Distinct tokens of an already normalised text; empty array for an empty text."""
-    return F.filter(F.array_distinct(F.split(normalized, " +")), lambda t: t != "")
+    return F.array_remove(F.array_distinct(F.split(normalized, " ")), "")
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -117,10 +114,13 @@ def matches_terms(token_array: Column, values) -> Column:
 def review_pattern(token_array: Column, families: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Names of all matching families, sorted and joined with a bar; 'other' when none."""
     families = families or TERM_FAMILIES
-    hits = F.array_compact(
-        F.array(*[F.when(matches_terms(token_array, families[n]), F.lit(n)) for n in sorted(families)])
-    )
-    return F.when(F.size(hits) == 0, F.lit("other")).otherwise(F.array_join(hits, "|"))
+    # The long token array is searched once; the families only see the few terms found.
+    known = F.array_intersect(token_array, _terms(sorted({t for terms in families.values() for t in terms})))
+    names = F.transform(
+        F.array(known),
+        lambda found: F.concat_ws("|", *[F.when(matches_terms(found, families[n]), F.lit(n)) for n in sorted(families)]),
+    )[0]
+    return F.coalesce(F.nullif(names, F.lit("")), F.lit("other"))
 
 
 def _any_phrase(question: Column, phrases) -> Column:

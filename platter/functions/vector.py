@@ -21,6 +21,7 @@ def all_finite(vector: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    """The vector divided by its length; NULL for a zero vector."""
-    length = norm(vector)
-    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))
+    """The vector divided by its length, which is computed once; NULL for a zero vector."""
+    length = F.nullif(norm(vector), F.lit(0.0))
+    scaled = F.zip_with(vector, F.array_repeat(length, F.size(vector)), lambda x, n: x.cast("double") / n)
+    return F.when(F.forall(scaled, lambda x: x.isNotNull()), scaled)

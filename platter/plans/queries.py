@@ -669,11 +669,11 @@ def _ranked(spark, sf_dir, k=WIDEST) -> tuple[DataFrame, int]:
     return settle(vector_search.vector_topk(queries, sample.review_embeddings(spark, sf_dir), k)), n * k
 
 
-def _hydrated(spark, sf_dir):
+def _hydrated(spark, sf_dir, text_features=False):
     wh = house(spark, sf_dir)
     ranked, bound = _ranked(spark, sf_dir)
-    relevant = retrieval.adaptive_threshold(ranked)
-    return retrieval.hydrate_candidates(relevant, wh.raw["reviews"], wh.review_enriched, bound)
+    relevant = settle(retrieval.adaptive_threshold(ranked))
+    return retrieval.hydrate_candidates(relevant, wh.raw["reviews"], wh.review_enriched, bound, text_features)
 
 
 def _pool(spark, sf_dir):
@@ -747,19 +747,19 @@ def _rating_filter(spark, sf_dir):
 @query("intent_term_filter")
 def _term_filter(spark, sf_dir):
     intents = retrieval.query_intents(sample.questions(spark, sf_dir))
-    featured = dedupe.with_text_features(_hydrated(spark, sf_dir))
+    featured = _hydrated(spark, sf_dir, text_features=True)
     return retrieval.intent_term_filter(featured, intents).select("query_id", "review_id", "pattern")
 
 
 @query("exact_dedupe")
 def _exact(spark, sf_dir):
-    featured = dedupe.with_text_features(_hydrated(spark, sf_dir))
+    featured = _hydrated(spark, sf_dir, text_features=True)
     return dedupe.exact_dedupe(featured).select("query_id", "review_id", "score")
 
 
 @query("near_dedupe")
 def _near(spark, sf_dir):
-    return dedupe.near_dedupe(dedupe.exact_dedupe(dedupe.with_text_features(_hydrated(spark, sf_dir))))
+    return dedupe.near_dedupe(dedupe.exact_dedupe(_hydrated(spark, sf_dir, text_features=True)))
 
 
 def _wide_pool(spark, sf_dir):
@@ -767,9 +767,10 @@ def _wide_pool(spark, sf_dir):
     wh = house(spark, sf_dir)
     corpus = sample.review_embeddings(spark, sf_dir)
     ranked, bound = _ranked(spark, sf_dir)
-    rows = retrieval.hydrate_candidates(ranked, wh.raw["reviews"], wh.review_enriched, bound)
-    pool = dedupe.exact_dedupe(dedupe.with_text_features(rows))
-    return settle(retrieval.with_vectors(pool, corpus, bound))
+    rows = retrieval.hydrate_candidates(
+        ranked, wh.raw["reviews"], wh.review_enriched, bound, text_features=True
+    )
+    return settle(retrieval.with_vectors(dedupe.exact_dedupe(rows), corpus, bound))
 
 
 @query("near_dedupe_wide")

@@ -46,18 +46,24 @@ def _latest_for(enriched: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def hydrate_candidates(
-    candidates: DataFrame, reviews: DataFrame, enriched: DataFrame, max_rows: int
+    candidates: DataFrame, reviews: DataFrame, enriched: DataFrame, max_rows: int, text_features: bool = False
 ) -> DataFrame:
     """Candidates with rating, comment, date and latest enrichment; ids without a review are dropped.
 
     ``max_rows`` is the proven size of the candidates (queries x k): small enough
-    and both big tables are only scanned, never shuffled.
+    and both big tables are only scanned, never shuffled. Each wanted review is
+    fetched, and analysed if ``text_features`` is set, once for all queries.
     """
-    small = broadcast_if_small(candidates, max_rows, 128)
-    rows = reviews.select("review_id", "rating", "comment", "review_date").join(small, "review_id")
-    wanted = broadcast_if_small(candidates.select(F.col("review_id").cast("string").alias("review_id")), max_rows)
-    latest = _latest_for(enriched, wanted).withColumnRenamed("review_id", "_id")
-    return rows.join(latest, F.col("review_id").cast("string") == F.col("_id"), "left").drop("_id")
+    ids = candidates.select("review_id").distinct()
+    rows = reviews.select("review_id", "rating", "comment", "review_date").join(
+        broadcast_if_small(ids, max_rows), "review_id", "left_semi"
+    )
+    if text_features:
+        rows = dedupe.with_text_features(rows)
+    text_ids = ids.select(F.col("review_id").cast("string").alias("review_id"))
+    latest = _latest_for(enriched, broadcast_if_small(text_ids, max_rows)).withColumnRenamed("review_id", "_id")
+    details = rows.join(latest, F.col("review_id").cast("string") == F.col("_id"), "left").drop("_id")
+    return candidates.join(details, "review_id")
 
 
 def hydrate_left_ranked(candidates: DataFrame, reviews: DataFrame, max_rows: int) -> DataFrame:
@@ -120,10 +126,9 @@ def evidence_pool(
     ranked = vector_topk(queries, corpus, widest, min_score=min_relevance)
     # A few bounded rows per query, joined several times below: search only once.
     relevant = settle(adaptive_threshold(ranked, min_relevance, window))
-    rows = hydrate_candidates(relevant, reviews, enriched, max_rows)
+    rows = hydrate_candidates(relevant, reviews, enriched, max_rows, text_features=True)
     intents = query_intents(questions)
-    featured = dedupe.with_text_features(intent_rating_filter(rows, intents))
-    return dedupe.exact_dedupe(intent_term_filter(featured, intents))
+    return dedupe.exact_dedupe(intent_term_filter(intent_rating_filter(rows, intents), intents))
 
 
 def with_vectors(pool: DataFrame, corpus: DataFrame, max_rows: int) -> DataFrame:
