@@ -109,7 +109,7 @@ SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partke
   CAST(l_quantity AS BIGINT) AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS line_amount
 FROM lineitem""",
     "raw_reviews": f"""
-SELECT d.doc_id AS review_id, d.doc_id AS order_id, d.doc_id % 150 AS user_id, d.doc_id % 10 AS restaurant_id,
+SELECT d.doc_id AS review_id, d.doc_id AS order_id, d.doc_id % 150 AS user_id, d.doc_id % 100 AS restaurant_id,
   1 + d.doc_id % 5 AS rating,
   CASE WHEN d.doc_id % 97 = 0 THEN NULL WHEN d.doc_id % 89 = 0 THEN '   '
        ELSE d.text || ' ' || ({text_list(REVIEW_PHRASES)})[CAST(d.n_chars % {len(REVIEW_PHRASES)} AS INT) + 1] END AS comment,

@@ -6,6 +6,7 @@ from oracle.base import TRIM, half_up, not_blank, text, text_list
 from oracle.statements import SQL, add
 from platter.functions.text import ASPECTS, INTENT_PHRASES, SPACE_CLASS, TERM_FAMILIES
 from platter.operators import batching, dedupe
+from platter.plans.catalogue import RESTAURANT_MEASURES
 from platter.plans.retrieval import EVIDENCE_TEXT_LENGTH, MIN_RELEVANCE, NO_EVIDENCE, SCORE_WINDOW
 from platter.sources.sample import LETTERS
 
@@ -39,8 +40,9 @@ _STRATUM = {"positive": "rating >= 4", "negative": "rating <= 2", "medium": "rat
 add(
     "stratified_sample",
     " UNION ALL ".join(
-        f"""(SELECT '{name}' AS stratum, review_id, rating, comment FROM usable WHERE {_STRATUM[name]}
-ORDER BY ((review_id % 1000003) * 48271 + 7) % 2147483647, review_id LIMIT {n})"""
+        f"""(SELECT '{name}' AS stratum, review_id, rating, comment
+FROM (SELECT *, (review_id % 2147483647 * 1103515245 + 7 * 12345) % 2147483647 AS x FROM usable) WHERE {_STRATUM[name]}
+ORDER BY x * x % 2147483647, review_id LIMIT {n})"""
         for name, n in batching.STRATA.items()
     ),
 )
@@ -356,8 +358,20 @@ _sql, _wide = progressive(
 add("progressive_retrieve_wide", _sql, **pools("hydrated_wide", False), **_wide)
 
 add(
-    "format_evidence",
-    f"""SELECT q.query_id, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY pick), {text(NO_EVIDENCE)}) AS evidence
+    "retrieval_steps",
+    """SELECT l.query_id, CAST(l.level AS INT) AS level, l.full AS stopped_early,
+  (SELECT count(*) FROM relevant x WHERE x.query_id = l.query_id AND x.rank <= l.level) AS semantic_candidates,
+  (SELECT count(*) FROM hydrated x WHERE x.query_id = l.query_id AND x.rank <= l.level) AS evidence_rows,
+  (SELECT count(*) FROM hydrated x WHERE x.query_id = l.query_id AND x.rank <= l.level)
+    - (SELECT count(*) FROM intent_hits x WHERE x.query_id = l.query_id AND x.rank <= l.level) AS query_filtered,
+  (SELECT count(*) FROM intent_hits x WHERE x.query_id = l.query_id AND x.rank <= l.level) - l.distinct_texts AS exact_duplicates_removed,
+  CAST(l.distinct_texts - l.unique_texts AS INT) AS near_duplicates_removed, CAST(len(b.picked) AS INT) AS final_reviews
+FROM last_stage l JOIN best_stage b USING (query_id)""",
+    **pools("rated", True),
+    **_ctes,
+)
+
+_EVIDENCE = f"""SELECT q.query_id, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY pick), {text(NO_EVIDENCE)}) AS evidence
 FROM questions q LEFT JOIN (
   SELECT b.query_id, i AS pick, concat_ws(chr(10), 'Review ID: ' || h.review_id, 'Rating: ' || coalesce(CAST(h.rating AS VARCHAR), ''),
     'Comment: ' || CASE WHEN length(h.c) > {EVIDENCE_TEXT_LENGTH} THEN substr(h.c, 1, {EVIDENCE_TEXT_LENGTH}) || '...' ELSE h.c END,
@@ -365,10 +379,18 @@ FROM questions q LEFT JOIN (
     'Topic: ' || nullif(h.topic, ''), 'Key issue: ' || nullif(h.key_issue, '')) AS block
   FROM best_stage b, unnest(range(1, len(b.picked) + 1)) AS t(i)
   JOIN (SELECT *, trim(coalesce(comment, ''), {TRIM}) AS c FROM hydrated) h ON h.query_id = b.query_id AND h.review_id = b.picked[i]) e
-ON e.query_id = q.query_id GROUP BY q.query_id""",
-    **pools("rated", True),
-    **_ctes,
-)
+ON e.query_id = q.query_id GROUP BY q.query_id"""
+add("format_evidence", _EVIDENCE, **pools("rated", True), **_ctes)
+for _name, _column in RESTAURANT_MEASURES.items():
+    _about = {
+        "winner": f"""SELECT restaurant_id FROM mart_restaurant_performance WHERE restaurant_name IS NOT NULL
+ORDER BY {_column} DESC NULLS LAST, restaurant_id LIMIT 1""",
+        "ranked": """SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id) AS INT) AS rank FROM scored
+WHERE review_id IN (SELECT review_id FROM usable JOIN winner USING (restaurant_id)) QUALIFY rank <= 5000""",
+        "relevant": """SELECT *, greatest(0.1::DOUBLE, round(max(score) OVER (PARTITION BY query_id) - 0.3::DOUBLE, 9)) AS threshold
+FROM ranked QUALIFY score >= threshold""",
+    }
+    add(f"top_restaurant_evidence_{_name}", _EVIDENCE, **{**pools("rated", True), **_ctes, **_about})
 add(
     "format_context",
     """SELECT query_id, string_agg('Review ID: ' || review_id || chr(10) || 'Rating: ' || coalesce(CAST(rating AS VARCHAR), 'None') || ' stars' || chr(10)

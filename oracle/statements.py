@@ -245,6 +245,13 @@ add(
     t=_CITY_TIME,
     w="SELECT city FROM t ORDER BY avg_delivery_min DESC NULLS LAST, city NULLS LAST LIMIT 1",
 )
+add(
+    "most_cancelled_city_topics",
+    _TOPICS,
+    insights=_INSIGHTS,
+    w=f"""SELECT city FROM (SELECT city, {half_up("(100 * count(*) FILTER (lower(order_status) = 'cancelled'))", 'count(*)', 2)} AS cancel_rate
+FROM stg_orders GROUP BY city) ORDER BY cancel_rate DESC NULLS LAST, city NULLS LAST LIMIT 1""",
+)
 add(
     "best_cuisine_reviews",
     """SELECT o.cuisine, r.review_id, r.order_id, r.rating, r.comment FROM usable r JOIN stg_orders o ON r.order_id = o.order_id

@@ -56,9 +56,13 @@ def keyset_page(df: DataFrame, key: str, after: int | None, size: int) -> DataFr
     return rest.orderBy(key).limit(size)
 
 
+_PRIME = 2147483647
+
+
 def sample_order(key: str, seed: int) -> Column:
-    """A reproducible shuffling number from plain arithmetic."""
-    return F.pmod(F.pmod(F.col(key), F.lit(1000003)) * F.lit(48271) + F.lit(seed), F.lit(2147483647))
+    """A reproducible shuffling number from plain arithmetic: a scaled, shifted and squared id modulo a prime."""
+    x = F.pmod(F.pmod(F.col(key), F.lit(_PRIME)) * F.lit(1103515245) + F.lit(seed * 12345), F.lit(_PRIME))
+    return F.pmod(x * x, F.lit(_PRIME))
 
 
 # Sample sizes per rating stratum.

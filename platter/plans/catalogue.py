@@ -148,6 +148,14 @@ def reviews_of_top_restaurant(restaurant_mart: DataFrame, reviews: DataFrame, me
     )
 
 
+def corpus_of_top_restaurant(
+    restaurant_mart: DataFrame, reviews: DataFrame, corpus: DataFrame, measure: str
+) -> DataFrame:
+    """The review vectors of the best restaurant, the corpus for evidence about it."""
+    ids = reviews_of_top_restaurant(restaurant_mart, reviews, measure).select("review_id").distinct()
+    return corpus.join(ids, "review_id", "left_semi")
+
+
 def topics_in_city(city: DataFrame, review_insights: DataFrame) -> DataFrame:
     """Review topics of the one city a ranking returned."""
     winner = F.broadcast(city.select("city").limit(1))

@@ -244,6 +244,12 @@ def _h2b(spark, sf_dir):
     return catalogue.topics_in_city(slowest, wh.mart_review_insights)
 
 
+@query("most_cancelled_city_topics")
+def _h2c(spark, sf_dir):
+    wh = house(spark, sf_dir)
+    return catalogue.topics_in_city(catalogue.cities_by_cancellation(wh.fct_orders, 1), wh.mart_review_insights)
+
+
 @query("best_cuisine_reviews")
 def _h3(spark, sf_dir):
     wh = house(spark, sf_dir)
@@ -676,15 +682,17 @@ def _hydrated(spark, sf_dir, text_features=False):
     return retrieval.hydrate_candidates(relevant, wh.raw["reviews"], wh.review_enriched, bound, text_features)
 
 
-def _pool(spark, sf_dir):
-    """The selection's input, written once because selection and hydration both read it."""
+def _steps(spark, sf_dir) -> retrieval.Evidence:
     wh = house(spark, sf_dir)
-    corpus = sample.review_embeddings(spark, sf_dir)
     queries, n = _queries(spark, sf_dir)
-    pool = retrieval.evidence_pool(
-        sample.questions(spark, sf_dir), queries, corpus, wh.raw["reviews"], wh.review_enriched, n
+    return retrieval.evidence_steps(
+        sample.questions(spark, sf_dir), queries, sample.review_embeddings(spark, sf_dir), wh.raw["reviews"],
+        wh.review_enriched, n,
     )
-    return settle(retrieval.with_vectors(pool, corpus, n * WIDEST))
+
+
+def _pool(spark, sf_dir):
+    return _steps(spark, sf_dir).pool
 
 
 @query("vector_topk")
@@ -815,6 +823,36 @@ def _stages(stages: DataFrame) -> DataFrame:
     )
 
 
+@query("retrieval_steps")
+def _retrieval_steps(spark, sf_dir):
+    steps = _steps(spark, sf_dir)
+    return retrieval.step_counts(steps, dedupe.progressive_select(steps.pool))
+
+
+def _restaurant_evidence(measure: str) -> Query:
+    """Evidence for every question from the reviews of the best restaurant only."""
+
+    def build(spark, sf_dir):
+        wh = house(spark, sf_dir)
+        queries, n = _queries(spark, sf_dir)
+        corpus = catalogue.corpus_of_top_restaurant(
+            wh.mart_restaurant_performance, wh.raw["reviews"], sample.review_embeddings(spark, sf_dir), measure
+        )
+        asked = sample.questions(spark, sf_dir)
+        # One restaurant has few reviews: a lower floor and a wider window than for the whole corpus.
+        steps = retrieval.evidence_steps(
+            asked, queries, settle(corpus), wh.raw["reviews"], wh.review_enriched, n, min_relevance=0.1, window=0.3
+        )
+        evidence = retrieval.selected_evidence(dedupe.progressive_select(steps.pool), steps.pool)
+        return retrieval.format_evidence(asked, evidence)
+
+    return build
+
+
+for _measure in catalogue.RESTAURANT_MEASURES:
+    query(f"top_restaurant_evidence_{_measure}")(_restaurant_evidence(_measure))
+
+
 @query("mmr_rerank")
 def _mmr(spark, sf_dir):
     ranked, bound = _ranked(spark, sf_dir, 40)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,7 +109,17 @@ def intent_term_filter(candidates: DataFrame, intents: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ pipeline
-def evidence_pool(
+@dataclass
+class Evidence:
+    """The steps of one retrieval; each step is a subset of the one before."""
+
+    relevant: DataFrame
+    hydrated: DataFrame
+    filtered: DataFrame
+    pool: DataFrame
+
+
+def evidence_steps(
     questions: DataFrame,
     queries: DataFrame,
     corpus: DataFrame,
@@ -116,19 +129,48 @@ def evidence_pool(
     min_relevance: float = MIN_RELEVANCE,
     window: float = SCORE_WINDOW,
     widest: int = dedupe.LEVELS[-1],
-) -> DataFrame:
-    """Relevant, hydrated, intent-filtered and exact-deduplicated candidates with text features.
+) -> Evidence:
+    """Search, relevance, hydration, intent filters and exact duplicate removal.
 
     ``max_queries`` bounds the number of query vectors and with it every
     candidate table.
     """
     max_rows = max_queries * widest
     ranked = vector_topk(queries, corpus, widest, min_score=min_relevance)
-    # A few bounded rows per query, joined several times below: search only once.
+    # A few bounded rows per query, joined several times below: search and fetch only once.
     relevant = settle(adaptive_threshold(ranked, min_relevance, window))
-    rows = hydrate_candidates(relevant, reviews, enriched, max_rows, text_features=True)
+    hydrated = settle(hydrate_candidates(relevant, reviews, enriched, max_rows, text_features=True))
     intents = query_intents(questions)
-    return dedupe.exact_dedupe(intent_term_filter(intent_rating_filter(rows, intents), intents))
+    filtered = intent_term_filter(intent_rating_filter(hydrated, intents), intents)
+    pool = settle(with_vectors(dedupe.exact_dedupe(filtered), corpus, max_rows))
+    return Evidence(relevant, hydrated, filtered, pool)
+
+
+def step_counts(steps: Evidence, stages: DataFrame) -> DataFrame:
+    """Per query, within the last level tried: how many candidates every step left."""
+    names = {"relevant": steps.relevant, "hydrated": steps.hydrated, "filtered": steps.filtered, "distinct": steps.pool}
+    tagged = reduce(
+        DataFrame.unionByName,
+        [df.select("query_id", "rank", F.lit(name).alias("step")) for name, df in names.items()],
+    )
+    last = stages.select("query_id", "level", "stopped_early", "near_duplicates_removed", "selected")
+    return (
+        tagged.join(last, "query_id")
+        .filter(F.col("rank") <= F.col("level"))
+        .groupBy("query_id", "level", "stopped_early", "near_duplicates_removed", F.size("selected").alias("final_reviews"))
+        .agg(*[F.count_if(F.col("step") == name).alias(f"{name}_rows") for name in names])
+        .select(
+            "query_id",
+            "level",
+            "stopped_early",
+            F.col("relevant_rows").alias("semantic_candidates"),
+            F.col("hydrated_rows").alias("evidence_rows"),
+            (F.col("hydrated_rows") - F.col("filtered_rows")).alias("query_filtered"),
+            (F.col("filtered_rows") - F.col("distinct_rows")).alias("exact_duplicates_removed"),
+            "near_duplicates_removed",
+            "final_reviews",
+        )
+    )
 
 
 def with_vectors(pool: DataFrame, corpus: DataFrame, max_rows: int) -> DataFrame:

@@ -205,7 +205,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("review_id"),
         key.alias("order_id"),
         (key % 150).alias("user_id"),
-        (key % 10).alias("restaurant_id"),
+        (key % 100).alias("restaurant_id"),
         (1 + key % 5).alias("rating"),
         F.when(key % 97 == 0, F.lit(None))
         .when(key % 89 == 0, F.lit("   "))
