@@ -101,8 +101,8 @@ LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS r_id, count(*) AS items_count, C
            FROM lineitem GROUP BY l_orderkey) i ON o.o_orderkey = i.l_orderkey
 LEFT JOIN raw_restaurant r ON CAST(i.r_id AS VARCHAR) = r.id""",
     "raw_order_items": """
-SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d'),
-         CAST(l_quantity AS BIGINT), CAST(l_extendedprice AS DECIMAL(18,2)))), 1, 15) AS BIGINT) AS order_item_id,
+SELECT (l_orderkey % 2147483647 * 8 + l_linenumber) % 2147483647 * 2147483647
+    + (l_partkey % 2147483647 * 65537 + l_suppkey % 2147483647 * 257 + CAST(l_quantity AS BIGINT)) % 2147483647 AS order_item_id,
   CASE WHEN l_orderkey % 101 = 0 THEN l_orderkey + 100000000 ELSE l_orderkey END AS order_id, l_suppkey AS r_id,
   concat('fd', CAST(l_partkey AS VARCHAR)) AS f_id,
   CAST(50 + l_partkey % 450 AS DECIMAL(18,2)) AS price,

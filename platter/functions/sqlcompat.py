@@ -45,7 +45,8 @@ def extract_or_null(col: Column, pattern: str) -> Column:
 
 
 def last_comma_part(col: Column) -> Column:
-    return trim_all(F.coalesce(extract_or_null(col, r"[^,]+\z"), col))
+    """What follows the last comma; the whole text when nothing does."""
+    return trim_all(F.coalesce(F.nullif(F.substring_index(col, ",", -1), F.lit("")), col))
 
 
 def initcap_words(col: Column) -> Column:

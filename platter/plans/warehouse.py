@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from platter.plans import marts, quality, staging
 from platter.schemas import LAYERS
+from platter.session import estimated_bytes, size_shuffles
 from platter.sources import tables
 
 
@@ -143,12 +144,14 @@ def build_all(house: Warehouse, out_dir: str, with_enrichment: bool = True) -> D
     spark = house.spark
 
     def path(layer: str, name: str) -> str:
+        if layer not in LAYERS:
+            raise ValueError(f"unknown layer {layer}")
         return f"{out_dir}/{layer}/{name}"
 
-    assert {"raw", "marts", "ai"} <= set(LAYERS)
     for name, df in house.raw.items():
         tables.replace_table(df, path("raw", name))
     landed = {name: spark.read.parquet(path("raw", name)) for name in house.raw}
+    size_shuffles(spark, sum(estimated_bytes(df) for df in landed.values()))
     built = Warehouse(spark, landed, house.enriched)
     register_views(built)
 

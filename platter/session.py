@@ -28,6 +28,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Input per shuffle partition and the most partitions a shuffle should start with.
+BYTES_PER_PARTITION = 512 << 20
+MAX_PARTITIONS = 32768
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of a table; for files their size on disk."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Start shuffles with enough partitions for the input; adaptive execution joins the small ones.
+
+    Never goes below the configured number of shuffle partitions. Returns the number set.
+    """
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(configured, min(MAX_PARTITIONS, -(-input_bytes // BYTES_PER_PARTITION)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+    return partitions
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach.
 

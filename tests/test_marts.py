@@ -178,3 +178,16 @@ def test_build_all_and_failing_quality(spark, tmp_path):
     broken["orders"] = broken["orders"].withColumn("order_status", F.lit("Lost"))
     with pytest.raises(ValueError, match="accepted_values_order_status"):
         build_all(Warehouse(spark, broken, house.enriched), str(tmp_path / "bad"))
+
+
+def test_shuffle_sizing(spark):
+    from platter.session import MAX_PARTITIONS, estimated_bytes, size_shuffles
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert size_shuffles(spark, 1 << 20) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert size_shuffles(spark, 1 << 40) == 2048 and spark.conf.get(name) == "2048"
+        assert size_shuffles(spark, 1 << 50) == MAX_PARTITIONS
+    finally:
+        spark.conf.unset(name)
+    assert estimated_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")) > 50_000
