@@ -35,7 +35,7 @@ MAX_PARTITIONS = 32768
 
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of a table; for files their size on disk."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
