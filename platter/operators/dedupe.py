@@ -42,8 +42,11 @@ def exact_dedupe(candidates: DataFrame) -> DataFrame:
 
     The text is keyed by a digest; only one row per key leaves each task.
     """
-    keyed = candidates.filter(F.col("normalized") != "").withColumn("_digest", F.sha2("normalized", 256))
-    return first_per_key(keyed, ["query_id", "_digest"], [F.col("score").desc(), F.col("review_id")]).drop("_digest")
+    keyed = candidates.withColumn("_digest", F.sha2("normalized", 256))
+    best = first_per_key(keyed, ["query_id", "_digest"], [F.col("score").desc(), F.col("review_id")])
+    # Emptiness is tested on the ranked rows: a filter further up would be pushed to
+    # the review scan and normalise every text of the table.
+    return best.filter(F.col("normalized") != "").drop("_digest")
 
 
 # ------------------------------------------------------------------ per-query helpers

@@ -224,6 +224,18 @@ def test_exact_dedupe_keeps_best_and_drops_empty(spark):
     assert sorted((r["query_id"], r["review_id"]) for r in got) == [(1, 2), (2, 1)]
 
 
+def test_only_candidate_texts_are_normalised(spark, tmp_path):
+    """The text rules must stay above the join that picks the candidates' reviews."""
+    reviews = str(tmp_path / "reviews")
+    spark.range(50).selectExpr("id AS review_id", "id % 5 AS rating", "'text' AS comment", "current_date() AS review_date").write.parquet(reviews)
+    candidates = spark.createDataFrame([(1, 3, 0.5, 1)], "query_id bigint, review_id bigint, score double, rank int")
+    enriched = spark.createDataFrame([], "review_id string, sentiment_label string, sentiment_score double, topic string, key_issue string, processed_at timestamp, model_used string")
+    rows = retrieval.hydrate_candidates(candidates, spark.read.parquet(reviews), enriched, 1, text_features=True)
+    plan = dedupe.exact_dedupe(rows)._jdf.queryExecution().optimizedPlan().toString()
+    semi = plan.index("Join LeftSemi")
+    assert "regexp_replace" in plan[:semi] and "regexp_replace" not in plan[semi:]
+
+
 def test_near_dedupe_is_idempotent(spark):
     df = spark.createDataFrame(make_pool(3), POOL)
     kept = dedupe.near_dedupe(df).filter("duplicate_of IS NULL").select("query_id", "review_id")
