@@ -149,7 +149,7 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     delivered = F.col("o_orderstatus") == "F"
     joined = (
         table(spark, sf_dir, "orders")
-        .join(baskets, key == F.col("l_orderkey"), "left")
+        .join(baskets.hint("merge"), key == F.col("l_orderkey"), "left")  # fact to fact: no broadcast
         .join(places, F.col("r_id") == F.col("place_id"), "left")
     )
     return joined.select(
