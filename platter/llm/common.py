@@ -58,3 +58,24 @@ def by_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
                 yield function(batch)
 
     return run
+
+
+# A group that holds more than this share of all rows is hot; there are fewer than 1 / share of them.
+HOT_SHARE = 1 / 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of rows to one row per group, without sending a hot group's rows to one task.
+
+    `size` is the column of `groups` with the group's number of rows, `total` the number
+    of all rows. Fewer than 1 / HOT_SHARE groups can be hot, so these are broadcast
+    and their rows stay where they are; the others are small and join by shuffle.
+    """
+    hot = F.col(size) > total * HOT_SHARE
+    columns = [c for c in groups.columns if c != key]
+    picked = groups.filter(hot).select(F.col(key).alias("_hot_key"), F.struct(*columns).alias("_group"))
+    tried = rows.join(F.broadcast(picked), F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
+    is_hot = F.col("_group").isNotNull()
+    by_broadcast = tried.filter(is_hot).select(*rows.columns, *[F.col(f"_group.{c}").alias(c) for c in columns])
+    by_shuffle = tried.filter(~is_hot).select(*rows.columns).join(groups.filter(~hot), key)
+    return by_broadcast.unionByName(by_shuffle)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platter.llm.common import ready, whole_text, written
+from platter.llm.common import join_groups, ready, whole_text, written
 
 # Bits of one broadcast filter at most: 64 MB. Beyond about 60 million rows more unique
 # rows take the exact way too, which costs time and changes no result.
@@ -73,11 +73,12 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digests = written(
         docs.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(whole_text(text_col), 256)).alias("_digest")), "digests"
     )
-    flagged = possibly_repeated(digests, _bits(digests.count()))
+    total = digests.count()
+    flagged = possibly_repeated(digests, _bits(total))
     unique = flagged.filter(~F.col("_maybe")).select("_id", "_digest", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"))
     repeated = flagged.filter("_maybe").select("_id", "_digest")
     groups = repeated.groupBy("_digest").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    exact = repeated.join(groups, "_digest").select("_id", "_digest", "_keep", "_size")
+    exact = join_groups(repeated, groups, "_digest", "_size", total).select("_id", "_digest", "_keep", "_size")
     return unique.unionByName(exact).select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
