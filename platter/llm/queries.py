@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from platter.llm import exact_dedup, piece_bpe
+from platter.llm import exact_dedup, packing, piece_bpe, token_file
 from platter.llm.common import table
+from platter.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,6 +21,18 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, docs = scratch_path(spark, "token-ids"), table(spark, sf_dir, "documents")
+    token_file.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_file.token_digests(token_file.read_tokens(spark, path))
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
 @query
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
