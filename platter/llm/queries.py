@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from platter.llm import exact_dedup, packing, piece_bpe, token_file
+from platter.llm import exact_dedup, packing, piece_bpe, simhash, token_file
 from platter.llm.common import table
 from platter.session import scratch_path
 
@@ -33,6 +33,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"), radius=2, shingle=3)
+
+
 @query
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
