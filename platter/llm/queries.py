@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from platter.llm import exact_dedup, packing, piece_bpe, simhash, token_file
+from platter.llm import exact_dedup, language, packing, piece_bpe, simhash, token_file, weighted_sampling
 from platter.llm.common import table
 from platter.session import scratch_path
 
@@ -21,6 +22,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, docs = scratch_path(spark, "token-ids"), table(spark, sf_dir, "documents")
@@ -48,6 +54,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out("doc_id"))
+    model = language.learn(docs.filter("NOT held_out"))
+    return language.identify(docs.drop("lang"), model).drop("text")
+
+
 SQL["op9_exact_dedup"] = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
