@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from platter.llm import exact_dedup, language, packing, piece_bpe, simhash, token_file, weighted_sampling
+from platter.llm import exact_dedup, language, line_dedup, packing, piece_bpe, simhash, token_file, weighted_sampling
 from platter.llm.common import table
 from platter.session import scratch_path
 
@@ -44,6 +44,39 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+SQL["op6_line_dedup"] = """WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents),
+worded AS (
+  SELECT doc_id, place, line, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS seq,
+    len(regexp_extract_all(line, '[^ \\t-\\r]+')) AS words
+  FROM lines WHERE regexp_matches(line, '[^ \\t-\\r]')),
+spans AS (
+  SELECT a.doc_id, a.seq, b.seq AS last,
+    sum(b.words) OVER w AS words, string_agg(b.line, chr(10)) OVER w AS content
+  FROM worded a JOIN worded b ON b.doc_id = a.doc_id AND b.seq BETWEEN a.seq AND a.seq + 49
+  WINDOW w AS (PARTITION BY a.doc_id, a.seq ORDER BY b.seq)),
+runs AS (
+  SELECT doc_id, seq, min(last) AS last, arg_min(content, last) AS content FROM spans WHERE words >= 50 GROUP BY doc_id, seq),
+copies AS (
+  SELECT doc_id, seq, last, row_number() OVER (PARTITION BY content ORDER BY doc_id, seq) AS n FROM runs),
+gone AS (
+  SELECT DISTINCT w.doc_id, w.place FROM copies c JOIN worded w ON w.doc_id = c.doc_id AND w.seq BETWEEN c.seq AND c.last
+  WHERE c.n > 1),
+counted AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_deleted,
+    string_agg(CASE WHEN g.place IS NULL THEN l.line END, chr(10) ORDER BY l.place) AS cleaned
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.place = l.place GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, sha256(coalesce(cleaned, '')) AS text_sha256
+FROM documents d LEFT JOIN counted USING (doc_id)"""
+
+
 @query
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
