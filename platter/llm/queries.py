@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from platter.llm import exact_dedup, language, line_dedup, packing, piece_bpe, simhash, token_file, weighted_sampling
+from platter.llm import exact_dedup, language, licenses, line_dedup, packing, piece_bpe, simhash, token_file, weighted_sampling
 from platter.llm.common import table
 from platter.session import scratch_path
 
@@ -77,6 +77,40 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_de
 FROM documents d LEFT JOIN counted USING (doc_id)"""
 
 
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form in DuckDB, from the fixed values of the operator."""
+    out = f"translate({text}, '{licenses.UPPER}', '{licenses.LOWER}')"
+    out = f"regexp_replace({out}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
+    out = f"replace({out}, '{licenses.SECURE_LINK}', '{licenses.PLAIN_LINK}')"
+    out = f"trim(regexp_replace({out}, '{licenses.NO_LETTER}', ' ', 'g'))"
+    for other, usual in licenses.EQUIVALENT:
+        out = f"regexp_replace({out}, '\\b{other}\\b', '{usual}', 'g')"
+    return out
+
+
+_KNOWN_ROWS = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
+SQL["op7_license_scan"] = f"""WITH known AS (
+  SELECT min(id) AS license_id, sha256({_canonical_sql('t')}) AS digest FROM (VALUES {_KNOWN_ROWS}) v(id, t) GROUP BY 2),
+texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, string_split(t, chr(10)) AS lines,
+    string_split_regex(t, '{licenses.PARAGRAPH_BREAK}') AS paragraphs FROM documents),
+units AS (
+  SELECT doc_id, 'text' AS unit, 0 AS place, t AS part FROM texts
+  UNION ALL
+  SELECT doc_id, 'line', generate_subscripts(lines, 1) - 1, unnest(lines) FROM texts WHERE len(lines) > 1
+  UNION ALL
+  SELECT * FROM (SELECT doc_id, 'paragraph', generate_subscripts(paragraphs, 1) - 1, unnest(paragraphs) AS part FROM texts
+    WHERE len(paragraphs) > 1) WHERE contains(part, chr(10))),
+formed AS (SELECT doc_id, unit, place, {_canonical_sql('part')} AS form FROM units)
+SELECT doc_id, unit, CAST(place AS BIGINT) AS place, license_id, digest
+FROM formed JOIN known ON digest = sha256(form) WHERE form <> ''"""
+
+
 @query
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
