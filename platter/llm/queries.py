@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from platter.llm import exact_dedup, language, licenses, line_dedup, packing, piece_bpe, simhash, token_file, weighted_sampling
+from platter.llm import exact_dedup, language, licenses, line_dedup, packing, perplexity, piece_bpe, simhash, token_file, weighted_sampling
 from platter.llm.common import table
 from platter.session import scratch_path
 
@@ -34,6 +34,11 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_digests(token_file.read_tokens(spark, path))
 
 
+@query
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
