@@ -4,18 +4,32 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
-# Units a Python worker remembers; beyond that it starts anew.
+# Units a Python worker remembers; beyond that only those of the texts at hand.
 REMEMBERED_UNITS = 400_000
-UNITS_AT_ONCE = 5_000
+UNITS_AT_ONCE = 200
 
 # Unicode White_Space. The tokenizer splits texts at white space before it merges: a run of
 # other characters takes one space before it along, the rest of the white space stands alone.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+# Letters that need no look at their category; words of other letters are encoded as any other unit.
+_LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORD = re.compile(f" ?[{_LETTER}]+")
+# A word and the full stops and commas after it, with white space behind; any other run; white space.
+_UNITS = re.compile(
+    f" ?[{_LETTER}]+(?=[.,]*(?:[{_SPACE}]|$))|[.,]+(?=[{_SPACE}]|$)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
 _HAS_SPACE = re.compile(f"[{_SPACE}]")
+TEXTS_AT_ONCE = 250
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes a byte as the Latin-1 character where that is visible, else as the next one from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
 class UnitEncoder:
@@ -32,10 +46,22 @@ class UnitEncoder:
         # Units without white space are encoded many at a time with line feeds between them, which
         # this kind of tokenizer never merges with what follows; the ids are cut at the line feeds.
         self.line_feed = self._plain("\n")
+        self.letters = _byte_letters()
         trial = [" trial", "trial", " 12", "..", " 's"]
         self.joinable = len(self.line_feed) == 1 and self._joined(trial) == [self._bytes(self._plain(u)) for u in trial]
+        # A word is one pre-token, so the library's merges can be applied to it directly.
+        words = [" trial", "Trial", " l\u00e4nger", "\u00c9t\u00e9s"]
+        self.direct = all(self._word(w) == self._bytes(self._plain(w)) for w in words)
         self.known: dict[str, bytes] = {}
 
+    def _word(self, unit: str) -> bytes:
+        if unit.isascii():
+            spelled = unit.replace(" ", self.letters[32])
+        else:
+            spelled = unit.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.tokenizer.model.tokenize(spelled)]
+        return pack(f"<{len(ids)}I", *ids)
+
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -53,23 +79,33 @@ class UnitEncoder:
         return [flat[a:b] for a, b in zip(starts, ends)]
 
     def _learn(self, units: list[str]) -> None:
-        alone = units if not self.joinable else [u for u in units if _HAS_SPACE.search(u, 1 if u[0] == " " else 0) or u == " "]
+        rest = units
+        if self.direct:
+            rest, is_word, spell, known = [], _WORD.fullmatch, self._word, self.known
+            for unit in units:
+                if is_word(unit):
+                    known[unit] = spell(unit)
+                else:
+                    rest.append(unit)
+        alone = [u for u in rest if not self.joinable or u == " " or _HAS_SPACE.search(u, 1) or _HAS_SPACE.match(u[:1].strip(" "))]
         for unit in alone:
             self.known[unit] = self._bytes(self._plain(unit))
-        if self.joinable:
-            odd = set(alone)
-            rest = [u for u in units if u not in odd]
-            for start in range(0, len(rest), UNITS_AT_ONCE):
-                some = rest[start : start + UNITS_AT_ONCE]
-                self.known.update(zip(some, self._joined(some), strict=True))
+        rest = [u for u in rest if u not in self.known]
+        for start in range(0, len(rest), UNITS_AT_ONCE):
+            some = rest[start : start + UNITS_AT_ONCE]
+            self.known.update(zip(some, self._joined(some), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
-        split = [_UNITS.findall(text) for text in texts]
-        if len(self.known) > REMEMBERED_UNITS:
-            self.known.clear()
-        self._learn(list(set().union(*split) - self.known.keys()))
-        return [b"".join(map(self.known.__getitem__, units)) for units in split]
+        out: list[bytes] = []
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            split = [_UNITS.findall(text) for text in texts[start : start + TEXTS_AT_ONCE]]
+            distinct = set().union(*split)
+            if len(self.known) > REMEMBERED_UNITS:  # what these texts use again is worth keeping
+                self.known = {unit: self.known[unit] for unit in distinct & self.known.keys()}
+            self._learn(list(distinct - self.known.keys()))
+            out.extend(b"".join(map(self.known.__getitem__, units)) for units in split)
+        return out
 
 
 @lru_cache(maxsize=2)
