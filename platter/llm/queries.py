@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 
 from platter.llm import exact_dedup, language, licenses, line_dedup, packing, perplexity, piece_bpe, simhash, token_file, weighted_sampling
@@ -136,3 +137,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op9_exact_dedup"] = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -6,6 +6,9 @@ a shard. A shard's distinct fingerprints form a BK-tree (children keyed by their
 distance to the parent), searched with all of them along the edges within the radius. A
 shard that is too large for one tree is split by the same rule on the bits that its key leaves
 open, until it is small or nearly all bits are fixed, so no link is lost and no tree is unbounded.
+
+For near copies of a given similarity the radius is too wide for that; `similar_texts` takes
+longer fingerprints and shards by minimal shingle hashes instead.
 """
 
 from __future__ import annotations
@@ -31,24 +34,32 @@ TREE_SIZE = 4096
 OPEN_BITS = 14
 
 
-def simhash(text: str, shingle: int) -> int:
-    """The fingerprint of a text; zero without words."""
+def _shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of the space-joined shingles, repeats included; fewer words make one shingle, none make none."""
     words = text.encode("utf-8").lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1]
     last = max(len(words) - shingle + 1, 1)
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[:last].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
-    set_bits, total = np.zeros(BITS, np.int64), 0
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in pairs), np.uint64, last)
-    for start in range(0, last, 65536):
-        some = hashes[start : start + 65536]
-        set_bits += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += len(some)
-    return int(np.packbits(2 * set_bits > total, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(line[a:b], seed) for a, b in pairs), np.uint64, last)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """One word of a fingerprint: the bits set in over half the hashes; zero without any."""
+    set_bits = np.zeros(BITS, np.int64)
+    for start in range(0, len(hashes), 65536):
+        some = hashes[start : start + 65536].view(np.uint8).reshape(-1, 8)
+        set_bits += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)
+
+
+def simhash(text: str, shingle: int) -> int:
+    """The fingerprint of a text; zero without words."""
+    return int(_majority(_shingle_hashes(text, shingle, SEED))[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,8 +75,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return given.mapInArrow(by_batch(run), schema).withColumnRenamed("_id", id_col)
 
 
+def _away(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(prints ^ one).sum(axis=1, dtype=np.int64)
+
+
 class BKTree:
-    """Distinct fingerprints in a tree whose edges carry the Hamming distance to the parent."""
+    """Distinct fingerprints, (n, words) of 64 bits, in a tree whose edges carry the Hamming distance to the parent."""
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
@@ -75,7 +90,7 @@ class BKTree:
         while todo:
             members = todo.pop()
             root, rest = int(members[0]), members[1:]
-            away = np.bitwise_count(prints[rest] ^ prints[root])
+            away = _away(prints[rest], prints[root])
             for distance in np.unique(away).tolist():
                 own = rest[away == distance]
                 self.children[root][distance] = int(own[0])
@@ -86,7 +101,7 @@ class BKTree:
         todo = [(0, np.arange(len(self.prints)))] if len(self.prints) else []
         while todo:
             node, queries = todo.pop()
-            away = np.bitwise_count(self.prints[queries] ^ self.prints[node]).astype(np.int64)
+            away = _away(self.prints[queries], self.prints[node])
             yield node, queries[away <= radius]
             for distance, child in self.children[node].items():
                 onward = queries[np.abs(away - distance) <= radius]
@@ -94,8 +109,8 @@ class BKTree:
                     todo.append((child, onward))
 
 
-def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one shard as (member, root of its component): as few as connect what is linked."""
+def forest(prints: np.ndarray, radius: int) -> np.ndarray:
+    """Of each fingerprint of a shard the number of the first one of its component."""
     parent = np.arange(len(prints))
 
     def root(i: int) -> int:
@@ -110,9 +125,7 @@ def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             least = min(roots | {root(node)})
             parent[list(roots)] = least
             parent[root(node)] = least
-    roots = np.array([root(i) for i in range(len(prints))])
-    member = np.flatnonzero(roots != np.arange(len(prints)))
-    return prints[member], prints[roots[member]]
+    return np.array([root(i) for i in range(len(prints))])
 
 
 def _block(low: int, size: int) -> Column:
@@ -182,9 +195,11 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
         for batch in batches:
             a, b = [], []
             for members in batch.column(0):
-                member, root = forest(np.sort(members.values.to_numpy()).view(np.uint64), radius)
-                a.append(member.view(np.int64))
-                b.append(root.view(np.int64))
+                prints = np.sort(members.values.to_numpy())
+                roots = forest(prints.view(np.uint64)[:, None], radius)
+                member = np.flatnonzero(roots != np.arange(len(prints)))
+                a.append(prints[member])
+                b.append(prints[roots[member]])
             empty = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (a, b)], ["a", "b"])
 
@@ -220,3 +235,117 @@ def near_copies(
     return join_groups(rows, named, "fingerprint", "_n", rows.count()).select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# The second way to shard, for radii at which too many blocks differ: texts that share many
+# shingles agree on a band of minimal shingle hashes.
+BANDS, ROWS = 10, 3
+WORDS = 4
+_rng = np.random.default_rng(20240102)
+_MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def radius_for(similarity: float, words: int = WORDS) -> int:
+    """Bits that texts of this Jaccard similarity differ in, with two standard deviations on top."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = float(np.arccos(cosine) / np.pi)
+    bits = BITS * words
+    return int(np.ceil(bits * share + 2 * np.sqrt(bits * share * (1 - share))))
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for start in range(0, len(hashes), 4096):
+        mixed = hashes[start : start + 4096, None] * _MULTIPLIERS
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, mixed.min(axis=0))
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(band.tobytes(), n) - (1 << 63) for n, band in enumerate(rows)]
+
+
+def similar_texts(
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of `docs`: id, component_id; texts of about this similarity and more are in one component.
+
+    Similarity is Jaccard's over the sets of shingles, estimated by SimHash fingerprints of
+    256 bits. Shards are bands of minimal shingle hashes; each distinct fingerprint of a shard is a
+    node of its BK-tree. A shard with more than TREE_SIZE of them is dealt into several trees, whose
+    components are represented by their first fingerprints in the next round, until one tree holds
+    the rest. Equal texts are always linked. Null texts count as empty, and all texts without
+    words are alike. Null ids never name a component unless all its ids are null.
+    """
+    ready(docs.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints, bands = [], []
+        for text in batch.column(1).to_pylist():
+            hashes = _shingle_hashes(text, shingle, SEED)
+            words = [_majority(hashes * m) for m in _MULTIPLIERS[:WORDS]]
+            prints.append(np.concatenate(words).tobytes())
+            bands.append(_bands(np.unique(hashes)))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "print", "bands"]
+        )
+
+    given = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
+    id_type = given.schema["_id"].dataType.simpleString()
+    rows = written(
+        given.mapInArrow(by_batch(run), f"_id {id_type}, print binary, bands array<long>").withColumn("node", F.xxhash64("print")),
+        "wide-fingerprints",
+    )
+    groups = written(
+        rows.groupBy("node").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"), F.min("print").alias("print"), F.min("bands").alias("bands")),
+        "distinct-wide-fingerprints",
+    )
+    radius = radius_for(similarity)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards, nodes, roots = [], [], []
+            for shard, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                members = sorted((m["node"].as_py(), m["print"].as_py()) for m in members)
+                prints = np.frombuffer(b"".join(p for _, p in members), np.uint64).reshape(-1, WORDS)
+                names = np.array([n for n, _ in members])
+                shards.extend([shard] * len(names))
+                nodes.append(names)
+                roots.append(names[forest(prints, radius)])
+            empty = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shards, pa.int64()), *(pa.array(np.concatenate([empty, *x])) for x in (nodes, roots))], ["shard", "node", "root"]
+            )
+
+    members = groups.select("node", "print", F.explode("bands").alias("shard"))
+    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    members = written(join_groups(members, sizes, "shard", "_n", groups.count()).drop("_n"), "shard-members")
+    found = None
+    while True:
+        sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("_n"))
+        trees = F.ceil(F.col("_n") / TREE_SIZE)
+        dealt = join_groups(members, sizes, "shard", "_n", groups.count()).withColumn(
+            "_tree", F.pmod(F.xxhash64("node", "shard"), trees)
+        )
+        linked = written(
+            dealt.groupBy("shard", "_tree")
+            .agg(F.collect_list(F.struct("node", "print")).alias("members"))
+            .select("shard", "members")
+            .mapInArrow(link, "shard long, node long, root long"),
+            "shard-links",
+        )
+        edges = linked.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = edges if found is None else found.unionByName(edges)
+        split = sizes.filter(F.col("_n") > TREE_SIZE).select("shard")
+        if split.isEmpty():
+            break
+        heads = linked.filter("node = root").select("shard", "node").join(split, "shard", "left_semi")
+        again = written(heads.join(groups.select("node", "print"), "node"), "shard-members")
+        if again.count() == members.join(split, "shard", "left_semi").count():
+            break  # nothing in the large shards is alike
+        members = again
+    roots = components(found)
+    rooted = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_size"))
+    total = rows.count()
+    named = join_groups(rooted.select("node", "_n", "root"), least, "root", "_size", total).select("node", "component_id", "_n")
+    return join_groups(rows.select("_id", "node"), named, "node", "_n", total).select(F.col("_id").alias(id_col), "component_id")
