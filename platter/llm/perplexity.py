@@ -167,7 +167,7 @@ def count_trusted(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
                 for lang, _, texts in _by_language(rows):
                     _, grams, counts = _distinct(texts)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(grams)), pa.array(grams, pa.string()), pa.array(counts)], ["lang", "gram", "n"]
+                        [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts)], ["lang", "gram", "n"]
                     )
 
     counts = blocks.join(chosen, "block").select("payload", "chosen").mapInArrow(run, "lang string, gram string, n long")
@@ -262,7 +262,7 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> D
                 for lang, _, texts in _by_language(_unpacked(payload.as_py())):
                     _, grams, _ = _distinct(texts)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block] * len(grams), pa.int64()), pa.array([lang] * len(grams)), pa.array(grams, pa.string())],
+                        [pa.array([block] * len(grams), pa.int64()), pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())],
                         ["block", "lang", "gram"],
                     )
 
