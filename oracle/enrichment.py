@@ -132,7 +132,7 @@ responses(
 _SIDE = "SELECT o.* FROM objects_out o JOIN verdicts v USING (batch_id, priority) WHERE v.valid AND o.model = {}"
 _COMPARED = {
     "left_items": _SIDE.format(text(MODELS[0])),
-    "right_items": _SIDE.format(text(MODELS[1])),
+    "right_items": _SIDE.format(text(MODELS[2])),
     "compared": """SELECT a.review_id, a.sentiment_label AS left_sentiment_label, a.sentiment_score AS left_sentiment_score, a.topic AS left_topic,
   a.key_issue AS left_key_issue, b.sentiment_label AS right_sentiment_label, b.sentiment_score AS right_sentiment_score, b.topic AS right_topic,
   b.key_issue AS right_key_issue, a.sentiment_label IS NOT DISTINCT FROM b.sentiment_label AS sentiment_match,

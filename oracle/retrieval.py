@@ -333,15 +333,17 @@ add(
 def progressive(settings: dedupe.Selection) -> tuple[str, dict[str, str]]:
     steps = ", ".join(str(n) for n in settings.levels)
     sql = """SELECT r.query_id, CAST(l.level AS INT) AS level, l.full AS stopped_early, CAST(l.distinct_texts AS INT) AS distinct_texts,
-  CAST(l.distinct_texts - l.unique_texts AS INT) AS near_duplicates_removed, array_to_string(b.picked, ',') AS selected, l.dominant AS dominant_patterns
-FROM (SELECT DISTINCT query_id FROM numbered) r
+  CAST(l.distinct_texts - l.unique_texts AS INT) AS near_duplicates_removed, array_to_string(b.picked, ',') AS selected,
+  CAST(len(b.picked) AS INT) AS selected_count, l.dominant AS dominant_patterns, l.distribution
+FROM questions r
 JOIN last_stage l USING (query_id) JOIN best_stage b USING (query_id)"""
     stages = {
         "all_stages": f"""SELECT q.query_id, s.level, coalesce(k.picked, []::BIGINT[]) AS picked, coalesce(len(k.picked), 0) >= {settings.final_k} AS full,
   (SELECT count(*) FROM numbered n WHERE n.query_id = q.query_id AND n.rank <= s.level) AS distinct_texts,
   (SELECT count(*) FROM staged n WHERE n.query_id = q.query_id AND n.level = s.level) AS unique_texts,
-  coalesce((SELECT string_agg(DISTINCT n.pattern, ',' ORDER BY n.pattern) FROM staged n WHERE n.query_id = q.query_id AND n.level = s.level AND n.dominant), '') AS dominant
-FROM (SELECT DISTINCT query_id FROM numbered) q JOIN (SELECT unnest([{steps}]) AS level) s ON true
+  coalesce((SELECT string_agg(DISTINCT n.pattern, ',' ORDER BY n.pattern) FROM staged n WHERE n.query_id = q.query_id AND n.level = s.level AND n.dominant), '') AS dominant,
+  coalesce((SELECT string_agg(pattern || '=' || c, ',' ORDER BY pattern) FROM (SELECT n.query_id, n.level, n.pattern, count(*) AS c FROM staged n GROUP BY ALL) n WHERE n.query_id = q.query_id AND n.level = s.level), '') AS distribution
+FROM questions q JOIN (SELECT unnest([{steps}]) AS level) s ON true
 LEFT JOIN picks k ON k.query_id = q.query_id AND k.level = s.level""",
         "tried": """SELECT * FROM all_stages a WHERE NOT EXISTS (SELECT 1 FROM all_stages f WHERE f.query_id = a.query_id AND f.full AND f.level < a.level)""",
         "last_stage": "SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY level DESC) = 1",
@@ -360,6 +362,7 @@ add("progressive_retrieve_wide", _sql, **pools("hydrated_wide", False), **_wide)
 add(
     "retrieval_steps",
     """SELECT l.query_id, CAST(l.level AS INT) AS level, l.full AS stopped_early,
+  (SELECT max(x.threshold) FROM relevant x WHERE x.query_id = l.query_id) AS threshold,
   (SELECT count(*) FROM relevant x WHERE x.query_id = l.query_id AND x.rank <= l.level) AS semantic_candidates,
   (SELECT count(*) FROM hydrated x WHERE x.query_id = l.query_id AND x.rank <= l.level) AS evidence_rows,
   (SELECT count(*) FROM hydrated x WHERE x.query_id = l.query_id AND x.rank <= l.level)

@@ -65,11 +65,14 @@ class NearDuplicateFilter:
 
     def _rare_tokens(self, tokens: Sequence[str]) -> list[str]:
         ordered = sorted(tokens, key=lambda t: (self.frequency[t], t))
-        return ordered[: len(ordered) - math.ceil(self.threshold * len(ordered)) + 1]
+        # The product is rounded down a little: 0.55 * 100 must count as 55.
+        return ordered[: len(ordered) - math.ceil(self.threshold * len(ordered) - 1e-9) + 1]
 
     def match(self, tokens: Sequence[str]) -> int | None:
         """Key of the first kept set that is too similar."""
         own = frozenset(tokens)
+        if not own:  # two empty sets are alike
+            return next((key for key, other in self.kept if not other), None)
         found = {k for t in self._rare_tokens(tokens) for k in self.index[t]}
         for k in sorted(found):
             key, other = self.kept[k]
@@ -211,17 +214,18 @@ def diverse_select(candidates: DataFrame, settings: Selection = Selection()) ->
 
 _STAGE_SCHEMA = (
     "query_id bigint, level int, stopped_early boolean, distinct_texts int, near_duplicates_removed int, "
-    "selected array<bigint>, dominant_patterns array<string>"
+    "selected array<bigint>, dominant_patterns array<string>, distribution map<string, int>"
 )
 
 
-def progressive_select(pool: DataFrame, settings: Selection = Selection()) -> DataFrame:
-    """Per query the best selection over widening levels, with diagnostics of the last stage tried.
+def progressive_select(pool: DataFrame, questions: DataFrame, settings: Selection = Selection()) -> DataFrame:
+    """Per question the best selection over widening levels, with diagnostics of the last stage tried.
 
     ``pool`` holds hydrated, intent-filtered, exact-deduplicated candidates with
     the rank of the vector search; a level is a prefix of that ranking. The
     search stops at the first level that fills the selection, else the largest
-    selection counts, the first on ties.
+    selection counts, the first on ties. A question without candidates has tried all
+    levels and selected nothing.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -237,10 +241,11 @@ def progressive_select(pool: DataFrame, settings: Selection = Selection()) -> Da
             if len(chosen) > len(best):
                 best = chosen
             full = len(chosen) >= settings.final_k
-            report = (level, full, int(inside.sum()), int(inside.sum()) - len(unique), dominant)
+            patterns = dict(Counter(unique["pattern"]))
+            report = (level, full, int(inside.sum()), int(inside.sum()) - len(unique), dominant, patterns)
             if full:
                 break
-        level, full, distinct, removed, dominant = report
+        level, full, distinct, removed, dominant, patterns = report
         return pd.DataFrame(
             {
                 "query_id": [int(rows["query_id"].iloc[0])],
@@ -250,14 +255,27 @@ def progressive_select(pool: DataFrame, settings: Selection = Selection()) -> Da
                 "near_duplicates_removed": [removed],
                 "selected": [best],
                 "dominant_patterns": [dominant],
+                "distribution": [patterns],
             }
         )
 
-    return (
+    stages = (
         pool.select("query_id", "review_id", "rank", "score", "tokens", "pattern", "embedding")
         .groupBy("query_id")
         .applyInPandas(run, _STAGE_SCHEMA)
     )
+    nothing = {
+        "level": F.lit(settings.levels[-1]),
+        "stopped_early": F.lit(False),
+        "distinct_texts": F.lit(0),
+        "near_duplicates_removed": F.lit(0),
+        "selected": F.array().cast("array<bigint>"),
+        "dominant_patterns": F.array().cast("array<string>"),
+        "distribution": F.create_map().cast("map<string, int>"),
+    }
+    return questions.select("query_id").join(stages, "query_id", "left").select(
+        "query_id", *[F.coalesce(name, other).alias(name) for name, other in nothing.items()]
+    )
 
 
 def mmr_rerank(

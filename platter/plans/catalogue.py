@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from platter.functions import sqlcompat as C
 
-MAX_ROWS = 100
-
 
 def top(df: DataFrame, measure: str, keys: list[str], n: int = 10, descending: bool = True) -> DataFrame:
     """The n best rows by a measure, NULL measures last, ties by key."""
     first = F.col(measure).desc_nulls_last() if descending else F.col(measure).asc_nulls_last()
-    return df.orderBy(first, *[F.col(k).asc_nulls_last() for k in keys]).limit(min(n, MAX_ROWS))
+    return df.orderBy(first, *[F.col(k).asc_nulls_last() for k in keys]).limit(n)
 
 
 def cities_by_gmv(daily_city: DataFrame, n: int = 10) -> DataFrame:

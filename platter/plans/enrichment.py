@@ -297,24 +297,34 @@ def enrich_coverage(usable: DataFrame, enriched: DataFrame) -> DataFrame:
 Responder = Callable[[list[str]], list[str]]
 
 
-def call_model(batches: DataFrame, name: str, model: Responder) -> DataFrame:
-    """Ask one model once per batch; (batch_id, model, raw).
+def call_model(batches: DataFrame, name: str, model: Responder, attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Ask one model per batch; (batch_id, model, raw, attempts, error).
 
-    A model is any function from request payloads to raw answers; an exception
-    counts as a failed request with a NULL answer.
+    A model is any function from request payloads to raw answers. It is asked one request at a
+    time, up to ``attempts`` times while it raises, so that a failing request costs no
+    other; where all tries fail the answer is NULL and ``error`` holds the last reason.
     """
 
+    def one(payload: str) -> tuple[str | None, int, str | None]:
+        error = None
+        for attempt in range(1, attempts + 1):
+            try:
+                (answer,) = model([payload])
+                return answer, attempt, None
+            except Exception as failure:  # noqa: BLE001 - a failed call is data here
+                error = f"{type(failure).__name__}: {failure}"
+        return None, attempts, error
+
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            try:
-                answers = list(model(list(frame["payload"])))
-                if len(answers) != len(frame):
-                    raise ValueError("answer count differs from request count")
-            except Exception:  # noqa: BLE001 - a failed call is data here
-                answers = [None] * len(frame)
-            yield pd.DataFrame({"batch_id": frame["batch_id"], "model": name, "raw": answers})
-
-    return batches.select("batch_id", "payload").mapInPandas(ask, "batch_id string, model string, raw string")
+            answers = [one(payload) for payload in frame["payload"]]
+            raw, tries, errors = zip(*answers) if answers else ((), (), ())
+            yield pd.DataFrame(
+                {"batch_id": frame["batch_id"], "model": name, "raw": list(raw), "attempts": list(tries), "error": list(errors)}
+            )
+
+    schema = "batch_id string, model string, raw string, attempts int, error string"
+    return batches.select("batch_id", "payload").mapInPandas(ask, schema)
 
 
 def run_enrichment(

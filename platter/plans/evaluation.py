@@ -90,10 +90,12 @@ def sql_audit(log: DataFrame, column: str = "sql") -> DataFrame:
 
 def route_validate(responses: DataFrame, column: str = "response") -> DataFrame:
     """Route, confidence and reason of each JSON answer, or the fallback when any of them is invalid."""
-    parsed = F.from_json(F.col(column), "route string, confidence string, reason string")
+    parsed = F.from_json(F.col(column), "route string, confidence string, reason variant")
     route = F.lower(C.trim_all(parsed["route"]))
     confidence = parsed["confidence"].try_cast("double")
-    reason = C.trim_all(parsed["reason"])
+    # A reason that is no text (a number, an object) makes the answer invalid.
+    is_text = F.schema_of_variant(parsed["reason"]) == "STRING"
+    reason = F.when(is_text, C.trim_all(F.try_variant_get(parsed["reason"], "$", "string")))
     usable = F.coalesce(
         route.isin(*ROUTES) & confidence.between(0.0, 1.0) & (reason != ""),
         F.lit(False),

@@ -437,7 +437,7 @@ def _times(spark, sf_dir):
 def _comparison(spark, sf_dir):
     items = enrichment.response_items(_validated(spark, sf_dir).filter("valid").select("batch_id", "model", "items"))
     return enrichment.model_compare(
-        items.filter(F.col("model") == sample.MODELS[0]), items.filter(F.col("model") == sample.MODELS[1])
+        items.filter(F.col("model") == sample.MODELS[0]), items.filter(F.col("model") == sample.MODELS[2])
     )
 
 
@@ -802,7 +802,7 @@ def _diverse_strict(spark, sf_dir):
 def _progressive_wide(spark, sf_dir):
     """Small levels and more picks than the first ones hold, so that the retrieval widens."""
     wide = dedupe.Selection(vector_duplicate=0.12, levels=(5, 20, 60, 150, WIDEST), final_k=12)
-    return _stages(dedupe.progressive_select(_wide_pool(spark, sf_dir), wide))
+    return _stages(dedupe.progressive_select(_wide_pool(spark, sf_dir), sample.questions(spark, sf_dir), wide))
 
 
 @query("diverse_select")
@@ -812,21 +812,25 @@ def _diverse(spark, sf_dir):
 
 @query("progressive_retrieve")
 def _progressive(spark, sf_dir):
-    return _stages(dedupe.progressive_select(_pool(spark, sf_dir)))
+    return _stages(dedupe.progressive_select(_pool(spark, sf_dir), sample.questions(spark, sf_dir)))
 
 
 def _stages(stages: DataFrame) -> DataFrame:
     return stages.select(
         "query_id", "level", "stopped_early", "distinct_texts", "near_duplicates_removed",
         F.array_join(F.transform("selected", lambda r: r.cast("string")), ",").alias("selected"),
+        F.size("selected").alias("selected_count"),
         F.array_join("dominant_patterns", ",").alias("dominant_patterns"),
+        F.array_join(
+            F.transform(F.array_sort(F.map_entries("distribution")), lambda e: F.concat_ws("=", e["key"], e["value"])), ","
+        ).alias("distribution"),
     )
 
 
 @query("retrieval_steps")
 def _retrieval_steps(spark, sf_dir):
     steps = _steps(spark, sf_dir)
-    return retrieval.step_counts(steps, dedupe.progressive_select(steps.pool))
+    return retrieval.step_counts(steps, dedupe.progressive_select(steps.pool, sample.questions(spark, sf_dir)))
 
 
 def _restaurant_evidence(measure: str) -> Query:
@@ -843,7 +847,7 @@ def _restaurant_evidence(measure: str) -> Query:
         steps = retrieval.evidence_steps(
             asked, queries, settle(corpus), wh.raw["reviews"], wh.review_enriched, n, min_relevance=0.1, window=0.3
         )
-        evidence = retrieval.selected_evidence(dedupe.progressive_select(steps.pool), steps.pool)
+        evidence = retrieval.selected_evidence(dedupe.progressive_select(steps.pool, asked), steps.pool)
         return retrieval.format_evidence(asked, evidence)
 
     return build
@@ -862,8 +866,9 @@ def _mmr(spark, sf_dir):
 @query("format_evidence")
 def _format_evidence(spark, sf_dir):
     pool = _pool(spark, sf_dir)
-    evidence = retrieval.selected_evidence(dedupe.progressive_select(pool), pool)
-    return retrieval.format_evidence(sample.questions(spark, sf_dir), evidence)
+    asked = sample.questions(spark, sf_dir)
+    evidence = retrieval.selected_evidence(dedupe.progressive_select(pool, asked), pool)
+    return retrieval.format_evidence(asked, evidence)
 
 
 @query("format_context")

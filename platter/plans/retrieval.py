@@ -147,22 +147,34 @@ def evidence_steps(
 
 
 def step_counts(steps: Evidence, stages: DataFrame) -> DataFrame:
-    """Per query, within the last level tried: how many candidates every step left."""
+    """Per question, within the last level tried: how many candidates every step left, and its threshold.
+
+    Questions whose filters or search left nothing have counts of zero; the threshold is
+    NULL where nothing was relevant.
+    """
     names = {"relevant": steps.relevant, "hydrated": steps.hydrated, "filtered": steps.filtered, "distinct": steps.pool}
     tagged = reduce(
         DataFrame.unionByName,
         [df.select("query_id", "rank", F.lit(name).alias("step")) for name, df in names.items()],
     )
     last = stages.select("query_id", "level", "stopped_early", "near_duplicates_removed", "selected")
-    return (
-        tagged.join(last, "query_id")
+    counts = (
+        tagged.join(last.select("query_id", "level"), "query_id")
         .filter(F.col("rank") <= F.col("level"))
-        .groupBy("query_id", "level", "stopped_early", "near_duplicates_removed", F.size("selected").alias("final_reviews"))
+        .groupBy("query_id")
         .agg(*[F.count_if(F.col("step") == name).alias(f"{name}_rows") for name in names])
+    )
+    thresholds = steps.relevant.groupBy("query_id").agg(F.max("threshold").alias("threshold"))
+    return (
+        last.join(counts, "query_id", "left")
+        .na.fill(0, [f"{name}_rows" for name in names])
+        .join(thresholds, "query_id", "left")
+        .withColumn("final_reviews", F.size("selected"))
         .select(
             "query_id",
             "level",
             "stopped_early",
+            "threshold",
             F.col("relevant_rows").alias("semantic_candidates"),
             F.col("hydrated_rows").alias("evidence_rows"),
             (F.col("hydrated_rows") - F.col("filtered_rows")).alias("query_filtered"),
@@ -196,13 +208,18 @@ def _line(label: str, value: Column) -> Column:
     return F.when(value.isNotNull() & (value.cast("string") != ""), F.concat(F.lit(label), value.cast("string")))
 
 
-def render_review() -> Column:
-    """One evidence block; optional lines appear only where there is a value."""
+def render_review(text_length: int | None = EVIDENCE_TEXT_LENGTH) -> Column:
+    """One evidence block; optional lines appear only where there is a value.
+
+    Comments over ``text_length`` characters are shortened, as the block is meant for a
+    prompt; None keeps whole comments. The labels are fixed values.
+    """
     comment = C.trim_all(F.coalesce("comment", F.lit("")))
-    shortened = F.when(
-        F.length(comment) > EVIDENCE_TEXT_LENGTH,
-        F.concat(F.substring(comment, 1, EVIDENCE_TEXT_LENGTH), F.lit("...")),
-    ).otherwise(comment)
+    shortened = comment
+    if text_length is not None:
+        shortened = F.when(
+            F.length(comment) > text_length, F.concat(F.substring(comment, 1, text_length), F.lit("..."))
+        ).otherwise(comment)
     return F.concat_ws(
         "\n",
         F.concat(F.lit("Review ID: "), F.col("review_id").cast("string")),
@@ -215,10 +232,12 @@ def render_review() -> Column:
     )
 
 
-def format_evidence(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+def format_evidence(
+    questions: DataFrame, evidence: DataFrame, text_length: int | None = EVIDENCE_TEXT_LENGTH
+) -> DataFrame:
     """(query_id, evidence): blocks in pick order, a fixed sentence where nothing was selected."""
     blocks = (
-        evidence.withColumn("_block", render_review())
+        evidence.withColumn("_block", render_review(text_length))
         .groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("pick", "_block"))).alias("_blocks"))
     )
@@ -229,7 +248,7 @@ def format_evidence(questions: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def format_context(evidence: DataFrame) -> DataFrame:
-    """The older rendering with date and score, in score order."""
+    """The older rendering with date and score, in score order; the labels are fixed values."""
     block = F.concat(
         F.lit("Review ID: "), F.col("review_id").cast("string"),
         F.lit("\nRating: "), F.coalesce(F.col("rating").cast("string"), F.lit("None")),
@@ -288,7 +307,7 @@ def evidence_validity(evidence: DataFrame) -> DataFrame:
         .select(
             "query_id",
             "review_count",
-            F.lit(",".join(missing)).alias("missing_columns"),
+            F.lit(",".join(sorted(missing))).alias("missing_columns"),
             (F.col("_ids") - F.col("_distinct")).alias("duplicate_review_ids"),
             "empty_comments",
             (F.lit(not missing) & (F.col("_ids") == F.col("_distinct"))).alias("valid"),

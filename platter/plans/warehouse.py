@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from platter.plans import marts, quality, staging
 from platter.schemas import LAYERS
-from platter.session import estimated_bytes, size_shuffles
+from platter.session import estimated_bytes, sized_shuffles
 from platter.sources import tables
 
 
@@ -151,27 +151,27 @@ def build_all(house: Warehouse, out_dir: str, with_enrichment: bool = True) -> D
     for name, df in house.raw.items():
         tables.replace_table(df, path("raw", name))
     landed = {name: spark.read.parquet(path("raw", name)) for name in house.raw}
-    size_shuffles(spark, sum(estimated_bytes(df) for df in landed.values()))
-    built = Warehouse(spark, landed, house.enriched)
-    register_views(built)
-
-    for name in DIMENSIONS:
-        tables.replace_table(getattr(built, name), path("marts", name))
-    by_month = built.fct_orders.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
-    # One file set per month; the rebalance splits a large month and joins small ones.
-    balanced = by_month.hint("rebalance", "order_month")
-    tables.replace_table(balanced, path("marts", "fct_orders"), partition_by=["order_month"])
-
-    built.__dict__["fct_orders"] = spark.read.parquet(path("marts", "fct_orders")).drop("order_month")
-    for name in DIMENSIONS:
-        built.__dict__[name] = spark.read.parquet(path("marts", name))
-    quality.require(quality.order_fact_violations(built.fct_orders, built.dim_customer))
-
-    wanted = MARTS + (ENRICHMENT_MARTS if with_enrichment and house.enriched is not None else ())
-    for name in wanted:
-        tables.replace_table(getattr(built, name), path("marts", name))
-
-    written = [("raw", n) for n in house.raw] + [("marts", n) for n in (*DIMENSIONS, "fct_orders", *wanted)]
+    with sized_shuffles(spark, sum(estimated_bytes(df) for df in landed.values())):
+        built = Warehouse(spark, landed, house.enriched)
+        register_views(built)
+
+        for name in DIMENSIONS:
+            tables.replace_table(getattr(built, name), path("marts", name))
+        by_month = built.fct_orders.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
+        # One file set per month; the rebalance splits a large month and joins small ones.
+        balanced = by_month.hint("rebalance", "order_month")
+        tables.replace_table(balanced, path("marts", "fct_orders"), partition_by=["order_month"])
+
+        built.__dict__["fct_orders"] = spark.read.parquet(path("marts", "fct_orders")).drop("order_month")
+        for name in DIMENSIONS:
+            built.__dict__[name] = spark.read.parquet(path("marts", name))
+        quality.require(quality.order_fact_violations(built.fct_orders, built.dim_customer))
+
+        wanted = MARTS + (ENRICHMENT_MARTS if with_enrichment and house.enriched is not None else ())
+        for name in wanted:
+            tables.replace_table(getattr(built, name), path("marts", name))
+
+        written = [("raw", n) for n in house.raw] + [("marts", n) for n in (*DIMENSIONS, "fct_orders", *wanted)]
     return tables.row_counts(
         {f"{layer}.{name}": spark.read.parquet(path(layer, name)) for layer, name in written}
     )

@@ -16,13 +16,14 @@ def _schema(*fields) -> T.StructType:
 
 # Column names and types of the landing tables as declared.
 RAW_TABLES: dict[str, T.StructType] = {
-    "restaurants": _schema(
+    "restaurant": _schema(
         ("_idx", _S), ("id", _S), ("name", _S), ("city", _S), ("rating", _S), ("rating_count", _S), ("cost", _S),
         ("cuisine", _S), ("lic_no", _S), ("link", _S), ("address", _S), ("menu", _S),
     ),
     "users": _schema(
-        ("_idx", _S), ("user_id", _S), ("name", _S), ("email", _S), ("password", _S), ("age", _S), ("gender", _S),
-        ("marital_status", _S), ("occupation", _S), ("monthly_income", _S), ("education", _S), ("family_size", _S),
+        ("_idx", _S), ("user_id", _S), ("name", _S), ("email", _S), ("password", _S), ("Age", _S), ("Gender", _S),
+        ("Marital Status", _S), ("Occupation", _S), ("Monthly Income", _S), ("Educational Qualifications", _S),
+        ("Family size", _S),
     ),
     "food": _schema(("_idx", _S), ("f_id", _S), ("item", _S), ("veg_or_non_veg", _S)),
     "menu": _schema(("_idx", _S), ("menu_id", _S), ("r_id", _S), ("f_id", _S), ("cuisine", _S), ("price", _S)),
@@ -55,11 +56,6 @@ REVIEW_ENRICHED = T.StructType(
     ]
 )
 
-EMBEDDING_BATCH = _schema(
-    ("review_id", _L), ("rating", _L), ("comment", _S), ("review_date", _D),
-    ("embedding", T.ArrayType(T.FloatType())),
-)
-
 LAYERS = ("raw", "staging", "marts", "snapshots", "ai")
 
 

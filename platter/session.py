@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +30,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Input per shuffle partition and the most partitions a shuffle should start with.
+# Input per shuffle partition.
 BYTES_PER_PARTITION = 512 << 20
-MAX_PARTITIONS = 32768
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -38,15 +40,24 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
-    """Start shuffles with enough partitions for the input; adaptive execution joins the small ones.
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[int]:
+    """Inside, shuffles start with enough partitions for the input; adaptive execution joins the small ones.
 
-    Never goes below the configured number of shuffle partitions. Returns the number set.
+    Never goes below the configured number of shuffle partitions. Yields the number set and
+    restores the setting at the end.
     """
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(configured, min(MAX_PARTITIONS, -(-input_bytes // BYTES_PER_PARTITION)))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
-    return partitions
+    partitions = max(configured, -(-input_bytes // BYTES_PER_PARTITION))
+    before = spark.conf.get(_INITIAL, None)
+    spark.conf.set(_INITIAL, str(partitions))
+    try:
+        yield partitions
+    finally:
+        if before is None:
+            spark.conf.unset(_INITIAL)
+        else:
+            spark.conf.set(_INITIAL, before)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -59,7 +70,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="platter-")
     if not spark.sparkContext.getCheckpointDir():

@@ -406,7 +406,7 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["json"]).alias("items"))
     )
     items, first = F.col("items"), F.col("items")[0]
-    rest = F.slice(items, 2, 1000)
+    rest = F.slice(items, F.lit(2), F.size(items))
 
     def joined(*parts: Column) -> Column:
         return F.concat(F.lit("["), F.array_join(F.concat(*parts), ", "), F.lit("]"))

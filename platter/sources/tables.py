@@ -124,7 +124,3 @@ def lookup_by_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 def parse_review_dates(df: DataFrame, column: str = "review_date") -> DataFrame:
     """Lenient date parse: what is not a date becomes NULL."""
     return df.withColumn(column, F.col(column).cast("string").try_cast("date"))
-
-
-def nonblank(df: DataFrame, column: str) -> DataFrame:
-    return df.filter(C.not_blank(F.col(column)))

@@ -188,7 +188,7 @@ def test_progressive_matches_brute_force(spark):
     settings = dedupe.Selection(vector_duplicate=0.95, final_k=9, levels=(3, 10, 25, 60))
     pools = [make_pool(s) for s in SEEDS]
     df = spark.createDataFrame([r for p in pools for r in p], POOL)
-    got = {r["query_id"]: r for r in dedupe.progressive_select(df, settings).collect()}
+    got = {r["query_id"]: r for r in dedupe.progressive_select(df, df.select("query_id").distinct(), settings).collect()}
     for p in pools:
         best, level_used = [], None
         for level in settings.levels:
