@@ -74,7 +74,7 @@ def write_tokens(
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
         .option("orc.stripe.size", str(STRIPE_BYTES))
-        .option("compression", "zstd")
+        .option("compression", "lz4")
         .orc(path)
     )
 

@@ -100,11 +100,15 @@ class UnitEncoder:
         out: list[bytes] = []
         for start in range(0, len(texts), TEXTS_AT_ONCE):
             split = [_UNITS.findall(text) for text in texts[start : start + TEXTS_AT_ONCE]]
-            distinct = set().union(*split)
-            if len(self.known) > REMEMBERED_UNITS:  # what these texts use again is worth keeping
-                self.known = {unit: self.known[unit] for unit in distinct & self.known.keys()}
-            self._learn(list(distinct - self.known.keys()))
-            out.extend(b"".join(map(self.known.__getitem__, units)) for units in split)
+            found = [list(map(self.known.get, units)) for units in split]
+            missing = {u for units, ids in zip(split, found) if None in ids for u, known in zip(units, ids) if known is None}
+            self._learn(list(missing))
+            for units, ids in zip(split, found):
+                if None in ids:
+                    ids = [self.known[u] if known is None else known for u, known in zip(units, ids)]
+                out.append(b"".join(ids))
+            if len(self.known) > REMEMBERED_UNITS:  # what these texts use is worth keeping
+                self.known = {unit: self.known[unit] for unit in set().union(*split)}
         return out
 
 
