@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from oracle.base import TRIM, half_up, not_blank, text, text_list
 from oracle.statements import SQL, add
 from platter.functions.text import ASPECTS, INTENT_PHRASES, SPACE_CLASS, TERM_FAMILIES
@@ -213,6 +215,28 @@ def stage(**changes: str) -> dict[str, str]:
 
 add("vector_topk", "SELECT query_id, review_id, score, rank FROM ranked WHERE rank <= 5", **stage())
 SQL["vector_topk_all_cells"] = SQL["vector_topk"]
+# Six planes serve all tables up to 4096 x 127 vectors; their values come from the seed.
+_BITS, _PROBES = 6, 16
+_DIMENSION = 64
+_PLANES = np.random.default_rng(42).standard_normal((_DIMENSION, _BITS)).T.tolist()
+_SIDES = "[" + ", ".join(f"list_dot_product(embedding, {plane}::DOUBLE[])" for plane in _PLANES) + "]"
+_OWN = " + ".join(f"CASE WHEN sides[{b + 1}] >= 0 THEN {1 << b} ELSE 0 END" for b in range(_BITS))
+_COST = " + ".join(f"CASE WHEN (flip >> {b}) & 1 = 1 THEN abs(sides[{b + 1}]) ELSE 0 END" for b in range(_BITS))
+add(
+    "vector_topk_lsh",
+    """SELECT r.query_id, count(*) AS expected, count(f.review_id) AS hit, (SELECT count(*) FROM review_embeddings) AS table_rows,
+  (SELECT count(*) FROM probed_rows n WHERE n.query_id = r.query_id) AS rows_scored
+FROM ranked r LEFT JOIN probed_best f ON f.query_id = r.query_id AND f.review_id = r.review_id WHERE r.rank <= 5 GROUP BY r.query_id""",
+    **stage(
+        query_sides=f"SELECT query_id, {_SIDES} AS sides FROM query_embeddings",
+        probed=f"""SELECT query_id, xor({_OWN}, flip) AS cell FROM query_sides, (SELECT CAST(unnest(range({1 << _BITS})) AS INT) AS flip)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_COST}, flip) <= {_PROBES}""",
+        placed=f"SELECT review_id, {_OWN} AS cell FROM (SELECT review_id, {_SIDES} AS sides FROM review_embeddings)",
+        probed_rows="SELECT p.query_id, c.review_id FROM probed p JOIN placed c USING (cell)",
+        probed_best="""SELECT s.query_id, s.review_id FROM scored s JOIN probed_rows n ON n.query_id = s.query_id AND n.review_id = s.review_id
+  QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.review_id) <= 5""",
+    ),
+)
 add("adaptive_threshold", "SELECT query_id, review_id, score, rank, threshold FROM relevant", **stage())
 add("hydrate_candidates", "SELECT * EXCLUDE (threshold) FROM hydrated", **stage())
 add("hydrate_left_ranked", "SELECT * FROM left_ranked", **stage())

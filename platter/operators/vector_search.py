@@ -7,11 +7,13 @@ bounded by tasks x queries x k and never by the corpus.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,8 @@ QUERIES_PER_PASS = 512
 # A ranked candidate row is three 8-byte values plus overhead.
 CANDIDATE_BYTES = 64
 BROADCAST_LIMIT = 64 << 20
+# Tasks whose winners are merged in one group.
+MERGED_TASKS = 64
 
 SCORE_DIGITS = 9
 
@@ -83,26 +87,46 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
 
-def _one_pass(rows: list[Row], corpus: DataFrame, k: int, min_score: float | None) -> DataFrame:
-    schema = "query_id bigint, review_id bigint, score double"
+def _one_pass(
+    rows: list[Row], corpus: DataFrame, k: int, min_score: float | None, cells: list[list[int]] | None = None
+) -> DataFrame:
+    """The best k of every query within each task. With ``cells``, one list per query, a query
+    scores only the rows of its own cells; the corpus then has a column ``cell``."""
+    schema = "query_id bigint, review_id bigint, score double, task int"
     if not rows:
         return corpus.sparkSession.createDataFrame([], schema)
     query_ids = [r["query_id"] for r in rows]
     query_matrix = _unit_rows(np.asarray([r["embedding"] for r in rows], dtype=np.float64)).T
     dimension = query_matrix.shape[0]
     floor = -np.inf if min_score is None else min_score
+    asking: dict[int, list[int]] = {}
+    for q, own in enumerate(cells or []):
+        for cell in own:
+            asking.setdefault(cell, []).append(q)
+
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray | slice, list[int]]]:
+        """(rows, queries that score them)."""
+        if cells is None:
+            yield slice(None), list(range(len(query_ids)))
+            return
+        own = batch.column("cell").to_numpy(zero_copy_only=False)
+        for cell in np.unique(own).tolist():
+            if cell in asking:
+                yield np.flatnonzero(own == cell), asking[cell]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [_Best(k) for _ in query_ids]
+        task = TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column("review_id").to_numpy(zero_copy_only=False)
-            scores = np.round(_unit_rows(_as_matrix(batch.column("embedding"), dimension)) @ query_matrix, SCORE_DIGITS)
-            for q, kept in enumerate(best):
-                column = scores[:, q]
-                passing = column >= floor
-                kept.add(column[passing], ids[passing])
+            unit = _unit_rows(_as_matrix(batch.column("embedding"), dimension))
+            for members, wanted in blocks(batch):
+                scores = np.round(unit[members] @ query_matrix[:, wanted], SCORE_DIGITS)
+                for column, q in zip(scores.T, wanted):
+                    passing = column >= floor
+                    best[q].add(column[passing], ids[members][passing])
         for query_id, kept in zip(query_ids, best):
             kept.shrink()
             if kept.size:
@@ -111,26 +135,30 @@ def _one_pass(rows: list[Row], corpus: DataFrame, k: int, min_score: float | Non
                         "query_id": pa.array(np.full(kept.size, query_id), pa.int64()),
                         "review_id": pa.array(kept.ids[0], pa.int64()),
                         "score": pa.array(kept.scores[0], pa.float64()),
+                        "task": pa.array(np.full(kept.size, task), pa.int32()),
                     }
                 )
 
     usable = corpus.filter(F.col("embedding").isNotNull() & F.col("review_id").isNotNull())
-    return usable.select("review_id", "embedding").mapInArrow(search, schema)
+    columns = ["review_id", "embedding"] + (["cell"] if cells is not None else [])
+    return usable.select(*columns).mapInArrow(search, schema)
 
 
 def _merge(winners: list[DataFrame], k: int) -> DataFrame:
-    """Global top-k from the winners of all tasks, in two rounds on a cluster.
+    """Global top-k from the winners of all tasks, merged as a tree.
 
-    On many tasks the winners of one query are first merged in up to 64 groups, so
-    no single task receives them all.
+    The winners of MERGED_TASKS tasks meet in one group, their winners with those of as many
+    groups, and so on: a group never sees more than MERGED_TASKS x k rows of a query.
+    The height follows the number of scan tasks.
     """
     order = [F.col("score").desc(), F.col("review_id")]
     found = reduce(DataFrame.unionByName, winners)
-    salts = min(64, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
-    if salts > 1:
-        salted = found.withColumn("_salt", F.pmod(F.xxhash64("review_id"), F.lit(salts)))
-        found = top_n_per_key(salted, ["query_id", "_salt"], order, k, "_rank").drop("_salt", "_rank")
-    return top_n_per_key(found, ["query_id"], order, k)
+    tasks = max(w.rdd.getNumPartitions() for w in winners)
+    while tasks > MERGED_TASKS:
+        found = found.withColumn("task", F.floor(F.col("task") / MERGED_TASKS).cast("int"))
+        found = top_n_per_key(found, ["query_id", "task"], order, k, "_rank").drop("_rank")
+        tasks = -(-tasks // MERGED_TASKS)
+    return top_n_per_key(found.drop("task"), ["query_id"], order, k)
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
@@ -153,10 +181,22 @@ def _cells(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return sides @ (1 << np.arange(planes.shape[1]))
 
 
-def write_cells(corpus: DataFrame, path: str, bits: int = 6, seed: int = 42) -> None:
-    """The vectors as a table partitioned by cell, so that a search reads only the cells it probes.
+# Vectors that a cell should hold, and the most directories of a table of cells.
+VECTORS_PER_CELL = 4096
+LEAST_BITS = 6
+DIRECTORY_BITS = 8
+
+
+def cell_bits(vectors: int) -> int:
+    """Hyperplanes for a table of so many vectors: cells keep their size as the table grows."""
+    return max(LEAST_BITS, (max(vectors, 1) // VECTORS_PER_CELL).bit_length())
+
 
-    The rebalance splits a crowded cell over several files and tasks.
+def write_cells(corpus: DataFrame, path: str, bits: int, seed: int = 42) -> None:
+    """The vectors as a table sorted by cell and partitioned by the cell's first bits.
+
+    A search skips the directories of other cells, and row groups by their smallest and
+    largest cell. The rebalance splits a crowded directory over several files and tasks.
     """
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,42 +205,87 @@ def write_cells(corpus: DataFrame, path: str, bits: int = 6, seed: int = 42) ->
             column = batch.column("embedding")
             matrix = _as_matrix(column, len(column[0]))
             cells = _cells(matrix, _planes(matrix.shape[1], bits, seed))
-            yield batch.append_column("cell", pa.array(cells, pa.int32()))
+            yield batch.append_column("cell", pa.array(cells, pa.int64()))
 
     known = corpus.filter(F.col("embedding").isNotNull()).select("review_id", "embedding")
-    schema = T.StructType(known.schema.fields + [T.StructField("cell", T.IntegerType())])
-    known.mapInArrow(place, schema).hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+    schema = T.StructType(known.schema.fields + [T.StructField("cell", T.LongType())])
+    placed = known.mapInArrow(place, schema).withColumn("part", _directory(bits))
+    placed.hint("rebalance", "part").sortWithinPartitions("part", "cell").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def _directory(bits: int):
+    return F.shiftright("cell", max(bits - DIRECTORY_BITS, 0)).cast("int")
+
 
+def probe_list(vector: np.ndarray, bits: int, probes: int, seed: int) -> list[int]:
+    """The cells nearest to a vector: its own, then those across the planes that it is closest to.
 
-def probed_cells(rows: list[Row], bits: int, probes: int, seed: int) -> list[int]:
-    """The cells nearest to each query: its own first, then those across its closest hyperplanes."""
-    wanted: set[int] = set()
-    for row in rows:
-        vector = np.asarray(row["embedding"], dtype=np.float64)
-        margin = np.abs(vector @ _planes(len(vector), bits, seed))
-        own = int(_cells(vector[None, :], _planes(len(vector), bits, seed))[0])
-        flips = range(1 << bits)
-        cost = [margin[[b for b in range(bits) if f >> b & 1]].sum() for f in flips]
-        wanted.update(own ^ f for f in sorted(flips, key=lambda f: (cost[f], f))[:probes])
-    return sorted(wanted)
+    Sets of planes come in the order of their summed distances, from a heap: each set is
+    followed by the one with its last plane moved on and the one with the next plane added.
+    """
+    planes = _planes(len(vector), bits, seed)
+    own = int(_cells(vector[None, :], planes)[0])
+    margin = np.abs(vector @ planes)
+    near = np.argsort(margin, kind="stable").tolist()
+    found, heap = [own], [(float(margin[near[0]]), (0,))]
+    while heap and len(found) < min(probes, 1 << bits):
+        cost, flipped = heapq.heappop(heap)
+        found.append(own ^ sum(1 << near[i] for i in flipped))
+        last = flipped[-1]
+        if last + 1 < bits:
+            step = float(margin[near[last + 1]])
+            heapq.heappush(heap, (cost + step, (*flipped, last + 1)))
+            heapq.heappush(heap, (cost - float(margin[near[last]]) + step, (*flipped[:-1], last + 1)))
+    return found
+
+
+def _probes(rows: list[Row], bits: int, probes: int, seed: int) -> list[list[int]]:
+    return [probe_list(np.asarray(r["embedding"], dtype=np.float64), bits, probes, seed) for r in rows]
 
 
 def vector_topk_lsh(
-    queries: DataFrame, path: str, k: int, probes: int = 16, bits: int = 6, seed: int = 42
+    queries: DataFrame, path: str, k: int, bits: int, probes: int = 16, seed: int = 42
 ) -> DataFrame:
-    """Approximate top-k: exact cosine over the probed cells only.
+    """Approximate top-k: each query scores the rows of its own probed cells and no others.
 
-    The cell list prunes table partitions before anything is read. Probing all
+    Directories and row groups that no query of a pass probes are not read. Probing all
     2^bits cells gives the exact result.
     """
     spark = queries.sparkSession
     parts = []
     for rows in _passes(queries):
-        near = spark.read.parquet(path).filter(F.col("cell").isin(probed_cells(rows, bits, probes, seed)))
-        parts.append(_one_pass(rows, near, k, None))
+        cells = _probes(rows, bits, probes, seed)
+        union = sorted({c for own in cells for c in own})
+        parts_read = sorted({c >> max(bits - DIRECTORY_BITS, 0) for c in union})
+        near = spark.read.parquet(path).filter(F.col("part").isin(parts_read) & F.col("cell").isin(union))
+        parts.append(_one_pass(rows, near, k, None, cells))
     return _merge(parts, k)
 
 
+def rows_scored(queries: DataFrame, path: str, bits: int, probes: int = 16, seed: int = 42) -> DataFrame:
+    """(query_id, table_rows, rows_scored): how much of the table each query looks at.
+
+    The number of cells counted is bounded by queries x probes; sizes come from the cell column alone.
+    """
+    spark = queries.sparkSession
+    sizes = spark.read.parquet(path).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    wanted = [
+        (r["query_id"], cell)
+        for rows in _passes(queries)
+        for r, own in zip(rows, _probes(rows, bits, probes, seed))
+        for cell in own
+    ]
+    probed = spark.createDataFrame(wanted, "query_id bigint, cell bigint")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("table_rows"))
+    return (
+        probed.join(sizes, "cell", "left")
+        .groupBy("query_id")
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_scored"))
+        .crossJoin(F.broadcast(total))  # one row
+        .select("query_id", "table_rows", "rows_scored")
+    )
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(query_id, expected, hit): how many of the exact results the approximate search returned."""
     hits = found.select("query_id", "review_id", F.lit(1).alias("_hit"))

@@ -703,12 +703,14 @@ def _vector_topk(spark, sf_dir):
 
 @query("vector_topk_lsh")
 def _vector_topk_lsh(spark, sf_dir):
-    """Approximate top-5 over the probed cells, with its overlap with the exact result."""
+    """Approximate top-5 over each query's probed cells: rows scored, and the overlap with the exact result."""
     queries, _ = _queries(spark, sf_dir)
     corpus, cells = sample.review_embeddings(spark, sf_dir), scratch_path(spark, "cells")
-    vector_search.write_cells(corpus, cells)
-    found = vector_search.vector_topk_lsh(queries, cells, 5)
-    return vector_search.recall(found, vector_search.vector_topk(queries, corpus, 5))
+    bits = vector_search.cell_bits(corpus.count())
+    vector_search.write_cells(corpus, cells, bits)
+    found = vector_search.vector_topk_lsh(queries, cells, 5, bits)
+    hits = vector_search.recall(found, vector_search.vector_topk(queries, corpus, 5))
+    return hits.join(vector_search.rows_scored(queries, cells, bits), "query_id")
 
 
 @query("vector_topk_all_cells")
@@ -716,8 +718,10 @@ def _vector_topk_all_cells(spark, sf_dir):
     """The partitioned search with every cell probed, which is exact."""
     queries, _ = _queries(spark, sf_dir)
     cells = scratch_path(spark, "cells")
-    vector_search.write_cells(sample.review_embeddings(spark, sf_dir), cells)
-    return vector_search.vector_topk_lsh(queries, cells, 5, probes=64)
+    corpus = sample.review_embeddings(spark, sf_dir)
+    bits = vector_search.cell_bits(corpus.count())
+    vector_search.write_cells(corpus, cells, bits)
+    return vector_search.vector_topk_lsh(queries, cells, 5, bits, probes=1 << bits)
 
 
 @query("adaptive_threshold")

@@ -94,6 +94,8 @@ def test_cells_prune_and_full_probe_is_exact(spark, tmp_path):
     assert found(vector_search.vector_topk_lsh(df, path, 5, probes=16, bits=4)) == brute_topk(queries, data, 5)
     exact = vector_search.vector_topk(df, corpus, 5)
     some = vector_search.vector_topk_lsh(df, path, 5, probes=6, bits=4)
+    scored = vector_search.rows_scored(df, path, 4, probes=6).collect()
+    assert all(0 < r["rows_scored"] < r["table_rows"] == len(data) for r in scored)
     hits = vector_search.recall(some, exact).agg(F.sum("hit"), F.sum("expected")).first()
     assert hits[1] == 30 and hits[0] >= 15
 
