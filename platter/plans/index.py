@@ -71,8 +71,8 @@ def ingest_violations(batches: DataFrame, key: str = "review_id", batch: str = "
 
 # ---------------------------------------------------------------------------- index
 def index_dedupe(batches: DataFrame, order: list[str]) -> DataFrame:
-    """The first row of each review id in batch order."""
-    return first_per_key(batches, ["review_id"], [F.col(c) for c in order])
+    """The first row of each review id in batch order; the vector breaks ties within a batch."""
+    return first_per_key(batches, ["review_id"], [*[F.col(c) for c in order], F.xxhash64("embedding")])
 
 
 def build_index(
@@ -125,8 +125,43 @@ def index_validation(index: DataFrame, expected_rows: int, dimension: int) -> Da
 
 
 def vector_upsert(current: DataFrame, incoming: DataFrame, version: str = "version") -> DataFrame:
-    """The next snapshot: one row per id, the highest version wins; repeating it changes nothing."""
-    return first_per_key(current.unionByName(incoming), ["review_id"], [F.col(version).desc()])
+    """The next snapshot: one row per id, the highest version wins; repeating it changes nothing.
+
+    Rows of one id and version differ in their vectors only; the vector's digest decides.
+    """
+    order = [F.col(version).desc(), F.xxhash64("embedding")]
+    return first_per_key(current.unionByName(incoming), ["review_id"], order)
+
+
+def publish_upsert(spark: SparkSession, root: str, incoming: DataFrame, version: str = "version") -> DataFrame:
+    """Writes the next snapshot of the vectors below `root`, makes it the current one and returns it.
+
+    A snapshot is a folder of its own, named by a running number. It becomes current when its
+    success marker is there, which Spark writes last, so readers see the old snapshot or the new.
+    """
+    number = _current_snapshot(spark, root)
+    merged = incoming if number is None else incoming.sparkSession.read.parquet(f"{root}/{number:010d}")
+    after = vector_upsert(merged, incoming, version) if number is not None else vector_upsert(incoming, incoming, version)
+    path = f"{root}/{0 if number is None else number + 1:010d}"
+    tables.replace_table(after, path)
+    return spark.read.parquet(path)
+
+
+def _current_snapshot(spark: SparkSession, root: str) -> int | None:
+    if not tables.exists(spark, root):
+        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folders = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    names = [f.getPath().getName() for f in folders]
+    return max((int(n) for n in names if n.isdigit() and tables.exists(spark, f"{root}/{n}/_SUCCESS")), default=None)
+
+
+def current_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """The vectors that are served: the latest complete snapshot."""
+    number = _current_snapshot(spark, root)
+    if number is None:
+        raise ValueError(f"no snapshot below {root}")
+    return spark.read.parquet(f"{root}/{number:010d}")
 
 
 def index_coverage(usable: DataFrame, index: DataFrame, enriched: DataFrame) -> DataFrame:

@@ -12,6 +12,12 @@ from platter.functions import sqlcompat as C
 
 
 # ------------------------------------------------------------------------- tables
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
     if partition_by:

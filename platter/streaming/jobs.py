@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from platter.functions import sqlcompat as C
 from platter.operators.ranking import first_per_key
 from platter.plans.index import ingest_violations
+from platter.sources import tables
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -86,20 +87,18 @@ def stream_embed(
 def check_identity(spark: SparkSession, path: str, collection: str, model: str, dimension: int) -> None:
     """Refuse to mix vectors of different collections, models or dimensions; the first run records them."""
     given = (collection, model, dimension)
-    try:
-        stored = tuple(spark.read.schema(IDENTITY_SCHEMA).parquet(path).first())
-    except AnalysisException:
+    if not tables.exists(spark, path):
         spark.createDataFrame([given], IDENTITY_SCHEMA).coalesce(1).write.parquet(path)
         return
+    stored = tuple(spark.read.schema(IDENTITY_SCHEMA).parquet(path).first())
     if stored != given:
         raise ValueError(f"progress belongs to {stored}, this run is {given}")
 
 
 def completed_batches(spark: SparkSession, out: str) -> DataFrame:
-    try:
-        return spark.read.parquet(out).select("batch").distinct()
-    except AnalysisException:
+    if not tables.exists(spark, out):
         return spark.createDataFrame([], "batch bigint")
+    return spark.read.parquet(out).select("batch").distinct()
 
 
 def ingest_plan(batches: DataFrame, completed: DataFrame) -> DataFrame:
@@ -124,21 +123,40 @@ def stream_ingest(
 ) -> DataFrame:
     """Ingest new batch files as vector points; returns the current point table.
 
-    Open batches are checked first and any violation stops the run before a
-    vector is written. Points are versioned by batch, so ingesting an id again
-    replaces its vector.
+    Every file that arrived since the last run is checked in the micro-batch that takes it, also
+    a late file of a batch that is stored already: a violation stops the run and nothing of
+    that micro-batch is written. The refused files come again in the next run. Points are
+    versioned by batch and then by micro-batch, so ingesting an id again replaces its vector.
+    Writing a micro-batch again replaces its own files. Finished files are not read again.
     """
     check_identity(spark, f"{root}/identity", collection, model, dimension)
-    batches = spark.read.schema(schema).parquet(source)
-    open_rows = batches.join(completed_batches(spark, f"{root}/points"), "batch", "left_anti")
-    refused = ingest_violations(open_rows).filter(~F.col("accepted")).orderBy("batch").first()
-    if refused is not None:
-        raise ValueError(f"batch refused: {refused.asDict()}")
-    points = _files(spark, source, schema, files_per_batch).select("batch", "review_id", "comment")
-    _drain(embed_rows(points, embed, dimension).drop("comment"), f"{root}/points", f"{root}/checkpoint")
-    return current_points(spark.read.parquet(f"{root}/points"))
+
+    problems: list[ValueError] = []
+
+    def take(rows: DataFrame, number: int) -> None:
+        refused = ingest_violations(rows).filter(~F.col("accepted")).orderBy("batch").first()
+        if refused is not None:
+            problems.append(ValueError(f"batch refused: {refused.asDict()}"))
+            raise problems[0]
+        points = embed_rows(rows.select("batch", "review_id", "comment"), embed, dimension).drop("comment")
+        tables.replace_table(points, f"{root}/points/arrival={number}")
+
+    query = (
+        _files(spark, source, schema, files_per_batch)
+        .writeStream.foreachBatch(take)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if problems:
+            raise problems[0] from None
+        raise
+    return current_points(spark.read.parquet(f"{root}/points")).drop("arrival")
 
 
 def current_points(points: DataFrame) -> DataFrame:
-    """One vector per review id, of its highest batch."""
-    return first_per_key(points, ["review_id"], [F.col("batch").desc()])
+    """One vector per review id: of its highest batch, in that of the latest arrival; the vector breaks ties."""
+    return first_per_key(points, ["review_id"], [F.col("batch").desc(), F.col("arrival").desc(), F.xxhash64("embedding")])

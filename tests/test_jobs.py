@@ -268,6 +268,37 @@ def test_stream_ingest(spark, tmp_path):
     assert {r["batch"]: (r["rows"], r["completed"]) for r in plan.collect()} == {1: (2, True), 2: (2, True), 3: (2, False)}
 
 
+def test_late_file_of_a_finished_batch_is_checked(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "root")
+    schema = "review_id bigint, comment string, batch int"
+    found = spark.createDataFrame([], schema).schema
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").partitionBy("batch").parquet(source)
+
+    arrive([(1, "a", 1)])
+    assert jobs.stream_ingest(spark, source, found, root, lengths, 2, "reviews", "m").count() == 1
+    arrive([(None, "x", 1), (2, " ", 1)])
+    with pytest.raises(ValueError, match="batch refused"):
+        jobs.stream_ingest(spark, source, found, root, lengths, 2, "reviews", "m")
+    assert spark.read.parquet(f"{root}/points").count() == 1
+
+
+def failing_on_forty(payloads):
+    if '"review_id":40,' in payloads[0]:
+        raise RuntimeError("bad request")
+    return [answer(p, "positive") for p in payloads]
+
+
+def test_one_bad_request_costs_no_other(spark):
+    batches = spark.createDataFrame(
+        [(str(i), json.dumps([{"review_id": i}], separators=(",", ":")).replace("}", ',"x":1}')) for i in range(30, 50)], "batch_id string, payload string"
+    ).coalesce(1)
+    got = {r["batch_id"]: r for r in enrichment.call_model(batches, "m", failing_on_forty, attempts=3).collect()}
+    assert len(got) == 20 and got["40"]["raw"] is None and got["40"]["attempts"] == 3 and "bad request" in got["40"]["error"]
+    assert all(r["raw"] and r["attempts"] == 1 and r["error"] is None for i, r in got.items() if i != "40")
+
+
 def test_ingest_violations(spark):
     df = spark.createDataFrame(
         [(1, 1, "a"), (1, 2, "b"), (2, None, "a"), (2, 3, None), (2, 4, " "), (2, 5, "x"), (2, 5, "y")],
