@@ -11,6 +11,7 @@ perplexity is within a quantile of the perplexities of held-out trusted document
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +21,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platter.llm.common import ready, whole_text, written
+from platter.session import scratch_path
 
-ORDER = 5
-# Characters of a block; a single longer text makes a block of its own.
-BLOCK_CHARS = 32 << 20
+ORDER = 4
+# Bytes of a block before compression; a single longer text makes a block of its own.
+BLOCK_BYTES = 16 << 20
+COMPRESSION_LEVEL = 6
 # Characters handled at once; the context of a longer text starts anew at every such piece.
 AT_ONCE = 1 << 19
 # Of the trusted documents one in so many is held out to set the thresholds.
 HELD_OUT = 10
 QUANTILE = 0.99
 # How far above the quantile a perplexity may lie, as a factor: trusted text varies beyond any sample of it.
-MARGIN = 1.1
+MARGIN = 1.3
 
 NO_LANGUAGE = "und"
 _START = 2  # stands before a text
+_MAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,15 +121,20 @@ def _by_language(rows: pa.Table) -> Iterator[tuple[str, np.ndarray, list[str]]]:
 
 
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(block, ids, payload): rows of about BLOCK_CHARS characters, compressed; written, as blocks must not change."""
+    """(block, ids, payload): rows of about BLOCK_BYTES, compressed.
+
+    Written once, as blocks must not change, into a table bucketed by block: what is joined
+    to the blocks later goes to them, and their payload is never shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", COMPRESSION_LEVEL))
 
         def block() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
                 out.write_table(rows)
             ids = pa.array([rows.column("_id").to_pylist()], pa.list_(rows.schema.field("_id").type))
             return pa.RecordBatch.from_arrays(
@@ -135,7 +144,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size >= BLOCK_CHARS:
+            if size >= BLOCK_BYTES:
                 yield block()
                 number, held, size = number + 1, [], 0
         if held:
@@ -146,8 +155,12 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
         F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
         whole_text(text_col).alias("text"),
     )
-    id_type = given.schema["_id"].dataType.simpleString()
-    return written(given.mapInArrow(run, f"block long, ids array<{id_type}>, payload binary"), "text-blocks")
+    spark, id_type = docs.sparkSession, given.schema["_id"].dataType.simpleString()
+    path, name = scratch_path(spark, "text-blocks"), f"text_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = given.mapInArrow(run, f"block long, ids array<{id_type}>, payload binary")
+    blocks.write.bucketBy(buckets, "block").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def _held_out(id_column: Column) -> Column:
@@ -156,14 +169,21 @@ def _held_out(id_column: Column) -> Column:
 
 def count_trusted(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
     """(lang, gram, n): the longest n-grams of the trusted documents, `trusted` being their ids."""
-    members = blocks.select("block", F.explode("ids").alias("_id")).join(trusted, "_id", "left_semi")
-    chosen = members.groupBy("block").agg(F.collect_set("_id").alias("chosen"))
+    members = blocks.select("block", F.posexplode("ids").alias("_place", "_id")).join(trusted, "_id", "left_semi")
+    # Places count from 1 in these functions. A bit per row of a block: far smaller than the ids, so that the blocks can stay where they are.
+    bitmaps = members.groupBy("block", F.expr("bitmap_bucket_number(_place + 1)").alias("number")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(_place + 1))").alias("bits")
+    )
+    chosen = written(bitmaps.groupBy("block").agg(F.collect_list(F.struct("number", "bits")).alias("chosen")), "trusted-rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, ids in zip(batch.column(0), batch.column(1)):
+            for payload, chosen in zip(batch.column(0), batch.column(1).to_pylist()):
                 rows = _unpacked(payload.as_py())
-                rows = rows.filter(pa.compute.is_in(rows.column("_id"), ids.values))
+                wanted = np.zeros((-(-rows.num_rows // _MAP_BITS), _MAP_BITS), bool)
+                for part in chosen:
+                    wanted[part["number"] - 1] = np.unpackbits(np.frombuffer(part["bits"], np.uint8), bitorder="little")
+                rows = rows.filter(pa.array(wanted.reshape(-1)[: rows.num_rows]))
                 for lang, _, texts in _by_language(rows):
                     _, grams, counts = _distinct(texts)
                     yield pa.RecordBatch.from_arrays(

@@ -57,10 +57,10 @@ class Brute:
         return math.exp(-sum(math.log(self.p(g)) for g in grams) / len(grams)) if grams else None
 
 
-@pytest.mark.parametrize("at_once, block", [(1 << 19, 32 << 20), (1 << 19, 2000)])
+@pytest.mark.parametrize("at_once, block", [(1 << 19, 16 << 20), (1 << 19, 2000)])
 def test_equals_definition(spark, monkeypatch, at_once, block):
     monkeypatch.setattr(px, "AT_ONCE", at_once)
-    monkeypatch.setattr(px, "BLOCK_CHARS", block)
+    monkeypatch.setattr(px, "BLOCK_BYTES", block)
     ready(spark)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 1500").limit(60).cache()
     rows = docs.collect()
