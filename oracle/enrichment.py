@@ -89,6 +89,19 @@ add(
     """SELECT CAST(review_id AS VARCHAR) AS review_id, rating, comment FROM usable r
 WHERE NOT EXISTS (SELECT 1 FROM review_enriched e WHERE e.review_id = CAST(r.review_id AS VARCHAR))""",
 )
+add(
+    "enrichment_run",
+    """SELECT CAST(review_id AS VARCHAR) AS review_id, label AS sentiment_label,
+  CASE label WHEN 'positive' THEN 0.9 WHEN 'negative' THEN 0.1 ELSE 0.5 END::DOUBLE AS sentiment_score, 'other' AS topic,
+  CAST(NULL AS VARCHAR) AS key_issue, TIMESTAMP '2024-07-01 00:00:00' AS processed_at, model AS model_used
+FROM run_labels WHERE model IS NOT NULL""",
+    run_open="""SELECT review_id, rating, (row_number() OVER (ORDER BY review_id) - 1) // 15 AS batch FROM usable r
+WHERE NOT EXISTS (SELECT 1 FROM review_enriched e WHERE e.review_id = CAST(r.review_id AS VARCHAR))""",
+    run_models="""SELECT batch, CASE WHEN min(review_id) % 5 <> 0 THEN 'steady' WHEN min(review_id) % 7 <> 0 THEN 'spare' END AS model
+FROM run_open GROUP BY batch""",
+    run_labels="""SELECT o.review_id, m.model, CASE WHEN m.model = 'spare' THEN 'neutral' WHEN coalesce(nullif(rating, 0), 3) >= 4 THEN 'positive'
+  WHEN coalesce(nullif(rating, 0), 3) <= 2 THEN 'negative' ELSE 'neutral' END AS label FROM run_open o JOIN run_models m USING (batch)""",
+)
 add(
     "enrich_coverage",
     f"""SELECT *, usable_reviews - enriched_reviews AS open_reviews, {half_up('100 * enriched_reviews', 'usable_reviews', 2)} AS progress_percent
@@ -112,6 +125,13 @@ responses(
   ok AND bad_labels = 0 AS sentiment_values_valid, ok AND bad_numbers = 0 AS sentiment_scores_valid,
   ok AND unexpected_ids = 0 AND missing_ids = 0 AS review_ids_valid FROM id_checks i JOIN readable USING (batch_id, priority)""",
 )
+responses(
+    "response_validate_strict",
+    """SELECT v.batch_id, v.model, v.priority, v.valid AND coalesce(t.bad_topics, 0) = 0 AS valid
+FROM verdicts v LEFT JOIN topic_checks t USING (batch_id, priority)""",
+    topic_checks="""SELECT batch_id, priority, count(*) FILTER (coalesce(topic NOT IN
+  ('delivery', 'food_quality', 'price', 'service', 'packaging', 'other'), true)) AS bad_topics FROM objects_out GROUP BY batch_id, priority""",
+)
 responses("first_valid_model", "SELECT batch_id, model, priority FROM chosen")
 responses(
     "attempts_used",

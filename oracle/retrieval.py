@@ -56,7 +56,8 @@ FROM usable GROUP BY 1""",
 add(
     "batch_reviews",
     """SELECT worker, CAST(position // 15 + 1 AS BIGINT) AS batch_no, CAST(count(*) AS INT) AS reviews,
-  string_agg(CAST(review_id AS VARCHAR), ',' ORDER BY review_id) AS review_ids, CAST(sum(length(comment)) AS BIGINT) AS characters
+  string_agg(CAST(review_id AS VARCHAR), ',' ORDER BY review_id) AS review_ids,
+  md5(string_agg(concat_ws('|', review_id, rating, comment), chr(10) ORDER BY review_id)) AS contents
 FROM (SELECT *, CAST(review_id % 3 + 1 AS INT) AS worker, row_number() OVER (PARTITION BY review_id % 3 ORDER BY review_id) - 1 AS position
       FROM usable) GROUP BY worker, position // 15""",
 )
@@ -150,8 +151,10 @@ FROM vector_batches""",
 )
 add(
     "index_validation",
-    """SELECT true AS rows_ok, count(*) = count(DISTINCT vec_id) AS ids_ok, bool_and(len(embedding) = 64) AS dimension_ok,
-  true AS normalized_ok FROM embeddings""",
+    """SELECT count(*) = (SELECT count(*) FROM embeddings) AS rows_ok, count(DISTINCT review_id) = (SELECT count(*) FROM embeddings) AS ids_ok,
+  bool_and(len(unit) = 64) AS dimension_ok, bool_and(abs(sqrt(list_dot_product(unit, unit)) - 1) < 1e-6) AS normalized_ok
+FROM (SELECT review_id, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS unit
+      FROM review_embeddings WHERE list_dot_product(embedding, embedding) > 0)""",
 )
 add("vector_upsert", f"""SELECT review_id, batch AS version, {digest('embedding')} FROM vector_batches
 QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY batch DESC) = 1""", **BATCHES)

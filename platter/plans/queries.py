@@ -373,7 +373,9 @@ def _batches(spark, sf_dir):
         "batch_no",
         "reviews",
         F.array_join(F.transform("review_ids", lambda i: i.cast("string")), ",").alias("review_ids"),
-        F.aggregate(parsed, F.lit(0).cast("bigint"), lambda n, i: n + F.length(i["comment"])).alias("characters"),
+        F.md5(
+            F.array_join(F.transform(parsed, lambda i: F.concat_ws("|", i["review_id"], i["rating"], i["comment"])), "\n")
+        ).alias("contents"),
     )
 
 
@@ -475,6 +477,27 @@ def _enrich_append(spark, sf_dir):
     return spark.read.schema(stored.schema).parquet(path)
 
 
+@query("enrichment_run")
+def _enrichment_run(spark, sf_dir):
+    """One whole run over all open reviews with two stand-in models, of which one fails and one answers
+    badly now and then; the rows it stored."""
+    path, wh = scratch_path(spark, "enriched"), house(spark, sf_dir)
+    tables.replace_table(wh.review_enriched, path)
+    models = {"steady": sample.steady_model, "spare": sample.spare_model}
+    enrichment.run_enrichment(spark, wh.raw["reviews"], path, models, "2024-07-01 00:00:00")
+    stored = spark.read.schema(wh.review_enriched.schema).parquet(path)
+    return stored.filter(F.col("model_used").isin(*models))
+
+
+@query("response_validate_strict")
+def _strict(spark, sf_dir):
+    """Answers whose topics must come from the fixed list."""
+    checked = enrichment.response_validate(
+        _parsed(spark, sf_dir), sample.request_batches(spark, sf_dir), topics=enrichment.TOPICS
+    )
+    return checked.select("batch_id", "model", "priority", "valid")
+
+
 # ------------------------------------------------------------- questions and routes
 @query("query_intents")
 def _intents(spark, sf_dir):

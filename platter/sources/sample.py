@@ -6,6 +6,7 @@ collected, numbered globally or sampled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -442,6 +443,31 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _answers(payload: str, label: str | None) -> str:
+    """A valid answer to a request; without a label the rating decides."""
+    items = []
+    for r in json.loads(payload):
+        rating = r.get("rating") or 3
+        own = label or ("positive" if rating >= 4 else "negative" if rating <= 2 else "neutral")
+        score = {"positive": 0.9, "negative": 0.1, "neutral": 0.5}[own]
+        items.append(
+            {"review_id": str(r["review_id"]), "sentiment_label": own, "sentiment_score": score, "topic": " other ", "key_issue": " "}
+        )
+    return json.dumps(items)
+
+
+def steady_model(payloads: list[str]) -> list[str]:
+    """A stand-in model that fails on every request whose first review id is a multiple of five."""
+    if any(json.loads(p)[0]["review_id"] % 5 == 0 for p in payloads):
+        raise RuntimeError("overloaded")
+    return [_answers(p, None) for p in payloads]
+
+
+def spare_model(payloads: list[str]) -> list[str]:
+    """A stand-in model that calls everything neutral and answers badly for multiples of seven."""
+    return ["sorry" if json.loads(p)[0]["review_id"] % 7 == 0 else _answers(p, "neutral") for p in payloads]
+
+
 # Letters counted by the stand-in embedding.
 LETTERS = "aeournst"
 
