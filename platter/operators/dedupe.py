@@ -10,10 +10,11 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions import text as X
@@ -94,6 +95,11 @@ def _jaccard(a: frozenset[str], b: frozenset[str]) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def token_hashes() -> Column:
+    """The tokens as 64-bit hashes: what leaves the JVM and is shuffled is eight bytes a word."""
+    return F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")
+
+
 def _unit(vector) -> np.ndarray | None:
     if vector is None:
         return None
@@ -125,33 +131,39 @@ def near_unique(pool: pd.DataFrame, threshold: float) -> list[int | None]:
     return verdict
 
 
-def pick_diverse(pool: pd.DataFrame, settings: Selection) -> tuple[list[int], list[str]]:
-    """Row positions in pick order and the dominant patterns of the pool.
+class Features:
+    """Word sets and unit vectors of a pool's rows, made when first asked for and kept."""
+
+    def __init__(self, pool: pd.DataFrame):
+        self._tokens, self._embeddings = list(pool["tokens"]), list(pool["embedding"])
+        self.patterns = list(pool["pattern"])
+        self.words = cache(lambda i: frozenset(self._tokens[i]))
+        self.vector = cache(lambda i: _unit(self._embeddings[i]))
+
+
+def pick_diverse(rows: Sequence[int], features: Features, settings: Selection) -> tuple[list[int], list[str]]:
+    """The picked ones of some rows of a pool, in pick order, and the rows' dominant patterns.
 
     The first sweep limits dominant patterns; the second, only when picks are
     missing, does not. Both refuse rows too similar to a pick by words or vector.
     """
-    patterns = list(pool["pattern"])
-    share = Counter(patterns)
-    dominant = sorted(p for p, n in share.items() if n / len(patterns) >= settings.dominant_share)
-    words = [frozenset(t) for t in pool["tokens"]]
-    vectors = [_unit(v) for v in pool["embedding"]]
+    share = Counter(features.patterns[i] for i in rows)
+    dominant = sorted(p for p, n in share.items() if n / len(rows) >= settings.dominant_share)
     picked: list[int] = []
     used: Counter[str] = Counter()
 
+    def alike(i: int, j: int) -> bool:
+        if _jaccard(features.words(i), features.words(j)) >= settings.text_duplicate:
+            return True
+        a, b = features.vector(i), features.vector(j)
+        return a is not None and b is not None and round(float(a @ b), 9) >= settings.vector_duplicate
+
     def too_similar(i: int) -> bool:
-        return any(
-            _jaccard(words[i], words[j]) >= settings.text_duplicate
-            or (
-                vectors[i] is not None
-                and vectors[j] is not None
-                and round(float(vectors[i] @ vectors[j]), 9) >= settings.vector_duplicate
-            )
-            for j in picked
-        )
+        return any(alike(i, j) for j in picked)
 
     for capped in (True, False):
-        for i, pattern in enumerate(patterns):
+        for i in rows:
+            pattern = features.patterns[i]
             if len(picked) >= settings.final_k:
                 break
             if i in picked or (capped and pattern in dominant and used[pattern] >= settings.max_same_pattern):
@@ -183,7 +195,7 @@ def near_dedupe(candidates: DataFrame, threshold: float = TEXT_DUPLICATE) -> Dat
         )
 
     return (
-        candidates.select("query_id", "review_id", "score", "tokens")
+        candidates.select("query_id", "review_id", "score", token_hashes())
         .groupBy("query_id")
         .applyInPandas(run, "query_id bigint, review_id bigint, duplicate_of bigint")
     )
@@ -194,7 +206,7 @@ def diverse_select(candidates: DataFrame, settings: Selection = Selection()) ->
 
     def run(pool: pd.DataFrame) -> pd.DataFrame:
         pool = _by_score(pool)
-        picked, _ = pick_diverse(pool, settings)
+        picked, _ = pick_diverse(range(len(pool)), Features(pool), settings)
         chosen = pool.iloc[picked]
         return pd.DataFrame(
             {
@@ -206,7 +218,7 @@ def diverse_select(candidates: DataFrame, settings: Selection = Selection()) ->
         )
 
     return (
-        candidates.select("query_id", "review_id", "score", "tokens", "pattern", "embedding")
+        candidates.select("query_id", "review_id", "score", token_hashes(), "pattern", "embedding")
         .groupBy("query_id")
         .applyInPandas(run, "query_id bigint, pick int, review_id bigint, pattern string")
     )
@@ -231,17 +243,18 @@ def progressive_select(pool: DataFrame, questions: DataFrame, settings: Selectio
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = _by_score(rows)
         kept = np.array([v is None for v in near_unique(rows, settings.text_duplicate)])
+        features, ids = Features(rows), rows["review_id"]
         best: list[int] = []
         report = None
         for level in settings.levels:
             inside = rows["rank"].to_numpy() <= level
-            unique = rows[inside & kept].reset_index(drop=True)
-            picked, dominant = pick_diverse(unique, settings) if len(unique) else ([], [])
-            chosen = [int(r) for r in unique["review_id"].iloc[picked]]
+            unique = np.flatnonzero(inside & kept).tolist()
+            picked, dominant = pick_diverse(unique, features, settings)
+            chosen = [int(ids[i]) for i in picked]
             if len(chosen) > len(best):
                 best = chosen
             full = len(chosen) >= settings.final_k
-            patterns = dict(Counter(unique["pattern"]))
+            patterns = dict(Counter(features.patterns[i] for i in unique))
             report = (level, full, int(inside.sum()), int(inside.sum()) - len(unique), dominant, patterns)
             if full:
                 break
@@ -260,7 +273,7 @@ def progressive_select(pool: DataFrame, questions: DataFrame, settings: Selectio
         )
 
     stages = (
-        pool.select("query_id", "review_id", "rank", "score", "tokens", "pattern", "embedding")
+        pool.select("query_id", "review_id", "rank", "score", token_hashes(), "pattern", "embedding")
         .groupBy("query_id")
         .applyInPandas(run, _STAGE_SCHEMA)
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platter.operators.ranking import top_n_per_key
+from platter.operators.ranking import numbered, top_n_per_key
 
 # Query vectors held by one task at a time; more queries take more passes.
 QUERIES_PER_PASS = 512
@@ -43,10 +43,11 @@ def _passes(queries: DataFrame) -> Iterator[list[Row]]:
     if len(first) <= QUERIES_PER_PASS:
         yield first
         return
-    blocks = 2 * -(-vectors.count() // QUERIES_PER_PASS)
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    for b in range(blocks):
-        yield vectors.filter(slot == b).collect()
+    # Exact positions: a block never holds more than QUERIES_PER_PASS vectors, whatever the ids.
+    placed = numbered(vectors, ["query_id"], "_position")
+    for start in range(0, placed.count(), QUERIES_PER_PASS):
+        inside = F.col("_position").between(start, start + QUERIES_PER_PASS - 1)
+        yield placed.filter(inside).select("query_id", "embedding").collect()
 
 
 class _Best:

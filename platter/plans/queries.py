@@ -800,7 +800,10 @@ def _near(spark, sf_dir):
 
 
 def _wide_pool(spark, sf_dir):
-    """Every embedded review with text as a candidate of every query: the largest pools there can be."""
+    """The WIDEST best reviews with text of every query: the largest pools of the retrieval.
+
+    WIDEST is the last retrieval level, 5,000; smaller tables are candidates as a whole.
+    """
     wh = house(spark, sf_dir)
     corpus = sample.review_embeddings(spark, sf_dir)
     ranked, bound = _ranked(spark, sf_dir)
