@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from platter.llm.common import ready, whole_text
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 # Spellings that count as the same word, as licence guidelines list them.
 EQUIVALENT = (
     ("acknowledgement", "acknowledgment"),
@@ -121,29 +119,41 @@ NO_LETTER = "[^a-z0-9]+"
 PARAGRAPH_BREAK = r"\n[ \t\r]*\n"
 
 
+def uncredited(text: Column) -> Column:
+    """In lower case, without copyright lines."""
+    return F.regexp_replace(F.lower(text), COPYRIGHT_LINE.replace("(?m)", "(?md)"), "")
+
+
 def canonical(text: Column) -> Column:
-    """Lower-case A-Z, no copyright lines, one space for all else than letters and digits, one spelling."""
-    out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE.replace("(?m)", "(?md)"), "")
-    out = F.replace(out, F.lit(SECURE_LINK), F.lit(PLAIN_LINK))
+    """Lower case, no copyright lines, one space for all else than letters and digits, one spelling."""
+    out = F.replace(uncredited(text), F.lit(SECURE_LINK), F.lit(PLAIN_LINK))
     out = F.trim(F.regexp_replace(out, NO_LETTER, " "))
-    # The spellings matter to few texts: the many regular expressions run only where one of them occurs.
-    spelled = out
     for other, usual in EQUIVALENT:
-        spelled = F.regexp_replace(spelled, rf"\b{other}\b", usual)
-    return F.when(out.rlike("|".join(other for other, _ in EQUIVALENT)), spelled).otherwise(out)
+        out = F.regexp_replace(out, rf"\b{other}\b", usual)
+    return out
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(license_id, digest) of the known texts, each digest once."""
+    """(license_id, digest, first_word) of the known texts, each digest once."""
     texts = spark.createDataFrame([(i, t) for i, t in known], "license_id string, text string")
-    return texts.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    forms = texts.select("license_id", canonical(F.col("text")).alias("form"))
+    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(
+        F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", 1)).alias("first_word")
+    )
+
+
+def _may_begin(known: DataFrame) -> list[str]:
+    """The words with which a text can begin that is known in canonical form: its first word in any spelling."""
+    first = {r.first_word for r in known.select("first_word").distinct().collect()}
+    spelled = {other.split()[0] for other, usual in EQUIVALENT if usual.split()[0] in first}
+    return sorted(first | spelled | ({"https"} if "http" in first else set()))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text that is a known licence: id, unit (text, paragraph, line), place, license_id, digest.
 
-    `known` is (license_id, digest), a fixed list. The whole text is looked up, its paragraphs
+    `known` is (license_id, digest, first_word), a fixed list. Texts that begin with none of the
+    first words cannot be in it and are not brought into canonical form. The whole text is looked up, its paragraphs
     of several lines if it has more than one paragraph, and its lines if it has more than
     one. Null and empty texts match nothing. Null or repeated ids give their own rows.
     Other columns are ignored.
@@ -165,8 +175,9 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     rows = (
         docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
         .select("_id", F.explode(all_units).alias("_unit"))
+        .filter(F.regexp_extract(uncredited(F.col("_unit.part")), "[a-z0-9]+", 0).isin(_may_begin(known)))
         .select("_id", "_unit.unit", F.col("_unit.place").cast("long").alias("place"), canonical(F.col("_unit.part")).alias("_canonical"))
         .filter("_canonical <> ''")
         .select("_id", "unit", "place", F.sha2("_canonical", 256).alias("digest"))
     )
-    return rows.join(F.broadcast(known), "digest").select(F.col("_id").alias(id_col), "unit", "place", "license_id", "digest")
+    return rows.join(F.broadcast(known.drop("first_word")), "digest").select(F.col("_id").alias(id_col), "unit", "place", "license_id", "digest")
