@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platter.functions import sqlcompat as C
 
 
 # ------------------------------------------------------------------------- tables
