@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from platter.llm.common import join_groups, ready, whole_text, written
 
-# Bits of one broadcast filter at most: 64 MB. Beyond about 60 million rows more unique
-# rows take the exact way too, which costs time and changes no result.
+# Bits of one broadcast filter at most: 64 MB. Beyond about 30 million rows more and more
+# unique rows take the exact way too: their digests are shuffled, and the result is the same.
 MAX_FILTER_BITS = 1 << 29
 BITS_PER_ROW = 16
 SEEDS = (11, 23)
