@@ -199,20 +199,22 @@ add(
     "sql_audit",
     rf"""SELECT conv_id, turn, sql, reason, reason IS NULL AS safe FROM (SELECT *, CASE WHEN coalesce(sql, '') = '' THEN {text(EMPTY_SQL)}
   WHEN NOT regexp_matches(s, '(?i)\A(SELECT|WITH)\b') THEN {text(NOT_A_QUERY)} WHEN contains(s, ';') THEN {text(SEVERAL_STATEMENTS)} {_FORBIDDEN} END AS reason
-FROM (SELECT conv_id, turn, sql, trim(sql, {TRIM}) AS s FROM (SELECT conv_id, turn, {pick(LOG_SQL, 'conv_id * 5 + turn')} AS sql FROM question_log)))""",
+FROM (SELECT conv_id, turn, sql, trim(sql, {TRIM}) AS s
+      FROM (SELECT conv_id, turn, CASE WHEN base = '' THEN '' ELSE base || ' -- ' || question END AS sql
+            FROM (SELECT *, {pick(LOG_SQL, 'conv_id * 5 + turn')} AS base FROM question_log))))""",
 )
 _ROUTED = ", ".join(text(r) for r in ROUTES)
 add(
     "route_validate",
     f"""SELECT conv_id, turn, CASE WHEN n = 0 THEN 'sql' WHEN n = 1 THEN 'rag' WHEN n = 2 THEN 'hybrid' ELSE {text(FALLBACK_ROUTE)} END AS route,
   CASE WHEN n = 0 THEN 0.9::DOUBLE WHEN n = 1 THEN 0.5::DOUBLE WHEN n = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
-  CASE WHEN n = 0 THEN 'numbers' WHEN n = 1 THEN 'reviews' WHEN n = 2 THEN 'both' ELSE {text(FALLBACK_REASON)} END AS reason, n > 2 AS fallback
-FROM (SELECT conv_id, turn, (conv_id * 3 + turn) % 9 AS n FROM question_log)""",
+  CASE WHEN n > 2 THEN {text(FALLBACK_REASON)} ELSE trim(question, {TRIM}) END AS reason, n > 2 AS fallback
+FROM (SELECT conv_id, turn, question, (conv_id * 3 + turn) % 11 AS n FROM question_log)""",
 )
 CASES = {
     "route_cases": f"""SELECT conv_id, turn, {pick(ROUTES, 'conv_id')} AS expected,
-  CASE WHEN (conv_id * 3 + turn) % 7 <> 0 THEN {pick(ROUTES, 'conv_id + CASE WHEN (conv_id * 3 + turn) % 5 = 0 THEN 1 ELSE 0 END')} END AS actual,
-  1 + (conv_id * 3 + turn) % 9 AS seconds FROM question_log""",
+  CASE WHEN length(question) % 7 <> 0 THEN {pick(ROUTES, 'conv_id + CASE WHEN length(question) % 5 = 0 THEN 1 ELSE 0 END')} END AS actual,
+  1 + length(question) % 9 AS seconds FROM question_log""",
 }
 add(
     "route_confusion",

@@ -331,14 +331,15 @@ def full_question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One logged statement per question."""
-    n = F.col("conv_id") * 5 + F.col("turn")
-    return question_log(spark, sf_dir).select("conv_id", "turn", _pick(LOG_SQL, n).alias("sql"))
+    """One logged statement per question, with the question's text as its comment; some are empty."""
+    statement = _pick(LOG_SQL, F.col("conv_id") * 5 + F.col("turn"))
+    commented = F.concat(statement, F.lit(" -- "), F.col("question"))
+    return question_log(spark, sf_dir).select("conv_id", "turn", F.when(statement == "", "").otherwise(commented).alias("sql"))
 
 
 def route_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected and actual route with seconds per logged question; every seventh has no answer."""
-    n = F.col("conv_id") * 3 + F.col("turn")
+    """Expected and actual route with seconds per logged question; its length decides what went wrong."""
+    n = F.length("question")
     routes = ("sql", "rag", "hybrid")
     return question_log(spark, sf_dir).select(
         "conv_id",
@@ -352,12 +353,14 @@ def route_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw router answers, some of them broken in one of several ways."""
+    """Raw router answers that give the question as their reason, some broken in one of several ways."""
     n = F.col("conv_id") * 3 + F.col("turn")
     answers = (
-        '{"route": "sql", "confidence": 0.9, "reason": "numbers"}',
-        '{"route": " RAG ", "confidence": "0.5", "reason": " reviews "}',
-        '{"route": "hybrid", "confidence": 1, "reason": "both"}',
+        '{"route": "sql", "confidence": 0.9, "reason": @}',
+        '{"route": " RAG ", "confidence": "0.5", "reason": @}',
+        '{"route": "hybrid", "confidence": 1, "reason": @}',
+        '{"route": "sql", "confidence": 0.7, "reason": [@]}',
+        '{"route": "sql", "confidence": 0.7, "reason": 5}',
         '{"route": "other", "confidence": 0.9, "reason": "x"}',
         '{"route": "sql", "confidence": 1.5, "reason": "x"}',
         '{"route": "rag", "confidence": "high", "reason": "x"}',
@@ -365,7 +368,10 @@ def route_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"confidence": 0.4, "reason": "x"}',
         "not json",
     )
-    return question_log(spark, sf_dir).select("conv_id", "turn", _pick(answers, n).alias("response"))
+    log = question_log(spark, sf_dir)
+    in_json = F.to_json(F.struct(F.col("question").alias("r")))  # {"r":"..."}
+    quoted = in_json.substr(F.lit(6), F.length(in_json) - 6)
+    return log.select("conv_id", "turn", F.replace(_pick(answers, n), F.lit("@"), quoted).alias("response"))
 
 
 MODELS = ("model-a", "model-b", "model-c", "model-d")
