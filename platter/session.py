@@ -79,9 +79,19 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{shared_root(spark).rstrip('/')}/platter/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/platter/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the part of this application."""
+    return f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables of this application; call it when no result of its jobs is read any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -144,6 +144,27 @@ def test_id_set_diff(spark, rows):
     assert rows(quality.id_set_diff(left, right, "k")) == [(1, "missing"), (5, "extra")]
 
 
+def test_scratch_is_cleared(spark, tmp_path):
+    from platter.session import clear_scratch, scratch_path
+    from platter.sources.tables import exists
+
+    class Other:
+        """The session with a shared folder of its own."""
+
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: str(tmp_path) if key == "spark.checkpoint.dir" else spark.conf.get(key, default))
+
+    other = Other()
+    path = scratch_path(other, "t")
+    spark.range(3).write.parquet(path)
+    assert path.startswith(str(tmp_path)) and exists(spark, path)
+    clear_scratch(other)
+    assert not exists(spark, path) and tmp_path.exists()
+
+
 def test_top_is_deterministic(spark):
     df = spark.createDataFrame([("b", 1), ("a", 1), ("c", None), ("d", 2)], "k string, v int")
     assert [r["k"] for r in catalogue.top(df, "v", ["k"], 3).collect()] == ["d", "a", "b"]
