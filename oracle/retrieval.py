@@ -456,3 +456,16 @@ add(
     "ingest_plan",
     "SELECT CAST(review_id // 250 AS BIGINT) AS batch, count(*) AS rows, review_id // 250 < 2 AS completed FROM usable GROUP BY ALL",
 )
+
+# ------------------------------------------------------------------ the whole build
+_BUILT = (
+    "dim_customer", "dim_food", "dim_restaurant", "fct_orders", "mart_daily_city_revenue", "mart_delivery_sla",
+    "mart_restaurant_performance", "mart_food_performance", "mart_customer_performance", "mart_cuisine_performance",
+    "mart_payment_performance", "mart_review_insights",
+)
+SQL["build_all"] = " UNION ALL ".join(
+    # The calendar of the build is the fixed range 2024 to 2026.
+    ["SELECT 'marts.dim_date' AS table_name, count(*) AS row_count FROM range(DATE '2024-01-01', DATE '2027-01-01', INTERVAL 1 DAY)"]
+    + [f"SELECT 'raw.' || table_name AS table_name, row_count FROM ({SQL['table_row_counts']})"]
+    + [f"SELECT 'marts.{name}' AS table_name, count(*) AS row_count FROM ({SQL[name]})" for name in _BUILT]
+)
