@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platter.operators.ranking import numbered, top_n_per_key
+from platter.session import estimated_bytes
 
 # Query vectors held by one task at a time; more queries take more passes.
 QUERIES_PER_PASS = 512
@@ -145,16 +146,21 @@ def _one_pass(
     return usable.select(*columns).mapInArrow(search, schema)
 
 
+def _scan_tasks(df: DataFrame) -> int:
+    size = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return -(-estimated_bytes(df) // size)
+
+
 def _merge(winners: list[DataFrame], k: int) -> DataFrame:
     """Global top-k from the winners of all tasks, merged as a tree.
 
     The winners of MERGED_TASKS tasks meet in one group, their winners with those of as many
     groups, and so on: a group never sees more than MERGED_TASKS x k rows of a query.
-    The height follows the number of scan tasks.
+    The height follows the number of scan tasks, by Spark's estimate of the input's size.
     """
     order = [F.col("score").desc(), F.col("review_id")]
     found = reduce(DataFrame.unionByName, winners)
-    tasks = max(w.rdd.getNumPartitions() for w in winners)
+    tasks = max(_scan_tasks(w) for w in winners)
     while tasks > MERGED_TASKS:
         found = found.withColumn("task", F.floor(F.col("task") / MERGED_TASKS).cast("int"))
         found = top_n_per_key(found, ["query_id", "task"], order, k, "_rank").drop("_rank")
