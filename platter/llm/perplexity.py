@@ -157,7 +157,8 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
     )
     spark, id_type = docs.sparkSession, given.schema["_id"].dataType.simpleString()
     path, name = scratch_path(spark, "text-blocks"), f"text_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many buckets as a shuffle has partitions, within Spark's limit for them.
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     blocks = given.mapInArrow(run, f"block long, ids array<{id_type}>, payload binary")
     blocks.write.bucketBy(buckets, "block").option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
