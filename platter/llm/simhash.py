@@ -264,6 +264,20 @@ def _bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), n) - (1 << 63) for n, band in enumerate(rows)]
 
 
+def _pieces(members: DataFrame, total: int) -> DataFrame:
+    """(shard, _one, _other, _piece, node, print): members (shard, node, print) of shards with several, for each pair of pieces.
+
+    A shard is dealt into pieces of about TREE_SIZE nodes. A node stands in one piece and goes to all
+    pairs that the piece is part of, so any two members of a shard meet in one pair at least.
+    """
+    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    sized = join_groups(members, sizes, "shard", "_n", total)
+    dealt = sized.withColumn("_of", F.ceil(F.col("_n") / TREE_SIZE)).withColumn("_piece", F.pmod(F.xxhash64("node", "shard"), "_of"))
+    paired = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
+    one, other = F.least("_piece", "_with").alias("_one"), F.greatest("_piece", "_with").alias("_other")
+    return written(paired.select("shard", one, other, "_piece", "node", "print"), "shard-members")
+
+
 def similar_texts(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -271,9 +285,8 @@ def similar_texts(
 
     Similarity is Jaccard's over the sets of shingles, estimated by SimHash fingerprints of
     256 bits. Shards are bands of minimal shingle hashes; each distinct fingerprint of a shard is a
-    node of its BK-tree. A shard with more than TREE_SIZE of them is dealt into several trees, whose
-    components are represented by their first fingerprints in the next round, until one tree holds
-    the rest. Equal texts are always linked. Null texts count as empty, and all texts without
+    node of its BK-tree. A shard with more than TREE_SIZE of them is dealt into pieces, and a tree is built
+    for every pair of pieces, so no two members of a shard are kept apart. Equal texts are always linked. Null texts count as empty, and all texts without
     words are alike. Null ids never name a component unless all its ids are null.
     """
     ready(docs.sparkSession)
@@ -316,33 +329,15 @@ def similar_texts(
                 [pa.array(shards, pa.int64()), *(pa.array(np.concatenate([empty, *x])) for x in (nodes, roots))], ["shard", "node", "root"]
             )
 
-    members = groups.select("node", "print", F.explode("bands").alias("shard"))
-    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    members = written(join_groups(members, sizes, "shard", "_n", groups.count()).drop("_n"), "shard-members")
-    found = None
-    while True:
-        sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("_n"))
-        trees = F.ceil(F.col("_n") / TREE_SIZE)
-        dealt = join_groups(members, sizes, "shard", "_n", groups.count()).withColumn(
-            "_tree", F.pmod(F.xxhash64("node", "shard"), trees)
-        )
-        linked = written(
-            dealt.groupBy("shard", "_tree")
-            .agg(F.collect_list(F.struct("node", "print")).alias("members"))
-            .select("shard", "members")
-            .mapInArrow(link, "shard long, node long, root long"),
-            "shard-links",
-        )
-        edges = linked.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = edges if found is None else found.unionByName(edges)
-        split = sizes.filter(F.col("_n") > TREE_SIZE).select("shard")
-        if split.isEmpty():
-            break
-        heads = linked.filter("node = root").select("shard", "node").join(split, "shard", "left_semi")
-        again = written(heads.join(groups.select("node", "print"), "node"), "shard-members")
-        if again.count() == members.join(split, "shard", "left_semi").count():
-            break  # nothing in the large shards is alike
-        members = again
+    pieces = _pieces(groups.select("node", "print", F.explode("bands").alias("shard")), groups.count())
+    linked = written(
+        pieces.groupBy("shard", "_one", "_other")
+        .agg(F.collect_list(F.struct("node", "print")).alias("members"))
+        .select("shard", "members")
+        .mapInArrow(link, "shard long, node long, root long"),
+        "shard-links",
+    )
+    found = linked.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(found)
     rooted = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_size"))

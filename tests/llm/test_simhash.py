@@ -100,6 +100,20 @@ def test_similar_texts(spark, monkeypatch, tree_size):
         assert component[i] == (6 * group if group < 8 else i)
 
 
+def test_large_shard_loses_no_pair(spark, monkeypatch):
+    """Pairs of near copies in one shard that takes many pieces: every pair is found, whichever pieces its two are dealt into."""
+    monkeypatch.setattr(simhash, "TREE_SIZE", 8)
+    monkeypatch.setattr(simhash, "_bands", lambda hashes: [7])
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(30):
+        base = rng.choice(words, 200).tolist()
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:-1], "changed"]))]
+    got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_similar_texts_edges(spark, edge_docs, edge_rows):
     got = simhash.similar_texts(edge_docs).collect()
     assert len(got) == len(edge_rows)
