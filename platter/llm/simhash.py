@@ -8,7 +8,7 @@ shard that is too large for one tree is split by the same rule on the bits that
 open, until it is small or nearly all bits are fixed, so no link is lost and no tree is unbounded.
 
 For near copies of a given similarity the radius is too wide for that; `similar_texts` takes
-longer fingerprints and shards by minimal shingle hashes instead.
+longer fingerprints, shards by minimal shingle hashes instead, and compares the shingle sets of candidates.
 """
 
 from __future__ import annotations
@@ -241,16 +241,20 @@ def near_copies(
 # shingles agree on a band of minimal shingle hashes.
 BANDS, ROWS = 10, 3
 WORDS = 4
+# The radius only picks candidates, so it is wide.
+DEVIATIONS = 5
+# Of a node's candidates in a shard, nearest first, how many have been tried after each round.
+TRIED = (1, 16, None)
 _rng = np.random.default_rng(20240102)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def radius_for(similarity: float, words: int = WORDS) -> int:
-    """Bits that texts of this Jaccard similarity differ in, with two standard deviations on top."""
+    """Bits that texts of this Jaccard similarity differ in, with DEVIATIONS standard deviations on top."""
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
     bits = BITS * words
-    return int(np.ceil(bits * share + 2 * np.sqrt(bits * share * (1 - share))))
+    return int(np.ceil(bits * share + DEVIATIONS * np.sqrt(bits * share * (1 - share))))
 
 
 def _bands(hashes: np.ndarray) -> list[int]:
@@ -278,67 +282,139 @@ def _pieces(members: DataFrame, total: int) -> DataFrame:
     return written(paired.select("shard", one, other, "_piece", "node", "print"), "shard-members")
 
 
+def _shingle_sets(texts: DataFrame, groups: DataFrame, pieces: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams): the shingle hashes of the nodes that share a shard with others; one text (_text) is read for each node."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grams = [np.unique(_shingle_hashes(text, shingle, SEED)).view(np.int64) for text in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"])
+
+    wanted = groups.select("node", "_digest").join(pieces.select("node").distinct(), "node", "left_semi")
+    # Copies are combined inside the tasks, so a text with many sends a row per task.
+    one_each = texts.groupBy(F.unhex(F.md5("_text")).alias("_digest")).agg(F.min("_text").alias("_text"))
+    return written(one_each.join(wanted, "_digest").select("node", "_text").mapInArrow(by_batch(run), "node long, grams array<long>"), "shingle-sets")
+
+
+def _candidates(prints: np.ndarray, piece: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(member, the others within the radius of it, their distances); with two pieces, others of the other piece."""
+    both = len(np.unique(piece)) > 1
+    for i in range(len(prints)):
+        away = _away(prints, prints[i])
+        near = (away <= radius) & ((piece != piece[i]) if both else True)
+        near[i] = False
+        others = np.flatnonzero(near)
+        yield i, others, away[others]
+
+
+def _proposals(radius: int, start: int, until: int | None):
+    """A mapInArrow function from the members of pairs of pieces to pairs of nodes (a, b) to be verified.
+
+    Of each member the candidates from number `start` to number `until`, nearest first, if they have
+    other labels. A row without a pair says that candidates with other labels are left for the next round.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for key, members in zip(keys, batch.column(3)):
+                fields = members.values
+                nodes, piece, labels = (fields.field(name).to_numpy() for name in ("node", "_piece", "label"))
+                by_node = np.argsort(nodes)
+                nodes, piece, labels = nodes[by_node], piece[by_node], labels[by_node]
+                prints = np.frombuffer(b"".join(fields.field("print").to_pylist()), np.uint64).reshape(-1, WORDS)[by_node]
+                if key[1] != key[2] and len(np.unique(piece)) < 2:
+                    continue
+                a, b, left = [], [], False
+                for i, others, away in _candidates(prints, piece, radius):
+                    if not len(others):
+                        continue
+                    others = others[np.argsort(away, kind="stable")]
+                    foreign = labels[others] != labels[i]
+                    now = others[start:until][foreign[start:until]]
+                    left = left or (until is not None and bool(foreign[until:].any()))
+                    a.append(np.minimum(nodes[i], nodes[now]))
+                    b.append(np.maximum(nodes[i], nodes[now]))
+                empty = np.zeros(0, np.int64)
+                pairs = np.unique(np.stack([np.concatenate([empty, *a]), np.concatenate([empty, *b])]), axis=1)
+                n = pairs.shape[1] + left
+                ends = [pa.array([*side.tolist(), *[None] * left], pa.int64()) for side in pairs]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * n, pa.int64()) for k in key), *ends], ["shard", "_one", "_other", "a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
+    pairs = written(pairs, "distinct-pairs")
+    total = pairs.count()
+    for end in ("a", "b"):
+        sizes = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_n"))
+        own = sizes.join(sets.select(F.col("node").alias(end), F.col("grams").alias(f"_{end}")), end)
+        pairs = join_groups(pairs, own, end, "_n", total).drop("_n")
+    common = F.size(F.array_intersect("_a", "_b"))
+    return pairs.filter(common / (F.size("_a") + F.size("_b") - common) >= similarity).select("a", "b")
+
+
 def similar_texts(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per row of `docs`: id, component_id; texts of about this similarity and more are in one component.
-
-    Similarity is Jaccard's over the sets of shingles, estimated by SimHash fingerprints of
-    256 bits. Shards are bands of minimal shingle hashes; each distinct fingerprint of a shard is a
-    node of its BK-tree. A shard with more than TREE_SIZE of them is dealt into pieces, and a tree is built
-    for every pair of pieces, so no two members of a shard are kept apart. Equal texts are always linked. Null texts count as empty, and all texts without
-    words are alike. Null ids never name a component unless all its ids are null.
+    """One row per row of `docs`: id, component_id; texts of this similarity and more are linked.
+
+    Similarity is Jaccard's over the sets of shingles. Texts are nodes by their set. Shards are bands of
+    minimal shingle hashes; SimHash fingerprints of 256 bits within a wide radius pick the candidate
+    pairs of a shard, and every link is a pair whose sets were compared. Candidates are tried nearest
+    first, in a few rounds; pairs that earlier rounds connected are left out. A shard with more than
+    TREE_SIZE nodes is dealt into pieces, and every two pieces are searched together. Equal sets are
+    always linked. Null texts count as empty, and all texts without words are alike. Null ids never
+    name a component unless all its ids are null.
     """
     ready(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints, bands = [], []
+        prints, bands, nodes = [], [], []
         for text in batch.column(1).to_pylist():
-            hashes = _shingle_hashes(text, shingle, SEED)
+            hashes = np.unique(_shingle_hashes(text, shingle, SEED))
             words = [_majority(hashes * m) for m in _MULTIPLIERS[:WORDS]]
             prints.append(np.concatenate(words).tobytes())
-            bands.append(_bands(np.unique(hashes)))
+            bands.append(_bands(hashes))
+            nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "print", "bands"]
+            [batch.column(0), batch.column(2), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(nodes, pa.int64())],
+            ["_id", "_digest", "print", "bands", "node"],
         )
 
-    given = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
+    given = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).withColumn("_digest", F.unhex(F.md5("_text")))
     id_type = given.schema["_id"].dataType.simpleString()
     rows = written(
-        given.mapInArrow(by_batch(run), f"_id {id_type}, print binary, bands array<long>").withColumn("node", F.xxhash64("print")),
+        given.mapInArrow(by_batch(run), f"_id {id_type}, _digest binary, print binary, bands array<long>, node long"),
         "wide-fingerprints",
     )
     groups = written(
-        rows.groupBy("node").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"), F.min("print").alias("print"), F.min("bands").alias("bands")),
+        rows.groupBy("node").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"), F.min("print").alias("print"), F.min("bands").alias("bands"), F.min("_digest").alias("_digest")),
         "distinct-wide-fingerprints",
     )
-    radius = radius_for(similarity)
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shards, nodes, roots = [], [], []
-            for shard, members in zip(batch.column(0).to_pylist(), batch.column(1)):
-                members = sorted((m["node"].as_py(), m["print"].as_py()) for m in members)
-                prints = np.frombuffer(b"".join(p for _, p in members), np.uint64).reshape(-1, WORDS)
-                names = np.array([n for n, _ in members])
-                shards.extend([shard] * len(names))
-                nodes.append(names)
-                roots.append(names[forest(prints, radius)])
-            empty = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.int64()), *(pa.array(np.concatenate([empty, *x])) for x in (nodes, roots))], ["shard", "node", "root"]
-            )
-
-    pieces = _pieces(groups.select("node", "print", F.explode("bands").alias("shard")), groups.count())
-    linked = written(
-        pieces.groupBy("shard", "_one", "_other")
-        .agg(F.collect_list(F.struct("node", "print")).alias("members"))
-        .select("shard", "members")
-        .mapInArrow(link, "shard long, node long, root long"),
-        "shard-links",
-    )
-    found = linked.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(found)
+    total = groups.count()
+    pieces = _pieces(groups.select("node", "print", F.explode("bands").alias("shard")), total)
+    sets = _shingle_sets(given.select("_text"), groups, pieces, shingle)
+    found, roots, tried = None, None, 0
+    for until in TRIED:
+        labelled = pieces.withColumn("label", F.col("node")) if roots is None else (
+            pieces.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        )
+        proposed = written(
+            labelled.groupBy("shard", "_one", "_other")
+            .agg(F.collect_list(F.struct("node", "_piece", "label", "print")).alias("members"))
+            .mapInArrow(_proposals(radius_for(similarity), tried, until), "shard long, _one long, _other long, a long, b long"),
+            "candidate-pairs",
+        )
+        edges = written(_verified(proposed.filter("a IS NOT NULL").select("a", "b").distinct(), sets, similarity), "verified-pairs")
+        found = edges if found is None else found.unionByName(edges)
+        roots = written(components(found), "roots")
+        more = proposed.filter("a IS NULL").select("shard", "_one", "_other")
+        if until is None or more.isEmpty():
+            break
+        pieces = written(pieces.join(more, ["shard", "_one", "_other"], "left_semi"), "shard-members")
+        tried = until
     rooted = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_size"))
     total = rows.count()

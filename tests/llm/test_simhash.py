@@ -114,6 +114,26 @@ def test_large_shard_loses_no_pair(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize("tree_size", [4096, 40])
+def test_links_are_exact(spark, monkeypatch, tree_size):
+    """Pairs around the similarity: all at 0.8 and more are linked, none below."""
+    monkeypatch.setattr(simhash, "TREE_SIZE", tree_size)
+    monkeypatch.setattr(simhash, "_bands", lambda hashes: [7])
+    rows, want = [], {}
+    for pair in range(60):
+        length = 20 + 5 * pair
+        changed = max(round(length * (0.05 + 0.004 * pair)), 1)
+        words = [f"p{pair}w{i}" for i in range(length + 4)]
+        texts = [words, [*words[: length + 4 - changed], *(f"q{pair}w{i}" for i in range(changed))]]
+        first, second = ({tuple(t[i : i + 5]) for i in range(length)} for t in texts)
+        rows += [(2 * pair + n, " ".join(t)) for n, t in enumerate(texts)]
+        linked = len(first & second) / len(first | second) >= 0.8
+        want |= {2 * pair: 2 * pair, 2 * pair + 1: 2 * pair + (not linked)}
+    got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert 10 < sum(i != c for i, c in want.items()) < 50
+
+
 def test_similar_texts_edges(spark, edge_docs, edge_rows):
     got = simhash.similar_texts(edge_docs).collect()
     assert len(got) == len(edge_rows)
