@@ -35,12 +35,16 @@ def _byte_letters() -> dict[int, str]:
 class UnitEncoder:
     """Ids of whole texts, equal to `Tokenizer.encode(text, add_special_tokens=False)`.
 
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens in a text are ordinary text, or with `markers` the tokens that the
+    library by default takes them for: texts that hold any added token are left to it as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, markers: bool = False):
         from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(path)
+        added = [token.content for token in self.library.get_added_tokens_decoder().values()] if markers else []
+        self.marked = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         # Units without white space are encoded many at a time with line feeds between them, which
@@ -99,14 +103,16 @@ class UnitEncoder:
         """The ids of every text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for start in range(0, len(texts), TEXTS_AT_ONCE):
-            split = [_UNITS.findall(text) for text in texts[start : start + TEXTS_AT_ONCE]]
+            some = texts[start : start + TEXTS_AT_ONCE]
+            whole = {n: self._bytes(self.library.encode(text, add_special_tokens=False).ids) for n, text in enumerate(some) if self.marked(text)}
+            split = [[] if n in whole else _UNITS.findall(text) for n, text in enumerate(some)]
             found = [list(map(self.known.get, units)) for units in split]
             missing = {u for units, ids in zip(split, found) if None in ids for u, known in zip(units, ids) if known is None}
             self._learn(list(missing))
-            for units, ids in zip(split, found):
+            for n, (units, ids) in enumerate(zip(split, found)):
                 if None in ids:
                     ids = [self.known[u] if known is None else known for u, known in zip(units, ids)]
-                out.append(b"".join(ids))
+                out.append(whole[n] if n in whole else b"".join(ids))
             if len(self.known) > REMEMBERED_UNITS:  # what these texts use is worth keeping
                 self.known = {unit: self.known[unit] for unit in set().union(*split)}
         return out
@@ -114,4 +120,4 @@ class UnitEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+    return UnitEncoder(path, markers=True)

@@ -36,6 +36,19 @@ def test_encoder_equals_library(library, alphabet, monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(library, t) for t in texts]
 
 
+def test_markers_as_the_unchanged_library(spark):
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|> y<|endoftext|><|endoftext|>\n", "<|endoftext| > a", "plain words, no marker"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = scratch_path(spark, "ids")
+    token_file.write_tokens(docs, path, PATH, end_id=0)
+    assert {r.doc_id: r.tokens for r in token_file.read_tokens(spark, path).collect()} == {i: [*ids, 0] for i, ids in enumerate(want)}
+    packed = packing.pack(docs, PATH, 1).collect()
+    assert {r.doc_id: r.doc_tokens for r in packed} == {i: len(ids) + 1 for i, ids in enumerate(want)}
+
+
 def test_file_round_trip(spark, library, edge_docs, edge_rows):
     path = scratch_path(spark, "ids")
     token_file.write_tokens(edge_docs, path, PATH, end_id=0)
