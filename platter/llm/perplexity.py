@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from platter.llm.common import ready, whole_text, written
 from platter.session import scratch_path
 
-ORDER = 4
+ORDER = 5
 # Bytes of a block before compression; a single longer text makes a block of its own.
 BLOCK_BYTES = 16 << 20
 COMPRESSION_LEVEL = 6
@@ -33,7 +33,7 @@ AT_ONCE = 1 << 19
 HELD_OUT = 10
 QUANTILE = 0.99
 # How far above the quantile a perplexity may lie, as a factor: trusted text varies beyond any sample of it.
-MARGIN = 1.3
+MARGIN = 1.1
 
 NO_LANGUAGE = "und"
 _START = 2  # stands before a text

@@ -86,6 +86,14 @@ def test_separates_labels(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.4 * len(bad)
 
 
+def test_keeps_hardly_any_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    counted = px.classify(docs, labels).join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    counts = {(r.quality, r.kept): r["count"] for r in counted}
+    assert counts.get((0, True), 0) <= 1 and counts.get((1, False), 0) <= 3, counts
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs):
     labels = spark.createDataFrame([(1, 1), (5, 1), (None, 1), (9, 0)], "doc_id long, quality int")
     rows = px.classify(edge_docs, labels).collect()
