@@ -11,6 +11,7 @@ perplexity is within a quantile of the perplexities of held-out trusted document
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -274,7 +275,7 @@ def answer(requests: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -
 
 
 def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(_id, lang, n_chars, perplexity) of every document; null where there is no character or no model."""
+    """(_id, lang, n_chars, perplexity, text_md5) of every document; null where there is no character or no model."""
     id_field = blocks.schema["ids"].dataType.elementType
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +289,7 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> D
                     )
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, langs, sizes, results = [], [], [], []
+        ids, langs, sizes, results, digests = [], [], [], [], []
         known = right.column("lang").to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, object)
         for payload in left.column("payload"):
             rows = _unpacked(payload.as_py())
@@ -312,6 +313,7 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> D
                 chars[at] = n
                 if len(keys):
                     perplexity[at] = np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan)
+            digests += [hashlib.md5(t.encode("utf-8")).digest() for t in rows.column("text").to_pylist()]
             ids.append(rows.column("_id").combine_chunks())
             langs.append(rows.column("lang").combine_chunks())
             sizes.append(chars)
@@ -322,13 +324,14 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> D
                 "lang": pa.chunked_array(langs).combine_chunks(),
                 "n_chars": np.concatenate(sizes),
                 "perplexity": pa.array(np.concatenate(results), from_pandas=True),
+                "text_md5": pa.array(digests, pa.binary()),
             }
         )
 
     requests = written(blocks.select("block", "payload").mapInArrow(ask, "block long, lang string, gram string"), "requests")
     answers = answer(requests.select("lang", "gram").distinct(), model)
     returned = requests.join(answers, ["lang", "gram"]).select("block", "lang", "gram", "logp")
-    schema = f"_id {id_field.simpleString()}, lang string, n_chars long, perplexity double"
+    schema = f"_id {id_field.simpleString()}, lang string, n_chars long, perplexity double, text_md5 binary"
     return (
         blocks.select("block", "payload")
         .groupBy("block")
@@ -345,8 +348,9 @@ def classify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    with_digest: bool = False,
 ) -> DataFrame:
-    """One row per row of `docs`: id, lang, n_chars, perplexity, threshold, kept.
+    """One row per row of `docs`: id, lang, n_chars, perplexity, threshold, kept; with_digest adds text_md5.
 
     `labels` has the id and `quality`; documents of quality 1 are trusted. Nine in ten of them
     train the model of their language, the tenth sets its threshold: the quantile of their
@@ -371,4 +375,5 @@ def classify(
         "perplexity",
         "threshold",
         ((F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"),
+        *(["text_md5"] if with_digest else []),
     )
