@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from platter.llm import licenses, line_dedup
 
 
@@ -39,6 +40,41 @@ def test_random_runs(spark, min_words):
     assert sum(n for _, n in want.values()) > 0
 
 
+def brute_maximal(rows, min_words):
+    """Cleaned texts by extending every match with an earlier place as far as it goes."""
+    lines = {i: (t or "").split("\n") for i, t in rows}
+    places = [(i, [k for k, line in enumerate(lines[i]) if line.split()]) for i in sorted(lines)]
+    starts = [(i, own, s) for i, own in places for s in range(len(own))]
+    gone = {i: set() for i in lines}
+    for n, (i, own, s) in enumerate(starts):
+        for j, other, p in starts[:n]:
+            length = words = 0
+            while s + length < len(own) and p + length < len(other) and lines[i][own[s + length]] == lines[j][other[p + length]]:
+                words += len(lines[i][own[s + length]].split())
+                length += 1
+            if words >= min_words:
+                gone[i] |= set(own[s : s + length])
+    return {i: ("\n".join(line for k, line in enumerate(lines[i]) if k not in gone[i]), len(gone[i])) for i in lines}
+
+
+@pytest.mark.parametrize("min_words", [5, 12])
+def test_whole_runs(spark, min_words):
+    random.seed(min_words)
+    pool = ["a b c", "d", "", "e f"]
+    rows = [(i, "\n".join(random.choices(pool, k=random.randint(0, 25)))) for i in range(60)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words, whole_runs=True).collect()
+    want = brute_maximal(rows, min_words)
+    assert {r.doc_id: (r.text, r.n_deleted) for r in got} == want and want != brute(rows, min_words)
+
+
+@pytest.mark.parametrize("sizes", [(60, 3, 3), (48, 5, 40)])
+def test_pipeline_deletes_runs_to_their_end(spark, sizes):
+    text = "\n".join(" ".join(f"l{n}w{i}" for i in range(size)) for n, size in enumerate(sizes))
+    docs = spark.createDataFrame([(1, text, len(text)), (2, text, len(text))], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got == {1: text, 2: ""}
+
+
 def test_repeated_line_keeps_its_first_copies(spark):
     text = "x y\n" * 400 + "end"
     got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
