@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from platter.llm import exact_dedup, language, licenses, line_dedup, packing, perplexity, piece_bpe, simhash, token_file, weighted_sampling
+from platter.llm import exact_dedup, language, licenses, line_dedup, merkle, packing, perplexity, piece_bpe, simhash, token_file, weighted_sampling
 from platter.llm.common import table
 from platter.session import scratch_path
 
@@ -139,6 +139,63 @@ SQL["op9_exact_dedup"] = """SELECT doc_id, max(doc_id) OVER same AS keep_id, cou
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def _value_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(*values: str) -> str:
+    return f"sha256({' || '.join(map(_value_sql, values))})"
+
+
+SQL["op11_merkle"] = f"""WITH RECURSIVE leaves AS (
+  SELECT doc_id, {_leaf_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree,
+    {_leaf_sql("doc_id", "source", "lang", "(n_chars + 1)", "text")} AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM documents),
+crc(i, c) AS (
+  SELECT i, i FROM range(256) t(i)),
+steps(i, c, k) AS (
+  SELECT i, c, 0 FROM crc UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT i, c FROM steps WHERE k = 8),
+checksum(doc_id, rest, c) AS (
+  SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), 4294967295 FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT s.doc_id, s.rest[2:], xor(s.c // 256, t.c) FROM checksum s JOIN crc_table t ON t.i = xor(s.c % 256, ascii(s.rest)) WHERE s.rest <> ''),
+chosen AS (SELECT doc_id FROM checksum WHERE rest = '' AND xor(c, 4294967295) % 7 = 0),
+nodes(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM nodes WHERE n > 1
+  GROUP BY tree, level, pos // 2),
+tops(level, pos, h, n) AS (
+  SELECT 0, tree - 1, h, count(*) OVER () FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM tops WHERE n > 1 GROUP BY level, pos // 2),
+folded(row_tree, row_pos, level, pos, h, siblings) AS (
+  SELECT tree, pos, 0, pos, CASE WHEN c.doc_id IS NULL THEN leaf ELSE changed END, '' FROM leaves LEFT JOIN chosen c USING (doc_id)
+  UNION ALL
+  SELECT f.row_tree, f.row_pos, f.level + 1, f.pos // 2, sha256(CASE WHEN f.pos % 2 = 0 THEN f.h || coalesce(s.h, '') ELSE s.h || f.h END),
+    f.siblings || coalesce(s.h, '')
+  FROM folded f JOIN nodes o ON o.tree = f.row_tree AND o.level = f.level AND o.pos = f.pos AND o.n > 1
+    LEFT JOIN nodes s ON s.tree = f.row_tree AND s.level = f.level AND s.pos = xor(f.pos, 1)),
+upper(row_tree, row_pos, level, pos, h, siblings) AS (
+  SELECT f.row_tree, f.row_pos, 0, f.row_tree - 1, f.h, f.siblings
+  FROM folded f JOIN nodes r ON r.tree = f.row_tree AND r.level = f.level AND r.n = 1
+  UNION ALL
+  SELECT f.row_tree, f.row_pos, f.level + 1, f.pos // 2, sha256(CASE WHEN f.pos % 2 = 0 THEN f.h || coalesce(s.h, '') ELSE s.h || f.h END),
+    f.siblings || coalesce(s.h, '')
+  FROM upper f JOIN tops o ON o.level = f.level AND o.pos = f.pos AND o.n > 1
+    LEFT JOIN tops s ON s.level = f.level AND s.pos = xor(f.pos, 1))
+SELECT l.doc_id, l.leaf, r.h AS subroot, t.h AS root, sha256(f.siblings) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM leaves l JOIN nodes r ON r.tree = l.tree AND r.n = 1 JOIN tops t ON t.n = 1
+JOIN upper f ON f.row_tree = l.tree AND f.row_pos = l.pos AND f.level = t.level"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
