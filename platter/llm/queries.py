@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from platter.llm import exact_dedup, language, licenses, line_dedup, merkle, packing, perplexity, piece_bpe, simhash, token_file, weighted_sampling
+from platter.llm import exact_dedup, language, licenses, line_dedup, merkle, packing, perplexity, piece_bpe, ranked_search, simhash, token_file, weighted_sampling
 from platter.llm.common import table
 from platter.session import scratch_path
 
@@ -196,6 +196,39 @@ FROM leaves l JOIN nodes r ON r.tree = l.tree AND r.n = 1 JOIN tops t ON t.n = 1
 JOIN upper f ON f.row_tree = l.tree AND f.row_pos = l.pos AND f.level = t.level"""
 
 
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms_sql(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')"
+
+
+SQL["op13_ranked_search"] = f"""WITH split AS (
+  SELECT doc_id, row_number() OVER () AS row_id, {_terms_sql("text")} AS terms FROM documents),
+counted AS (SELECT * FROM split WHERE len(terms) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM counted),
+measured AS (
+  SELECT row_id, doc_id, 100 - 50 + (50 * CAST(len(terms) AS BIGINT) * docs) // words AS m FROM counted, total),
+postings AS (
+  SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM counted) GROUP BY row_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM postings, total GROUP BY term),
+wanted AS (
+  SELECT DISTINCT item_id, text, term FROM (SELECT item_id, text, unnest({_terms_sql("text")}) AS term FROM benchmark)),
+scored AS (
+  SELECT q.item_id, q.text, p.row_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM wanted q JOIN weights USING (term) JOIN postings p USING (term) JOIN measured USING (row_id) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id, s.text ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored s JOIN measured USING (row_id) WHERE score > 0) WHERE rank <= 50"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
