@@ -49,6 +49,11 @@ def whole_text(text: str = "text"):
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """The same columns under names that mapInArrow can quote: p0, p1 and so on."""
+    return df.toDF(*[f"p{i}" for i in range(len(df.columns))])
+
+
 def by_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     """A mapInArrow function from a function of one batch."""
 

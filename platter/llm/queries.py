@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from platter.llm import exact_dedup, language, licenses, line_dedup, merkle, packing, perplexity, piece_bpe, ranked_search, simhash, token_file, weighted_sampling
+from platter.llm import exact_dedup, language, licenses, line_dedup, merkle, packing, perplexity, piece_bpe, ranked_search, simhash, token_file, toxicity, weighted_sampling
 from platter.llm.common import table
 from platter.session import scratch_path
 
@@ -196,6 +196,13 @@ FROM leaves l JOIN nodes r ON r.tree = l.tree AND r.n = 1 JOIN tops t ON t.n = 1
 JOIN upper f ON f.row_tree = l.tree AND f.row_pos = l.pos AND f.level = t.level"""
 
 
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", toxicity.held_out("doc_id"))
+    model = toxicity.learn(toxicity.labelled_texts(docs.filter("NOT held_out"), table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).drop("text")
+
+
 @query
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
