@@ -149,26 +149,56 @@ def informative(labelled: DataFrame, most: int = FEATURES) -> DataFrame:
     return counts.withColumn("gain", gain).filter((F.col("gain") >= least) & more_toxic).select("feature", "gain").orderBy(F.col("gain").desc(), "feature").limit(most)
 
 
-def _swapped(known: dict[int, int]):
-    """(text) rows to (added, removed, n): how swaps in their sentences change the features, combined inside the task."""
+# What a row of `_examples` is, besides an example of label 0 or 1.
+SWAP = -1
+
+
+def _examples(known: dict[int, int]):
+    """(text, toxic, drawn) rows to (kind, places, removed, share), equal ones combined inside the task.
+
+    A drawn text is an example with its places. Half of a toxic text's share goes to its telling words, each taken alone. Of every text,
+    drawn or not, a swap in a sentence is a row of kind SWAP: the places added and those removed.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, found = _Words(known), Counter()
+
+        def send() -> pa.RecordBatch:
+            keys = list(found)
+            lists = [pa.array([list(k[i]) for k in keys], pa.list_(pa.int32())) for i in (1, 2)]
+            shares = pa.array([float(v) for v in found.values()], pa.float64())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), *lists, shares], ["kind", "places", "removed", "share"])
+
         for batch in batches:
-            for text in batch.column(0):
-                for sentence in _SENTENCE.split((text.as_py() or "").lower()):
-                    own = _WORD.findall(sentence)
-                    for term in sorted(_SWAPS.keys() & set(own)):
-                        before = words.words(own)
-                        for other in _SWAPS[term]:
-                            after = words.words(other if w == term else w for w in own)
-                            if after != before:
-                                found[tuple(sorted(after - before)), tuple(sorted(before - after))] += 1
-        lists = [pa.array([list(pair[k]) for pair in found], pa.list_(pa.int32())) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*lists, pa.array(list(found.values()), pa.int64())], ["added", "removed", "n"])
+            for text, toxic, drawn in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                lowered = text.as_py().lower()
+                own = set(_WORD.findall(lowered))
+                if drawn:
+                    alone = {tuple(sorted(words.word(w))) for w in own} - {()} if toxic else ()
+                    found[toxic, tuple(sorted(words.words(own))), ()] += 0.5 if alone else 1.0
+                    for one in alone:
+                        found[toxic, one, ()] += 0.5 / len(alone)
+                if not own.isdisjoint(_SWAPS):
+                    for sentence in _SENTENCE.split(lowered):
+                        found.update(_sentence_swaps(_WORD.findall(sentence), words))
+            if len(found) > TABLE_SIZE // 16:
+                yield send()
+        yield send()
 
     return run
 
 
+def _sentence_swaps(own: list[str], words: _Words) -> Counter:
+    """Every name in a sentence swapped for each other one of its kind, as (SWAP, added, removed)."""
+    found, before = Counter(), words.words(own)
+    for term in sorted(_SWAPS.keys() & set(own)):
+        for other in _SWAPS[term]:
+            after = words.words(other if w == term else w for w in own)
+            if after != before:
+                found[SWAP, tuple(sorted(after - before)), tuple(sorted(before - after))] += 1
+    return found
+
+
 # ---------------------------------------------------------------------------- fitting
 @dataclass
 class Model:
@@ -183,27 +213,31 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(np.array(sums), -500, 500)))).tolist()
 
 
-def _sparse(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every entry."""
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return rows, np.array([f for x in lists for f in x], np.int64)
+Sparse = tuple[np.ndarray, np.ndarray]
+
 
+def sparse(lists: pa.ChunkedArray) -> Sparse:
+    """(row, place) of every entry of a column of lists."""
+    whole = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    sizes = whole.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(whole)), sizes), whole.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
-def fit(texts: list[list[int]], toxic: np.ndarray, share: np.ndarray, size: int, swaps: list[tuple[list[int], list[int], int]], penalty: float) -> tuple[np.ndarray, float]:
+
+def fit(
+    texts: Sparse, toxic: np.ndarray, share: np.ndarray, size: int, added: Sparse, removed: Sparse, often: np.ndarray, penalty: float
+) -> tuple[np.ndarray, float]:
     """Weights and bias of logistic regression over sets of features, by full gradients with adaptive steps.
 
-    `share` is the part of the loss that each text has. Weights are never negative: no harmless words, however many, make an attack
-    harmless. The penalty is the mean square, over all swaps, of the change of the sum of weights.
+    `share` is the part of the loss that each text has, `often` that each swap has of the penalty: the mean square of the change of
+    the sum of weights. Weights are never negative: no harmless words, however many, make an attack harmless.
     """
-    row, feature = _sparse(texts)
+    row, feature = texts
     share = share / share.sum()
-    added, removed = (_sparse([s[k] for s in swaps]) for k in (0, 1))
-    often = np.array([s[2] for s in swaps], np.float64)
     often = penalty * often / often.sum() if len(often) else often
     weights, bias = np.zeros(size), 0.0
     mean, square = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
-        scores = np.bincount(row, weights[feature], len(texts)) + bias
+        scores = np.bincount(row, weights[feature], len(toxic)) + bias
         error = (1 / (1 + np.exp(-np.clip(scores, -500, 500))) - toxic) * share
         slope = np.bincount(feature, error[row], size) + RIDGE * weights
         if len(often):
@@ -218,10 +252,13 @@ def fit(texts: list[list[int]], toxic: np.ndarray, share: np.ndarray, size: int,
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(text, toxic) of all rows of `docs` with a label 0 or 1; a null text is empty. Ids with both labels count as toxic."""
+    """(text, toxic) of all rows of `docs` with a label 0 or 1; a null text is empty. Ids with both labels count as toxic.
+
+    Both sides are dealt by id whatever their size, so the plan does not change as labels grow.
+    """
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_labelled")).agg(F.max(label_col).cast("int").alias("toxic"))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(marks, F.col("_id") == F.col("_labelled")).select("text", "toxic")
+    return texts.join(marks.hint("merge"), F.col("_id") == F.col("_labelled")).select("text", "toxic")
 
 
 def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, penalty: float = COUNTERFACTUAL) -> Model:
@@ -239,28 +276,23 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = F
     known = {r["feature"]: i for i, r in enumerate(informative(rows, features).select("feature").collect())}
     fraction = F.when(F.col("toxic") == 1, F.lit(sample_rows / sizes[1])).otherwise(F.lit(sample_rows / sizes[0]))
     drawn = F.pmod(F.xxhash64(F.lit("drawn"), "text"), F.lit(1 << 30)) < fraction * (1 << 30)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(known)
-        for batch in filter(len, batches):
-            out = []
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                own = set(_WORD.findall((text.as_py() or "").lower()))
-                alone = sorted({words.word(w) for w in own} - {()}) if toxic else []
-                out.append((toxic, 0.5 if alone else 1.0, sorted(words.words(own))))
-                out += [(1, 0.5 / len(alone), sorted(one)) for one in alone]
-            columns = zip((pa.int32(), pa.float64(), pa.list_(pa.int32())), zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for kind, c in columns], ["toxic", "share", "places"])
-
-    sample = rows.filter(drawn).mapInArrow(places, "toxic int, share double, places array<int>").toArrow()
-    texts = sorted(zip(*(sample.column(c).to_pylist() for c in ("toxic", "share", "places"))))
-    named = rows.filter(F.lower("text").rlike("|".join(sorted(_SWAPS)))).select("text")
-    swaps = named.mapInArrow(_swapped(known), "added array<int>, removed array<int>, n long").groupBy("added", "removed").agg(F.sum("n").alias("n"))
-    pairs = sorted((r["added"], r["removed"], r["n"]) for r in swaps.collect()) if penalty else []
-    toxic, share = (np.array([x[k] for x in texts], np.float64) for k in (0, 1))
+    found = (
+        rows.select("text", "toxic", drawn.alias("drawn"))
+        .mapInArrow(_examples(known), "kind int, places array<int>, removed array<int>, share double")
+        .groupBy("kind", "places", "removed")
+        .agg(F.round(F.sum("share"), 6).alias("share"))
+        .orderBy("kind", "places", "removed")
+        .toArrow()
+    )
+    kind, share = (found.column(c).to_numpy() for c in ("kind", "share"))
+    texts, swaps = found.filter(pa.array(kind != SWAP)), found.filter(pa.array(kind == SWAP))
+    toxic, part = kind[kind != SWAP].astype(np.float64), share[kind != SWAP].copy()
     for label in (0, 1):
-        share[toxic == label] *= sizes[label] / max(share[toxic == label].sum(), 1e-9)
-    weights, bias = fit([x[2] for x in texts], toxic, share, len(known), pairs, penalty)
+        part[toxic == label] *= sizes[label] / max(part[toxic == label].sum(), 1e-9)
+    weights, bias = fit(
+        sparse(texts.column("places")), toxic, part, len(known),
+        sparse(swaps.column("places")), sparse(swaps.column("removed")), share[kind == SWAP] if penalty else np.zeros(0), penalty,
+    )
     return Model(known, weights, bias)
 
 

@@ -1,6 +1,7 @@
 """Held-out accuracy, the effect of the counterfactual penalty, and odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,7 +53,9 @@ def test_weights_minimise_the_loss():
     """The weights of a small problem against every step to a neighbour."""
     texts, toxic = [[0, 1], [0], [1], [2], [], [0, 2]], np.array([1.0, 1, 0, 0, 0, 1])
     swaps = [([1], [0], 2), ([2], [0, 1], 1)]
-    weights, bias = toxicity.fit(texts, toxic, np.ones(6), 3, swaps, 0.05)
+    column = lambda lists: toxicity.sparse(pa.chunked_array([pa.array(lists, pa.list_(pa.int32()))]))
+    often = np.array([s[2] for s in swaps], float)
+    weights, bias = toxicity.fit(column(texts), toxic, np.ones(6), 3, column([s[0] for s in swaps]), column([s[1] for s in swaps]), often, 0.05)
 
     def loss(w, b):
         s = np.array([sum(w[f] for f in t) for t in texts]) + b
