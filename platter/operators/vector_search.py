@@ -37,7 +37,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int, row_bytes: int = CANDIDATE_
     return F.broadcast(df) if max_rows * row_bytes <= BROADCAST_LIMIT else df
 
 
-def _passes(queries: DataFrame) -> Iterator[list[Row]]:
+def query_blocks(queries: DataFrame) -> Iterator[list[Row]]:
     """Query vectors in blocks small enough for one task's memory."""
     vectors = queries.select("query_id", "embedding")
     first = vectors.limit(QUERIES_PER_PASS + 1).collect()
@@ -77,19 +77,19 @@ class _Best:
             self.floor = self.scores[0][-1]
 
 
-def _as_matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
+def as_matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
     if (lengths != dimension).any():
         raise ValueError(f"every vector must have {dimension} elements")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
 
-def _one_pass(
+def scan_best(
     rows: list[Row], corpus: DataFrame, k: int, min_score: float | None, cells: list[list[int]] | None = None
 ) -> DataFrame:
     """The best k of every query within each task. With ``cells``, one list per query, a query
@@ -98,7 +98,7 @@ def _one_pass(
     if not rows:
         return corpus.sparkSession.createDataFrame([], schema)
     query_ids = [r["query_id"] for r in rows]
-    query_matrix = _unit_rows(np.asarray([r["embedding"] for r in rows], dtype=np.float64)).T
+    query_matrix = unit_rows(np.asarray([r["embedding"] for r in rows], dtype=np.float64)).T
     dimension = query_matrix.shape[0]
     floor = -np.inf if min_score is None else min_score
     asking: dict[int, list[int]] = {}
@@ -123,7 +123,7 @@ def _one_pass(
             if not batch.num_rows:
                 continue
             ids = batch.column("review_id").to_numpy(zero_copy_only=False)
-            unit = _unit_rows(_as_matrix(batch.column("embedding"), dimension))
+            unit = unit_rows(as_matrix(batch.column("embedding"), dimension))
             for members, wanted in blocks(batch):
                 scores = np.round(unit[members] @ query_matrix[:, wanted], SCORE_DIGITS)
                 for column, q in zip(scores.T, wanted):
@@ -151,7 +151,7 @@ def _scan_tasks(df: DataFrame) -> int:
     return -(-estimated_bytes(df) // size)
 
 
-def _merge(winners: list[DataFrame], k: int) -> DataFrame:
+def merge_best(winners: list[DataFrame], k: int) -> DataFrame:
     """Global top-k from the winners of all tasks, merged as a tree.
 
     The winners of MERGED_TASKS tasks meet in one group, their winners with those of as many
@@ -174,7 +174,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, min_score: float
     A zero vector scores 0. ``min_score`` may be given where lower scores are
     dropped later anyway.
     """
-    return _merge([_one_pass(block, corpus, k, min_score) for block in _passes(queries)], k)
+    return merge_best([scan_best(block, corpus, k, min_score) for block in query_blocks(queries)], k)
 
 
 # ------------------------------------------------------------------ approximate search
@@ -210,7 +210,7 @@ def write_cells(corpus: DataFrame, path: str, bits: int, seed: int = 42) -> None
             if not batch.num_rows:
                 continue
             column = batch.column("embedding")
-            matrix = _as_matrix(column, len(column[0]))
+            matrix = as_matrix(column, len(column[0]))
             cells = _cells(matrix, _planes(matrix.shape[1], bits, seed))
             yield batch.append_column("cell", pa.array(cells, pa.int64()))
 
@@ -260,13 +260,13 @@ def vector_topk_lsh(
     """
     spark = queries.sparkSession
     parts = []
-    for rows in _passes(queries):
+    for rows in query_blocks(queries):
         cells = _probes(rows, bits, probes, seed)
         union = sorted({c for own in cells for c in own})
         parts_read = sorted({c >> max(bits - DIRECTORY_BITS, 0) for c in union})
         near = spark.read.parquet(path).filter(F.col("part").isin(parts_read) & F.col("cell").isin(union))
-        parts.append(_one_pass(rows, near, k, None, cells))
-    return _merge(parts, k)
+        parts.append(scan_best(rows, near, k, None, cells))
+    return merge_best(parts, k)
 
 
 def rows_scored(queries: DataFrame, path: str, bits: int, probes: int = 16, seed: int = 42) -> DataFrame:
@@ -278,7 +278,7 @@ def rows_scored(queries: DataFrame, path: str, bits: int, probes: int = 16, seed
     sizes = spark.read.parquet(path).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     wanted = [
         (r["query_id"], cell)
-        for rows in _passes(queries)
+        for rows in query_blocks(queries)
         for r, own in zip(rows, _probes(rows, bits, probes, seed))
         for cell in own
     ]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from platter.functions import text as X
 from platter.functions import vector as V
-from platter.operators import batching, dedupe, ranking, vector_search
+from platter.operators import batching, dedupe, inverted_lists, ranking, vector_search
 from platter.plans import catalogue, enrichment, evaluation, index, marts, quality, retrieval, staging
 from platter.plans.warehouse import Warehouse, build_all
 from platter.session import prepare, scratch_path, settle
@@ -749,6 +749,28 @@ def _vector_topk_all_cells(spark, sf_dir):
     return vector_search.vector_topk_lsh(queries, cells, 5, bits, probes=1 << bits)
 
 
+@query("vector_topk_lists")
+def _vector_topk_lists(spark, sf_dir):
+    """Inverted lists asked for the ten nearest of every row whose id 50 divides: does the search hold its recall, and at what cost?"""
+    corpus = sample.review_embeddings(spark, sf_dir)
+    asked = corpus.filter("review_id % 50 = 0").select(F.col("review_id").alias("query_id"), "embedding")
+    report = inverted_lists.recall_report(asked, corpus, 10)
+    return report.select(
+        "queries", "expected", "table_rows", "indexed_rows",
+        F.expr("found >= 0.9 * expected").alias("recall_reached"),
+        F.expr("rows_scored < 0.5 * queries * table_rows").alias("under_half"),
+    )
+
+
+@query("vector_topk_all_lists")
+def _vector_topk_all_lists(spark, sf_dir):
+    """The search with every list probed, which is exact."""
+    queries, _ = _queries(spark, sf_dir)
+    path, corpus = scratch_path(spark, "inverted-lists"), sample.review_embeddings(spark, sf_dir)
+    inverted_lists.build_lists(corpus, path, 5)
+    return inverted_lists.search_lists(queries, path, 5, probes=inverted_lists.MOST_LISTS)
+
+
 @query("adaptive_threshold")
 def _adaptive(spark, sf_dir):
     return retrieval.adaptive_threshold(_ranked(spark, sf_dir)[0])
