@@ -83,6 +83,24 @@ add(
   FROM featured a JOIN featured b ON a.review_id = b.review_id + 1)""",
     **NORMALIZED,
 )
+CORPUS = {
+    **NORMALIZED,
+    "token_sets": "SELECT f.review_id, list_sort(tokens) AS tokens FROM featured f JOIN usable USING (review_id)",
+    "token_classes": "SELECT tokens, min(review_id) AS class_id, count(*) AS class_size FROM token_sets GROUP BY tokens",
+    "alike": f"""SELECT a.class_id AS left_id, b.class_id AS right_id,
+    CAST(len(list_intersect(a.tokens, b.tokens)) AS DOUBLE) AS common, CAST(len(a.tokens) + len(b.tokens) AS DOUBLE) AS total
+  FROM token_classes a JOIN token_classes b ON a.class_id < b.class_id AND len(a.tokens) > 0
+    AND len(a.tokens) >= {dedupe.TEXT_DUPLICATE} * len(b.tokens) - 1e-9 AND len(b.tokens) >= {dedupe.TEXT_DUPLICATE} * len(a.tokens) - 1e-9""",
+    "similar_pairs": f"""SELECT left_id, right_id, common / (total - common) AS similarity FROM alike
+  WHERE common / (total - common) >= {dedupe.TEXT_DUPLICATE}::DOUBLE""",
+}
+add("near_duplicate_pairs", "SELECT left_id, right_id, similarity FROM similar_pairs", **CORPUS)
+add(
+    "near_duplicate_classes",
+    """SELECT s.review_id, c.class_id, c.class_size, (SELECT count(*) FROM similar_pairs p WHERE p.left_id = c.class_id OR p.right_id = c.class_id) AS links
+FROM token_sets s JOIN token_classes c ON s.tokens = c.tokens""",
+    **CORPUS,
+)
 add("term_match", f"SELECT review_id, {', '.join(f'{e} AS {n}' for n, e in _FAMILY.items())} FROM featured", **NORMALIZED)
 add("review_pattern", "SELECT review_id, pattern FROM patterned", **NORMALIZED)
 add(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from platter.functions import text as X
 from platter.functions import vector as V
-from platter.operators import batching, dedupe, inverted_lists, ranking, vector_search
+from platter.operators import batching, dedupe, inverted_lists, ranking, similarity, vector_search
 from platter.plans import catalogue, enrichment, evaluation, index, marts, quality, retrieval, staging
 from platter.plans.warehouse import Warehouse, build_all
 from platter.session import prepare, scratch_path, settle
@@ -821,6 +821,22 @@ def _near(spark, sf_dir):
     return dedupe.near_dedupe(dedupe.exact_dedupe(_hydrated(spark, sf_dir, text_features=True)))
 
 
+def _all_near_duplicates(spark, sf_dir):
+    return similarity.near_duplicates(staging.usable_reviews(house(spark, sf_dir).raw["reviews"]))
+
+
+@query("near_duplicate_classes")
+def _near_classes(spark, sf_dir):
+    """Every usable review with its class of equal token sets and the number of similar classes."""
+    return _all_near_duplicates(spark, sf_dir)[0]
+
+
+@query("near_duplicate_pairs")
+def _near_pairs(spark, sf_dir):
+    """All pairs of similar classes of usable reviews."""
+    return _all_near_duplicates(spark, sf_dir)[1]
+
+
 def _wide_pool(spark, sf_dir):
     """The WIDEST best reviews with text of every query: the largest pools of the retrieval.
 
