@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platter.functions import sqlcompat as C
 from platter.functions import vector as V
 from platter.operators.ranking import first_per_key
+from platter.session import settle
 from platter.sources import tables
 
 METRIC = "cosine"
@@ -124,44 +128,82 @@ def index_validation(index: DataFrame, expected_rows: int, dimension: int) -> Da
     )
 
 
-def vector_upsert(current: DataFrame, incoming: DataFrame, version: str = "version") -> DataFrame:
-    """The next snapshot: one row per id, the highest version wins; repeating it changes nothing.
+def vector_upsert(current: DataFrame, incoming: DataFrame, version: str | list[str] = "version") -> DataFrame:
+    """One row per id, the highest version wins; repeating it changes nothing.
 
     Rows of one id and version differ in their vectors only; the vector's digest decides.
     """
-    order = [F.col(version).desc(), F.xxhash64("embedding")]
+    names = [version] if isinstance(version, str) else version
+    order = [*[F.col(v).desc() for v in names], F.xxhash64("embedding")]
     return first_per_key(current.unionByName(incoming), ["review_id"], order)
 
 
-def publish_upsert(spark: SparkSession, root: str, incoming: DataFrame, version: str = "version") -> DataFrame:
-    """Writes the next snapshot of the vectors below `root`, makes it the current one and returns it.
+# Hash buckets of a new vector table. An upsert rewrites the buckets that receive ids, so a bucket should be
+# small against the table and still a file worth reading.
+BUCKETS = 64
+MANIFEST_SCHEMA = "bucket int, path string, buckets int, mark bigint"
+
+
+def publish_upsert(
+    spark: SparkSession, root: str, incoming: DataFrame, version: str | list[str] = "version", buckets: int = BUCKETS, mark: int | None = None
+) -> DataFrame:
+    """Merges rows into the vector table below `root` and returns the table; only buckets that receive ids are rewritten.
 
-    A snapshot is a folder of its own, named by a running number. It becomes current when its
-    success marker is there, which Spark writes last, so readers see the old snapshot or the new.
+    The table is a manifest that names one folder per hash bucket of the ids. An upsert reads the touched buckets, writes them to
+    folders of their own and then a new manifest, which keeps the folders of all other buckets. It becomes current with its
+    success marker, which Spark writes last: readers see the old table or the new, and a run that is killed before leaves the
+    old one. A second writer with the same number fails. `buckets` counts for a new table only; `mark` is kept in the manifest.
     """
-    number = _current_snapshot(spark, root)
-    merged = incoming if number is None else incoming.sparkSession.read.parquet(f"{root}/{number:010d}")
-    after = vector_upsert(merged, incoming, version) if number is not None else vector_upsert(incoming, incoming, version)
-    path = f"{root}/{0 if number is None else number + 1:010d}"
-    tables.replace_table(after, path)
-    return spark.read.parquet(path)
-
-
-def _current_snapshot(spark: SparkSession, root: str) -> int | None:
-    if not tables.exists(spark, root):
-        return None
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    folders = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
-    names = [f.getPath().getName() for f in folders]
-    return max((int(n) for n in names if n.isdigit() and tables.exists(spark, f"{root}/{n}/_SUCCESS")), default=None)
-
-
-def current_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """The vectors that are served: the latest complete snapshot."""
-    number = _current_snapshot(spark, root)
+    _, entries = _current_manifest(spark, root)
+    if entries:
+        buckets = entries[0]["buckets"]
+    bucket = F.pmod(F.xxhash64("review_id"), F.lit(buckets)).cast("int")
+    placed = settle(incoming.withColumn("bucket", bucket))
+    touched = {r["bucket"] for r in placed.select("bucket").distinct().collect()}
+    stored = [e["path"] for e in entries if e["bucket"] in touched]
+    arrived = placed.drop("bucket")
+    before = spark.read.schema(arrived.schema).parquet(*stored) if stored else arrived.limit(0)
+    following = max(_manifest_numbers(spark, root), default=-1) + 1
+    folder = f"{root}/data/{following:010d}-{uuid.uuid4().hex}"
+    if touched:
+        after = vector_upsert(before, arrived, version).withColumn("bucket", bucket)
+        after.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(folder)
+    kept_mark = mark if mark is not None else max((e["mark"] for e in entries if e["mark"] is not None), default=None)
+    manifest = [(e["bucket"], e["path"], buckets, kept_mark) for e in entries if e["bucket"] not in touched]
+    manifest += [(b, f"{folder}/bucket={b}", buckets, kept_mark) for b in sorted(touched)]
+    spark.createDataFrame(manifest, MANIFEST_SCHEMA).coalesce(1).write.parquet(f"{root}/manifests/{following:010d}")
+    return current_vectors(spark, root, arrived.schema)
+
+
+def _manifest_numbers(spark: SparkSession, root: str) -> list[int]:
+    """Of all manifests, the unfinished ones of killed runs among them."""
+    place = f"{root}/manifests"
+    return [int(n) for n in tables.names(spark, place) if n.isdigit()] if tables.exists(spark, place) else []
+
+
+def _current_manifest(spark: SparkSession, root: str) -> tuple[int | None, list[Row]]:
+    """Number and rows (one per bucket) of the latest complete manifest."""
+    for number in sorted(_manifest_numbers(spark, root), reverse=True):
+        path = f"{root}/manifests/{number:010d}"
+        if tables.exists(spark, f"{path}/_SUCCESS"):
+            return number, spark.read.schema(MANIFEST_SCHEMA).parquet(path).collect()
+    return None, []
+
+
+def published_mark(spark: SparkSession, root: str) -> int | None:
+    """The mark of the current manifest; None before the first one."""
+    return max((e["mark"] for e in _current_manifest(spark, root)[1] if e["mark"] is not None), default=None)
+
+
+def current_vectors(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
+    """The vectors that are served: the buckets of the latest complete manifest."""
+    number, entries = _current_manifest(spark, root)
     if number is None:
-        raise ValueError(f"no snapshot below {root}")
-    return spark.read.parquet(f"{root}/{number:010d}")
+        raise ValueError(f"no manifest below {root}")
+    paths = [e["path"] for e in entries]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
 
 
 def index_coverage(usable: DataFrame, index: DataFrame, enriched: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from platter.functions import sqlcompat as C
 from platter.operators.ranking import first_per_key
-from platter.plans.index import ingest_violations
+from platter.plans.index import current_vectors, ingest_violations, publish_upsert, published_mark
 from platter.sources import tables
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -123,6 +123,9 @@ def stream_ingest(
 ) -> DataFrame:
     """Ingest new batch files as vector points; returns the current point table.
 
+    The arrivals of a run are merged into a bucketed table (`compact_points`) when its files are done, so that a
+    run reads the points of its own arrivals and the buckets they touch, not every arrival there has been.
+
     Every file that arrived since the last run is checked in the micro-batch that takes it, also
     a late file of a batch that is stored already: a violation stops the run and nothing of
     that micro-batch is written. The refused files come again in the next run. Points are
@@ -154,7 +157,23 @@ def stream_ingest(
         if problems:
             raise problems[0] from None
         raise
-    return current_points(spark.read.parquet(f"{root}/points")).drop("arrival")
+    return compact_points(spark, root).drop("arrival")
+
+
+def compact_points(spark: SparkSession, root: str) -> DataFrame:
+    """Merges the arrivals that came after the last merge into the table of current points and returns it.
+
+    The manifest of the table carries the last arrival merged. A merge that is killed before its manifest is complete leaves
+    table and mark as they were, and the next one takes the same arrivals again; merging an arrival twice changes nothing.
+    """
+    place = f"{root}/points"
+    arrivals = sorted(int(n.removeprefix("arrival=")) for n in tables.names(spark, place) if n.startswith("arrival=")) if tables.exists(spark, place) else []
+    merged = published_mark(spark, f"{root}/current")
+    fresh = [a for a in arrivals if merged is None or a > merged]
+    if fresh:
+        points = spark.read.parquet(place).filter(F.col("arrival").isin(fresh))
+        publish_upsert(spark, f"{root}/current", current_points(points), ["batch", "arrival"], mark=fresh[-1])
+    return current_vectors(spark, f"{root}/current")
 
 
 def current_points(points: DataFrame) -> DataFrame:

@@ -218,6 +218,45 @@ def test_upsert_twice_changes_nothing(spark, rows):
     assert {r["review_id"]: r["embedding"] for r in once.collect()} == {1: [1.0], 2: [9.0], 3: [3.0]}
 
 
+UPSERT = "review_id bigint, embedding array<float>, version int"
+
+
+def _files(root):
+    return {str(f.relative_to(root)): f.stat().st_mtime_ns for f in root.rglob("part-*.parquet")}
+
+
+def test_upsert_of_one_id_rewrites_one_bucket(spark, rows, tmp_path):
+    root = tmp_path / "vectors"
+    start = spark.createDataFrame([(i, [float(i)], 0) for i in range(300)], UPSERT)
+    index.publish_upsert(spark, str(root), start, buckets=16)
+    entries = {e["bucket"]: e["path"] for e in index._current_manifest(spark, str(root))[1]}
+    before = _files(root / "data")
+    after = index.publish_upsert(spark, str(root), spark.createDataFrame([(7, [70.0], 1)], UPSERT))
+    changed = {e["bucket"]: e["path"] for e in index._current_manifest(spark, str(root))[1]}
+    assert len(entries) == 16 and sum(changed[b] != entries[b] for b in entries) == 1
+    assert before.items() <= _files(root / "data").items()
+    want = sorted(((i, [70.0] if i == 7 else [float(i)], int(i == 7)) for i in range(300)), key=repr)
+    assert rows(after) == want
+    # Older versions and the same rows again change nothing.
+    again = index.publish_upsert(spark, str(root), spark.createDataFrame([(7, [1.0], 0), (7, [70.0], 1), (None, [5.0], 0)], UPSERT))
+    assert rows(again.filter("review_id IS NOT NULL")) == want and again.count() == 301
+    assert rows(index.publish_upsert(spark, str(root), start.limit(0))) == rows(again)
+
+
+def test_killed_upsert_leaves_the_old_table(spark, rows, tmp_path, monkeypatch):
+    root = str(tmp_path / "vectors")
+    index.publish_upsert(spark, root, spark.createDataFrame([(1, [1.0], 0), (2, [2.0], 0)], UPSERT), mark=3)
+    with monkeypatch.context() as m:
+        m.setattr(index, "MANIFEST_SCHEMA", "broken")
+        with pytest.raises(Exception):
+            index.publish_upsert(spark, root, spark.createDataFrame([(1, [9.0], 1)], UPSERT), mark=4)
+    assert rows(index.current_vectors(spark, root)) == [(1, [1.0], 0), (2, [2.0], 0)] and index.published_mark(spark, root) == 3
+    (tmp_path / "vectors" / "manifests" / "0000000001").mkdir()  # a manifest without its success marker
+    assert index.published_mark(spark, root) == 3
+    index.publish_upsert(spark, root, spark.createDataFrame([(1, [9.0], 1)], UPSERT))
+    assert rows(index.current_vectors(spark, root)) == [(1, [9.0], 1), (2, [2.0], 0)] and index.published_mark(spark, root) == 3
+
+
 # ------------------------------------------------------------------------- streaming
 def lengths(texts):
     return np.array([[len(t), 1.0] for t in texts])
@@ -268,6 +307,33 @@ def test_stream_ingest(spark, tmp_path):
     assert {r["batch"]: (r["rows"], r["completed"]) for r in plan.collect()} == {1: (2, True), 2: (2, True), 3: (2, False)}
 
 
+def test_second_ingest_reads_only_new_arrivals(spark, rows, tmp_path, monkeypatch):
+    source, root = str(tmp_path / "in"), str(tmp_path / "root")
+    schema = "review_id bigint, comment string, batch int"
+    found = spark.createDataFrame([], schema).schema
+
+    def run(new):
+        spark.createDataFrame(new, schema).write.mode("append").partitionBy("batch").parquet(source)
+        return jobs.stream_ingest(spark, source, found, root, lengths, 2, "reviews", "m")
+
+    run([(1, "a", 1), (2, "bb", 1)])
+    # The first arrival is merged: what its folder holds now is not looked at again.
+    other = spark.createDataFrame([(1, 1, [99.0, 1.0])], "batch int, review_id bigint, embedding array<float>")
+    other.write.mode("overwrite").parquet(f"{root}/points/arrival=0")
+    kept = index.publish_upsert
+
+    def killed(*args, **kwargs):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(jobs, "publish_upsert", killed)
+    with pytest.raises(RuntimeError, match="killed"):
+        run([(2, "bbbb", 2)])
+    monkeypatch.setattr(jobs, "publish_upsert", kept)
+    points = {r["review_id"]: r["embedding"][0] for r in run([(3, "c", 3)]).collect()}
+    assert points == {1: 1.0, 2: 4.0, 3: 1.0}
+    assert {r["review_id"] for r in jobs.compact_points(spark, root).collect()} == {1, 2, 3}
+
+
 def test_late_file_of_a_finished_batch_is_checked(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "root")
     schema = "review_id bigint, comment string, batch int"
