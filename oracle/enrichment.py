@@ -102,6 +102,35 @@ FROM run_open GROUP BY batch""",
     run_labels="""SELECT o.review_id, m.model, CASE WHEN m.model = 'spare' THEN 'neutral' WHEN coalesce(nullif(rating, 0), 3) >= 4 THEN 'positive'
   WHEN coalesce(nullif(rating, 0), 3) <= 2 THEN 'negative' ELSE 'neutral' END AS label FROM run_open o JOIN run_models m USING (batch)""",
 )
+_RUN_TRIES = {
+    "run_open": """SELECT review_id, (row_number() OVER (ORDER BY review_id) - 1) // 15 AS batch FROM usable r
+WHERE NOT EXISTS (SELECT 1 FROM review_enriched e WHERE e.review_id = CAST(r.review_id AS VARCHAR))""",
+    "run_batches": "SELECT '1/' || CAST(batch + 1 AS VARCHAR) AS batch_id, min(review_id) AS i, count(*) AS reviews FROM run_open GROUP BY batch",
+    "run_answers": """SELECT batch_id, reviews, model, priority, CAST(attempt AS INT) AS attempt, CASE
+    WHEN priority = 1 AND attempt <= 2 AND i % 5 = 0 THEN 'failed'
+    WHEN i % 7 = 0 OR (priority = 1 AND attempt = 1 AND i % 3 = 0) THEN 'invalid' ELSE 'success' END AS status
+  FROM run_batches, (VALUES ('recovering', 1), ('spare', 2)) m(model, priority), range(1, 5) t(attempt)""",
+    "run_tries": """SELECT * EXCLUDE (done) FROM (SELECT *, coalesce(bool_or(status = 'success') OVER (PARTITION BY batch_id
+    ORDER BY priority, attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM run_answers) WHERE NOT done""",
+}
+add("enrichment_attempts", "SELECT batch_id, model, attempt, status, CAST(reviews AS INT) AS reviews FROM run_tries", **_RUN_TRIES)
+add(
+    "enrichment_attempts_used",
+    """SELECT batch_id, count(*) AS attempts_used, bool_or(status = 'success') AS success,
+  count(*) FILTER (status = 'invalid') AS invalid_attempts, count(*) FILTER (status = 'failed') AS failed_attempts FROM run_tries GROUP BY batch_id""",
+    **_RUN_TRIES,
+)
+add(
+    "enrichment_run_log",
+    f"""SELECT '2024-07-01 00:00:00' AS run_at, model, attempt, batches_asked, batches_success, batches_invalid, batches_failed, reviews_asked, reviews_answered,
+  {half_up('100 * so_far', 'asked', 2)} AS progress_percent
+FROM (SELECT *, CAST(sum(reviews_answered) OVER w AS BIGINT) AS so_far, first_value(reviews_asked) OVER w AS asked FROM (
+  SELECT model, priority, attempt, count(*) AS batches_asked, count(*) FILTER (status = 'success') AS batches_success,
+    count(*) FILTER (status = 'invalid') AS batches_invalid, count(*) FILTER (status = 'failed') AS batches_failed,
+    CAST(sum(reviews) AS BIGINT) AS reviews_asked, CAST(coalesce(sum(reviews) FILTER (status = 'success'), 0) AS BIGINT) AS reviews_answered
+  FROM run_tries GROUP BY model, priority, attempt) WINDOW w AS (ORDER BY priority, attempt))""",
+    **_RUN_TRIES,
+)
 add(
     "enrich_coverage",
     f"""SELECT *, usable_reviews - enriched_reviews AS open_reviews, {half_up('100 * enriched_reviews', 'usable_reviews', 2)} AS progress_percent
@@ -135,8 +164,10 @@ FROM verdicts v LEFT JOIN topic_checks t USING (batch_id, priority)""",
 responses("first_valid_model", "SELECT batch_id, model, priority FROM chosen")
 responses(
     "attempts_used",
-    """SELECT batch_id, CAST(coalesce(min(priority) FILTER (valid), count(*)) AS BIGINT) AS attempts_used, bool_or(valid) AS success,
-  count(*) FILTER (NOT valid AND raw IS NOT NULL) AS invalid_attempts, count(*) FILTER (raw IS NULL) AS failed_attempts FROM verdicts GROUP BY batch_id""",
+    """SELECT batch_id, count(*) AS attempts_used, bool_or(valid) AS success,
+  count(*) FILTER (NOT valid AND raw IS NOT NULL) AS invalid_attempts, count(*) FILTER (raw IS NULL) AS failed_attempts
+FROM (SELECT *, min(priority) FILTER (valid) OVER (PARTITION BY batch_id) AS first_valid FROM verdicts)
+WHERE first_valid IS NULL OR priority <= first_valid GROUP BY batch_id""",
 )
 responses(
     "model_run_stats",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platter.functions import sqlcompat as C
@@ -188,14 +190,31 @@ def first_valid_model(validated: DataFrame, key: str = "batch_id") -> DataFrame:
 
 
 # ---------------------------------------------------------------- bookkeeping, stats
-def attempts_used(validated: DataFrame, key: str = "batch_id") -> DataFrame:
-    """Per batch: attempts until the first valid one (all when none was), and the outcome."""
-    first_valid = F.min(F.when(F.col("valid"), F.col("priority")))
-    return validated.groupBy(key).agg(
-        F.coalesce(first_valid, F.count(F.lit(1))).cast("bigint").alias("attempts_used"),
-        first_valid.isNotNull().alias("success"),
-        F.count_if(~F.col("valid") & (F.col("raw").isNotNull())).alias("invalid_attempts"),
-        F.count_if(F.col("raw").isNull()).alias("failed_attempts"),
+SUCCESS, INVALID, FAILED = "success", "invalid", "failed"
+
+
+def attempt_status() -> Column:
+    """Of a validated answer: success, invalid (answered, but broken), or failed (no answer)."""
+    return F.when(F.col("valid"), SUCCESS).when(F.col("raw").isNull(), FAILED).otherwise(INVALID)
+
+
+def attempts_made(tries: DataFrame, key: str = "batch_id") -> DataFrame:
+    """The tries of every batch up to its first success, in order of model priority and attempt; later ones are not made."""
+    before = Window.partitionBy(key).orderBy("priority", "attempt").rowsBetween(Window.unboundedPreceding, -1)
+    done = F.coalesce(F.max(F.col("status") == SUCCESS).over(before), F.lit(False))
+    return tries.withColumn("_done", done).filter(~F.col("_done")).drop("_done")
+
+
+def attempts_used(tries: DataFrame, key: str = "batch_id") -> DataFrame:
+    """Per batch: tries made until the first valid answer (all when none was), over all models, and the outcome.
+
+    ``tries`` has a row per (batch, model, attempt) with the model's ``priority`` and a ``status``.
+    """
+    return attempts_made(tries, key).groupBy(key).agg(
+        F.count(F.lit(1)).alias("attempts_used"),
+        F.some(F.col("status") == SUCCESS).alias("success"),
+        F.count_if(F.col("status") == INVALID).alias("invalid_attempts"),
+        F.count_if(F.col("status") == FAILED).alias("failed_attempts"),
     )
 
 
@@ -294,26 +313,28 @@ def enrich_coverage(usable: DataFrame, enriched: DataFrame) -> DataFrame:
     )
 
 
-Responder = Callable[[list[str]], list[str]]
+# From request payloads to raw answers. A model that has a parameter `attempt` is told the number of the try.
+Responder = Callable[..., list[str]]
 
 
-def call_model(batches: DataFrame, name: str, model: Responder, attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def call_model(batches: DataFrame, name: str, model: Responder, attempts: int = MAX_ATTEMPTS, first: int = 1) -> DataFrame:
     """Ask one model per batch; (batch_id, model, raw, attempts, error).
 
     A model is any function from request payloads to raw answers. It is asked one request at a
     time, up to ``attempts`` times while it raises, so that a failing request costs no
-    other; where all tries fail the answer is NULL and ``error`` holds the last reason.
+    other; where all tries fail the answer is NULL and ``error`` holds the last reason. Tries are numbered from ``first``.
     """
+    told = "attempt" in inspect.signature(model).parameters
 
     def one(payload: str) -> tuple[str | None, int, str | None]:
         error = None
-        for attempt in range(1, attempts + 1):
+        for attempt in range(first, first + attempts):
             try:
-                (answer,) = model([payload])
+                (answer,) = model([payload], attempt=attempt) if told else model([payload])
                 return answer, attempt, None
             except Exception as failure:  # noqa: BLE001 - a failed call is data here
                 error = f"{type(failure).__name__}: {failure}"
-        return None, attempts, error
+        return None, first + attempts - 1, error
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -327,6 +348,56 @@ def call_model(batches: DataFrame, name: str, model: Responder, attempts: int =
     return batches.select("batch_id", "payload").mapInPandas(ask, schema)
 
 
+ATTEMPT_SCHEMA = "run_at string, batch_id string, model string, priority int, attempt int, status string, reviews int, error string"
+
+
+def ask_until_valid(
+    batches: DataFrame, name: str, model: Responder, priority: int, run_at: str, log_path: str, attempts: int = MAX_ATTEMPTS
+) -> tuple[DataFrame, DataFrame]:
+    """Asks one model for every batch until its answer is valid, ``attempts`` times at most.
+
+    Every round asks for the open batches once, writes the answers, then validates them, so that an invalid answer is tried again like a
+    call that failed, and a retried task never sees a different answer half-way. Each try is a row of the log, written as soon as
+    it is judged. Returns the accepted answers and the batches that stay open.
+    """
+    spark, accepted, still_open = batches.sparkSession, [], batches
+    for attempt in range(1, attempts + 1):
+        answers = scratch_path(spark, "answers")
+        tables.replace_table(call_model(still_open, name, model, attempts=1, first=attempt), answers)
+        judged = scratch_path(spark, "judged")
+        checked = response_validate(response_parse(spark.read.parquet(answers)), batches)
+        sizes = batches.select("batch_id", "reviews")
+        tables.replace_table(checked.select("batch_id", "model", "items", "valid", "raw", "error").join(sizes, "batch_id"), judged)
+        found = spark.read.parquet(judged)
+        tables.append_table(
+            found.select(
+                F.lit(run_at).alias("run_at"), "batch_id", "model", F.lit(priority).alias("priority"), F.lit(attempt).alias("attempt"),
+                attempt_status().alias("status"), F.col("reviews").cast("int").alias("reviews"), "error",
+            ),
+            log_path,
+        )
+        accepted.append(found.filter("valid").select("batch_id", "model", "items"))
+        still_open = still_open.join(found.filter("valid").select("batch_id"), "batch_id", "left_anti")
+        if still_open.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, accepted), still_open
+
+
+def run_log(tries: DataFrame) -> DataFrame:
+    """Per run, model and attempt: what was asked, how it went, and the share of the run's reviews that are answered so far."""
+    rounds = tries.groupBy("run_at", "priority", "model", "attempt").agg(
+        F.count(F.lit(1)).alias("batches_asked"),
+        *[F.count_if(F.col("status") == s).alias(f"batches_{s}") for s in (SUCCESS, INVALID, FAILED)],
+        F.sum("reviews").alias("reviews_asked"),
+        F.coalesce(F.sum(F.when(F.col("status") == SUCCESS, F.col("reviews"))), F.lit(0)).alias("reviews_answered"),
+    )
+    # A run has few rounds: models times attempts.
+    order = Window.partitionBy("run_at").orderBy("priority", "attempt")
+    asked = F.first("reviews_asked").over(order)
+    so_far = F.sum("reviews_answered").over(order)
+    return rounds.withColumn("progress_percent", C.rounded_share(so_far, asked, 2, 100)).drop("priority")
+
+
 def run_enrichment(
     spark: SparkSession,
     reviews: DataFrame,
@@ -334,12 +405,12 @@ def run_enrichment(
     models: dict[str, Responder],
     run_at: str,
     workers: int = 1,
+    log_path: str | None = None,
 ) -> dict[str, int]:
     """One incremental run: open reviews in batches, models in priority order, all-or-nothing, append.
 
-    One round per model asks only for batches no earlier model answered validly.
-    Answers are written before they are validated, so a retried task never sees a
-    different answer half-way. A second run finds only the batches that failed.
+    Every model asks only for batches no earlier one answered validly, and asks again, up to MAX_ATTEMPTS times, where a call fails
+    or the answer is invalid. ``log_path`` names a table that gets a row per try. A second run finds only the batches that failed.
     Returns the run summary.
     """
     def target() -> DataFrame:
@@ -353,17 +424,13 @@ def run_enrichment(
     batches = spark.read.parquet(requests)
     asked = batches.agg(F.count(F.lit(1)).alias("n"), F.sum("reviews").alias("r")).first()
 
-    open_batches = batches
-    for name, model in models.items():
-        answers = scratch_path(spark, "answers")
-        tables.replace_table(call_model(open_batches, name, model), answers)
-        validated = response_validate(response_parse(spark.read.parquet(answers)), batches)
-        accepted = scratch_path(spark, "accepted")
-        tables.replace_table(validated.filter("valid").select("batch_id", "model", "items"), accepted)
-        found = spark.read.parquet(accepted)
-        rows = enrich_clean(response_items(found), F.col("model"), F.lit(run_at))
+    open_batches, log = batches, log_path or scratch_path(spark, "attempts")
+    for priority, (name, model) in enumerate(models.items(), 1):
+        if open_batches.isEmpty():
+            break
+        accepted, open_batches = ask_until_valid(open_batches, name, model, priority, run_at, log)
+        rows = enrich_clean(response_items(accepted), F.col("model"), F.lit(run_at))
         tables.append_table(not_yet_written(rows, target()), target_path)
-        open_batches = open_batches.join(found.select("batch_id"), "batch_id", "left_anti")
 
     failed = open_batches.count()
     return {

@@ -423,7 +423,33 @@ def _first_valid(spark, sf_dir):
 
 @query("attempts_used")
 def _attempts(spark, sf_dir):
-    return enrichment.attempts_used(_validated(spark, sf_dir))
+    tries = _validated(spark, sf_dir).select("batch_id", "priority", F.lit(1).alias("attempt"), enrichment.attempt_status().alias("status"))
+    return enrichment.attempts_used(tries)
+
+
+def _tries(spark, sf_dir) -> DataFrame:
+    """The log of one run over all open reviews with a model that recovers and one that stays bad for some."""
+    path, log, wh = scratch_path(spark, "enriched"), scratch_path(spark, "attempts"), house(spark, sf_dir)
+    tables.replace_table(wh.review_enriched, path)
+    models = {"recovering": sample.recovering_model, "spare": sample.spare_model}
+    enrichment.run_enrichment(spark, wh.raw["reviews"], path, models, "2024-07-01 00:00:00", log_path=log)
+    return spark.read.schema(enrichment.ATTEMPT_SCHEMA).parquet(log)
+
+
+@query("enrichment_attempts")
+def _enrichment_attempts(spark, sf_dir):
+    """Every try of a run: one row per batch, model and attempt."""
+    return _tries(spark, sf_dir).select("batch_id", "model", "attempt", "status", "reviews")
+
+
+@query("enrichment_attempts_used")
+def _enrichment_attempts_used(spark, sf_dir):
+    return enrichment.attempts_used(_tries(spark, sf_dir))
+
+
+@query("enrichment_run_log")
+def _enrichment_run_log(spark, sf_dir):
+    return enrichment.run_log(_tries(spark, sf_dir))
 
 
 @query("model_run_stats")

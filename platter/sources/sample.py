@@ -474,6 +474,15 @@ def spare_model(payloads: list[str]) -> list[str]:
     return ["sorry" if json.loads(p)[0]["review_id"] % 7 == 0 else _answers(p, "neutral") for p in payloads]
 
 
+def recovering_model(payloads: list[str], attempt: int) -> list[str]:
+    """A stand-in model that gets better: by the first review id it fails twice on multiples of five, answers
+    multiples of three badly at first and multiples of seven badly at all times."""
+    first = [json.loads(p)[0]["review_id"] for p in payloads]
+    if attempt <= 2 and any(i % 5 == 0 for i in first):
+        raise RuntimeError("overloaded")
+    return ["sorry" if i % 7 == 0 or (i % 3 == 0 and attempt == 1) else _answers(p, None) for i, p in zip(first, payloads)]
+
+
 # Letters counted by the stand-in embedding.
 LETTERS = "aeournst"
 

@@ -350,6 +350,40 @@ def test_late_file_of_a_finished_batch_is_checked(spark, tmp_path):
     assert spark.read.parquet(f"{root}/points").count() == 1
 
 
+def better_at_the_second_try(payloads, attempt):
+    """Invalid first, then valid; ids of 40 and more fail twice before, ids of 60 and more stay invalid."""
+    first = json.loads(payloads[0])[0]["review_id"]
+    if first >= 40 and attempt <= 2:
+        raise RuntimeError("overloaded")
+    return ["sorry"] if first >= 60 or attempt == 1 else [answer(p, "positive") for p in payloads]
+
+
+def test_invalid_answers_are_tried_again(spark, tmp_path):
+    reviews = spark.createDataFrame([(i, "5", f"text {i}") for i in range(10, 85)], "review_id bigint, rating string, comment string")
+    path, log = str(tmp_path / "enriched"), str(tmp_path / "log")
+    spark.createDataFrame([], REVIEW_ENRICHED).write.parquet(path)
+    summary = enrichment.run_enrichment(
+        spark, reviews, path, {"m": better_at_the_second_try, "last": lambda ps: [answer(p, "neutral") for p in ps]}, "2024-07-01 00:00:00", log_path=log
+    )
+    assert summary["batches_failed"] == 0 and summary["rows_written"] == 75
+    tries = spark.read.schema(enrichment.ATTEMPT_SCHEMA).parquet(log)
+    told = {}
+    for r in tries.orderBy("priority", "attempt").collect():
+        told.setdefault(r["batch_id"], []).append((r["model"], r["attempt"], r["status"]))
+    shapes = sorted(map(tuple, told.values()))
+    good = (("m", 1, "invalid"), ("m", 2, "success"))
+    late = (("m", 1, "failed"), ("m", 2, "failed"), ("m", 3, "success"))
+    never = (("m", 1, "failed"), ("m", 2, "failed"), ("m", 3, "invalid"), ("m", 4, "invalid"), ("last", 1, "success"))
+    assert shapes == sorted([good, good, late, late, never])
+    used = sorted(r["attempts_used"] for r in enrichment.attempts_used(tries).collect())
+    assert used == [2, 2, 3, 3, 5]
+    log_rows = enrichment.run_log(tries).orderBy("model", "attempt").collect()
+    assert [(r["model"], r["attempt"], r["batches_asked"], r["batches_success"]) for r in log_rows] == [
+        ("last", 1, 1, 1), ("m", 1, 5, 0), ("m", 2, 5, 2), ("m", 3, 3, 2), ("m", 4, 1, 0)
+    ]
+    assert float(log_rows[0]["progress_percent"]) == 100
+
+
 def failing_on_forty(payloads):
     if '"review_id":40,' in payloads[0]:
         raise RuntimeError("bad request")
