@@ -89,6 +89,12 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, without the copies that `mark_copies` drops."""
-    dropped = mark_copies(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    """The rows of `docs`, all columns, without the copies that `mark_copies` drops.
+
+    A row goes by its id and its text: other texts under the id of a copy stay, and a null id goes where its text has a row with an id.
+    """
+    dropped = mark_copies(docs, id_col, text_col).filter("NOT kept").select(
+        F.col(id_col).alias("_dropped"), F.col("text_sha256").alias("_sha")
+    ).distinct()
+    same = docs[f"`{id_col}`"].eqNullSafe(dropped["_dropped"]) & (F.sha2(whole_text(text_col), 256) == dropped["_sha"])
+    return docs.join(dropped, same, "left_anti")

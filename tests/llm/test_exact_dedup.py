@@ -46,3 +46,8 @@ def test_empty_and_dropping(spark, no_docs, edge_docs):
     assert kept.columns == edge_docs.columns
     texts = [r.text for r in kept.filter("doc_id IS NOT NULL").collect()]
     assert len([t for t in texts if t and t.startswith("the cat")]) == 1
+
+
+def test_dropping_goes_by_id_and_text(spark, rows):
+    docs = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (None, "C"), (7, "C"), (None, "D"), (None, "D")], "doc_id long, text string")
+    assert rows(exact_dedup.drop_copies(docs)) == sorted([(1, "B"), (2, "A"), (7, "C"), (None, "D"), (None, "D")], key=repr)
