@@ -121,7 +121,8 @@ def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
             (F.col("_tail_at") == F.col("at") + step) & (F.col("_tail_key") == F.col("_key")) & (F.col("_tail_seq") == F.col("seq") + step),
         )
         copies = _first_places(runs.select("at", "_key", "seq", "reach", "rank", "tail"), ["reach", "rank", "tail"], total)
-        found.append(copies.filter("at > first").select("_key", "seq", "reach"))
+        # Written at once: the plans of all rounds together are too much for the driver.
+        found.append(written(copies.filter("at > first").select("_key", "seq", "reach"), "copies"))
         if 2 * length > min_words:
             return reduce(DataFrame.unionByName, found)
         onward = ranks.select(
