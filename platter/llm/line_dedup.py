@@ -3,11 +3,10 @@
 The lines of all documents, in id order, are one long sequence. Lines that occur once can be in
 no repeated run and leave at once. The rank of a suffix at length 2^k is the first place with the same
 2^k lines; ranks at 2^(k+1) come from pairs of ranks, and suffixes that are alone in their class leave.
-A run counts if it has at least `min_words` words: at every place the shortest run with so many words is
-compared through two overlapping ranks, which gives the intervals of suffixes whose longest common
-prefix reaches that far. All but the first of an interval are later copies, and their lines are deleted.
-These runs join into the maximal repeated run but for its end; with `whole_runs` the shortest run that
-ends at every place is compared as well, and any line of a maximal run is in one run or the other.
+A run counts if it has at least `min_words` words. At every place the shortest run with so many words and the
+shortest ones that end further on are compared through two overlapping ranks, which gives the intervals of suffixes whose
+longest common prefix reaches that far. All but the first of an interval are later copies, and their lines are deleted.
+Any line of a maximal repeated run is in such a shortest run of it, so the maximal run goes as a whole, however long it is.
 """
 
 from __future__ import annotations
@@ -69,11 +68,11 @@ def _longest(words: Column, start: Column, min_words: int) -> Column:
     return onward["lines"]
 
 
-def line_table(docs: DataFrame, min_words: int, id_col: str, text_col: str, whole_runs: bool = False) -> DataFrame:
+def line_table(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(_id, _key, seq, line, reach, longest): the lines with words, seq counting them within a document.
 
-    Runs of reach to longest lines are compared from each. With whole_runs these are, besides the shortest run
-    with enough words that starts at a line, all shortest ones that end at some line.
+    Runs of reach to longest lines are compared from each: the shortest run with enough words that starts at the
+    line, and all longer ones that would not have enough without it, which are the shortest that end at some line.
     """
     arrays = docs.select(
         F.col(id_col).alias("_id"), _row_key(id_col, text_col).alias("_key"), _worded(_lines(text_col)).alias("_lines")
@@ -83,7 +82,7 @@ def line_table(docs: DataFrame, min_words: int, id_col: str, text_col: str, whol
         lambda x, seq: F.struct(
             x["line"].alias("line"),
             _reach(F.col("_words"), seq, min_words).alias("reach"),
-            (_longest(F.col("_words"), seq, min_words) if whole_runs else F.lit(0)).alias("longest"),
+            _longest(F.col("_words"), seq, min_words).alias("longest"),
         ),
     )
     return arrays.select("_id", "_key", F.posexplode(rows).alias("seq", "_row")).select(
@@ -138,20 +137,18 @@ def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
         length *= 2
 
 
-def dedup_lines(
-    docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", whole_runs: bool = False
-) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, with later copies of repeated line runs deleted from the text.
 
     Adds n_lines and n_deleted, in place of columns of these names. A run is repeated if the same
     lines, with at least `min_words` words in all, occur earlier: in a document with a smaller id or
-    further up in the same one. Without `whole_runs` only the shortest such run from each line
-    counts, so up to `min_words` - 1 words at the end of a longer one can stay; with it the maximal run goes. Lines without words are no part of a run and stay. Null texts
-    stay null, with no line. Null ids come first; rows equal in id and text are one document
-    and get the same result. A document whose lines all go keeps its row, with an empty text.
+    further up in the same one. It is deleted to its end. Lines without words are no part of a run and stay. Null texts
+    stay null, with no line; an empty text has one line. Null ids come first; rows equal in id and text are one document
+    and get the same result. A document whose lines all go keeps its row, with an empty text. An empty
+    table gives an empty one with the same columns.
     """
     ready(docs.sparkSession)
-    lines = written(line_table(docs, min_words, id_col, text_col, whole_runs), "lines")
+    lines = written(line_table(docs, min_words, id_col, text_col), "lines")
     gone = (
         later_copies(lines, min_words)
         .select("_key", F.explode(F.sequence("seq", F.col("seq") + F.col("reach") - 1)).alias("_gone"))

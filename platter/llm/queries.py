@@ -56,6 +56,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+# Every run of 50 words and more; any line of a longer run of lines is in one of at most 50 lines.
 SQL["op6_line_dedup"] = """WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
   FROM documents),
@@ -65,13 +66,11 @@ worded AS (
   FROM lines WHERE regexp_matches(line, '[^ \\t-\\r]')),
 spans AS (
   SELECT a.doc_id, a.seq, b.seq AS last,
-    sum(b.words) OVER w AS words, string_agg(b.line, chr(10)) OVER w AS content
+    sum(b.words) OVER w AS words, md5(string_agg(b.line, chr(10)) OVER w) AS content
   FROM worded a JOIN worded b ON b.doc_id = a.doc_id AND b.seq BETWEEN a.seq AND a.seq + 49
   WINDOW w AS (PARTITION BY a.doc_id, a.seq ORDER BY b.seq)),
-runs AS (
-  SELECT doc_id, seq, min(last) AS last, arg_min(content, last) AS content FROM spans WHERE words >= 50 GROUP BY doc_id, seq),
 copies AS (
-  SELECT doc_id, seq, last, row_number() OVER (PARTITION BY content ORDER BY doc_id, seq) AS n FROM runs),
+  SELECT doc_id, seq, last, row_number() OVER (PARTITION BY content ORDER BY doc_id, seq) AS n FROM spans WHERE words >= 50),
 gone AS (
   SELECT DISTINCT w.doc_id, w.place FROM copies c JOIN worded w ON w.doc_id = c.doc_id AND w.seq BETWEEN c.seq AND c.last
   WHERE c.n > 1),
