@@ -98,22 +98,32 @@ def _canonical_sql(text: str) -> str:
     return out
 
 
-_KNOWN_ROWS = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
+_KNOWN_ROWS = ", ".join("('{}', '{}', {})".format(i, t.replace("'", "''"), licenses.titled(t)) for i, t in licenses.KNOWN)
 SQL["op7_license_scan"] = f"""WITH known AS (
-  SELECT min(id) AS license_id, sha256({_canonical_sql('t')}) AS digest FROM (VALUES {_KNOWN_ROWS}) v(id, t) GROUP BY 2),
+  SELECT min(id) AS license_id, sha256({_canonical_sql('t')}) AS digest, bool_and(titled) AS titled
+  FROM (VALUES {_KNOWN_ROWS}) v(id, t, titled) GROUP BY 2),
 texts AS (
   SELECT doc_id, coalesce(text, '') AS t, string_split(t, chr(10)) AS lines,
     string_split_regex(t, '{licenses.PARAGRAPH_BREAK}') AS paragraphs FROM documents),
+worded AS (
+  SELECT doc_id, place, part, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS seq
+  FROM (SELECT doc_id, generate_subscripts(paragraphs, 1) - 1 AS place, unnest(paragraphs) AS part FROM texts
+    WHERE sha256({_canonical_sql('t')}) NOT IN (SELECT digest FROM known))
+  WHERE regexp_matches(regexp_replace(lower(part), '{licenses.COPYRIGHT_LINE}', '', 'g'), '[a-z0-9]')),
 units AS (
   SELECT doc_id, 'text' AS unit, 0 AS place, t AS part FROM texts
   UNION ALL
   SELECT doc_id, 'line', generate_subscripts(lines, 1) - 1, unnest(lines) FROM texts WHERE len(lines) > 1
   UNION ALL
   SELECT * FROM (SELECT doc_id, 'paragraph', generate_subscripts(paragraphs, 1) - 1, unnest(paragraphs) AS part FROM texts
-    WHERE len(paragraphs) > 1) WHERE contains(part, chr(10))),
+    WHERE len(paragraphs) > 1) WHERE contains(part, chr(10))
+  UNION ALL
+  SELECT a.doc_id, 'passage', a.place, string_agg(b.part, chr(10) || chr(10) ORDER BY b.seq)
+  FROM worded a CROSS JOIN range(2, {licenses.PASSAGE + 1}) n(n) JOIN worded b ON b.doc_id = a.doc_id AND b.seq BETWEEN a.seq AND a.seq + n - 1
+  GROUP BY a.doc_id, a.place, n HAVING count(*) = n),
 formed AS (SELECT doc_id, unit, place, {_canonical_sql('part')} AS form FROM units)
 SELECT doc_id, unit, CAST(place AS BIGINT) AS place, license_id, digest
-FROM formed JOIN known ON digest = sha256(form) WHERE form <> ''"""
+FROM formed JOIN known ON digest = sha256(form) WHERE form <> '' AND (unit <> 'passage' OR NOT titled)"""
 
 
 @query

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import pytest
 
@@ -87,3 +88,33 @@ def test_scan_edges(spark, edge_docs, no_docs):
     assert licenses.scan(edge_docs, known).count() == 0
     assert licenses.scan(no_docs, known).columns == ["doc_id", "unit", "place", "license_id", "digest"]
     assert known.groupBy("digest").count().filter("count > 1").isEmpty()
+
+
+FULL = [(i, t) for i, t in licenses.KNOWN if "\n\n" in t and not licenses.titled(t)]
+
+
+def wrapped(text, width):
+    """Each paragraph in lines of about `width` characters."""
+    return "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n\n"))
+
+
+def test_full_texts_inside_longer_documents(spark):
+    """At the head, in the middle (below a title and a copyright paragraph) and at the end, wrapped anew and in capitals."""
+    rows, want = [], set()
+    for i, text in FULL:
+        other = "Some words about a project.\n\nThis is more of them."
+        head, body = wrapped(text, 60), wrapped(text, 75).upper()
+        first = 1 if text.startswith("Copyright") else 0  # place of the first paragraph with words of its own
+        for parts, place in (((head, other), 0), ((other, "Copyright (c) 2001 A", body, other), 3), ((other, head), 2)):
+            rows.append((len(rows), "\n\n".join(parts)))
+            want.add((len(rows) - 1, place + first, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.place, r.license_id) for r in licenses.scan(docs, licenses.known_digests(spark)).filter("unit = 'passage'").collect()}
+    assert {i for i, _ in FULL} == {"MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "0BSD", "Unlicense"}
+    assert got == want
+
+
+def test_altered_text_is_no_licence(spark):
+    rows = [(n, "Intro words.\n\n" + t.replace("software", "hardware").replace("SOFTWARE", "HARDWARE").replace("License", "Paper")) for n, (_, t) in enumerate(FULL)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert licenses.scan(docs, licenses.known_digests(spark)).isEmpty()
