@@ -494,3 +494,4 @@ SQL["build_all"] = " UNION ALL ".join(
     + [f"SELECT 'raw.' || table_name AS table_name, row_count FROM ({SQL['table_row_counts']})"]
     + [f"SELECT 'marts.{name}' AS table_name, count(*) AS row_count FROM ({SQL[name]})" for name in _BUILT]
 )
+SQL["published_build"] = SQL["mart_daily_city_revenue"]

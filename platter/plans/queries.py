@@ -12,7 +12,7 @@ from platter.functions import text as X
 from platter.functions import vector as V
 from platter.operators import batching, dedupe, inverted_lists, ranking, similarity, vector_search
 from platter.plans import catalogue, enrichment, evaluation, index, marts, quality, retrieval, staging
-from platter.plans.warehouse import Warehouse, build_all
+from platter.plans.warehouse import Warehouse, build_all, current_build, publish_build
 from platter.session import prepare, scratch_path, settle
 from platter.sources import sample, tables
 from platter.streaming import jobs
@@ -301,6 +301,14 @@ def _build_all(spark, sf_dir):
     return build_all(house(spark, sf_dir), scratch_path(spark, "warehouse"))
 
 
+@query("published_build")
+def _published_build(spark, sf_dir):
+    """A mart as readers of the current build see it."""
+    root = scratch_path(spark, "published")
+    publish_build(house(spark, sf_dir), root)
+    return spark.read.parquet(f"{current_build(spark, root)}/marts/mart_daily_city_revenue")
+
+
 @query("lookup_by_ids")
 def _lookup(spark, sf_dir):
     """Reviews whose id, as a string, occurs in the enrichment table."""
@@ -720,15 +728,18 @@ def _queries(spark, sf_dir) -> tuple[DataFrame, int]:
     return vectors, vectors.count()
 
 
-def _ranked(spark, sf_dir, k=WIDEST) -> tuple[DataFrame, int]:
-    """Top-k candidates, written once because several steps read them, and their proven row bound."""
+def _ranked(spark, sf_dir, k=WIDEST, min_score=None) -> tuple[DataFrame, int]:
+    """Top-k candidates, written once because several steps read them, and their proven row bound.
+
+    Steps that drop all below the relevance floor pass it on, so that such rows never leave the scan.
+    """
     queries, n = _queries(spark, sf_dir)
-    return settle(vector_search.vector_topk(queries, sample.review_embeddings(spark, sf_dir), k)), n * k
+    return settle(vector_search.vector_topk(queries, sample.review_embeddings(spark, sf_dir), k, min_score)), n * k
 
 
 def _hydrated(spark, sf_dir, text_features=False):
     wh = house(spark, sf_dir)
-    ranked, bound = _ranked(spark, sf_dir)
+    ranked, bound = _ranked(spark, sf_dir, min_score=retrieval.MIN_RELEVANCE)
     relevant = settle(retrieval.adaptive_threshold(ranked))
     return retrieval.hydrate_candidates(relevant, wh.raw["reviews"], wh.review_enriched, bound, text_features)
 
@@ -799,7 +810,7 @@ def _vector_topk_all_lists(spark, sf_dir):
 
 @query("adaptive_threshold")
 def _adaptive(spark, sf_dir):
-    return retrieval.adaptive_threshold(_ranked(spark, sf_dir)[0])
+    return retrieval.adaptive_threshold(_ranked(spark, sf_dir, min_score=retrieval.MIN_RELEVANCE)[0])
 
 
 @query("hydrate_candidates")

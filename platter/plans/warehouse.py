@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
@@ -175,3 +176,34 @@ def build_all(house: Warehouse, out_dir: str, with_enrichment: bool = True) -> D
     return tables.row_counts(
         {f"{layer}.{name}": spark.read.parquet(path(layer, name)) for layer, name in written}
     )
+
+
+def publish_build(house: Warehouse, root: str, with_enrichment: bool = True) -> str:
+    """Builds into a folder of its own and makes it the current build; returns that folder.
+
+    Readers change over with one small pointer table, written after all data tests have passed. A build that
+    fails or is killed leaves the current one as it was. Of two builds that end at once the second one to switch fails. Older
+    builds stay on disk for readers that still use them.
+    """
+    spark = house.spark
+    name = uuid.uuid4().hex
+    build_all(house, f"{root}/builds/{name}", with_enrichment)
+    following = max(_pointers(spark, root), default=-1) + 1
+    pointer = spark.createDataFrame([(name,)], "build string").coalesce(1)
+    pointer.write.parquet(f"{root}/current/{following:010d}")
+    return f"{root}/builds/{name}"
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of all pointers, those of killed switches among them."""
+    place = f"{root}/current"
+    return [int(n) for n in tables.names(spark, place) if n.isdigit()] if tables.exists(spark, place) else []
+
+
+def current_build(spark: SparkSession, root: str) -> str:
+    """Folder of the build whose pointer is complete and latest."""
+    for number in sorted(_pointers(spark, root), reverse=True):
+        pointer = f"{root}/current/{number:010d}"
+        if tables.exists(spark, f"{pointer}/_SUCCESS"):
+            return f"{root}/builds/{spark.read.parquet(pointer).first()['build']}"
+    raise ValueError(f"no finished build below {root}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from platter.operators.ranking import first_per_key
 from platter.plans import catalogue, marts, quality, staging
-from platter.plans.warehouse import Warehouse, build_all
+from platter.plans.warehouse import Warehouse, build_all, current_build, publish_build
 from platter.schemas import RAW_TABLES, describe_tables, empty_table
 
 ORDERS = (
@@ -205,6 +205,32 @@ def test_build_all_and_failing_quality(spark, tmp_path):
         build_all(Warehouse(spark, broken, house.enriched), str(tmp_path / "bad"))
 
 
+def test_failed_builds_leave_the_current_one(spark, tmp_path):
+    from platter.sources import sample
+
+    sf, root = "/root/testdata/sf0.001", str(tmp_path)
+    landing = dict(sample.Landing(spark, sf))
+    with pytest.raises(ValueError, match="no finished build"):
+        current_build(spark, root)
+    first = publish_build(Warehouse(spark, landing), root)
+    assert current_build(spark, root) == first
+
+    lost = landing | {"orders": landing["orders"].withColumn("order_status", F.lit("Lost"))}
+    with pytest.raises(ValueError, match="accepted_values_order_status"):
+        publish_build(Warehouse(spark, lost), root)
+    assert current_build(spark, root) == first
+    assert spark.read.parquet(f"{first}/marts/fct_orders").count() == 1500
+
+    # A switch that was killed before its pointer was complete.
+    (tmp_path / "current" / "0000000001").mkdir()
+    assert current_build(spark, root) == first
+    fewer = landing | {"orders": landing["orders"].limit(10)}
+    second = publish_build(Warehouse(spark, fewer), root)
+    assert current_build(spark, root) == second != first
+    assert spark.read.parquet(f"{second}/marts/fct_orders").count() == 10
+    assert spark.read.parquet(f"{first}/marts/fct_orders").count() == 1500
+
+
 def test_shuffle_sizing(spark):
     from platter.session import estimated_bytes, sized_shuffles
 
