@@ -68,6 +68,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences: one row per piece. Every row is a document of its own, null texts are only their end id.
+
+    An empty table gives no piece.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
