@@ -14,11 +14,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platter.llm.common import ready, whole_text, written
@@ -26,9 +27,9 @@ from platter.session import scratch_path
 
 ORDER = 5
 # Bytes of a block before compression; a single longer text makes a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 COMPRESSION_LEVEL = 6
-# Characters handled at once; the context of a longer text starts anew at every such piece.
+# Characters handled at once; a longer text comes in such pieces, each with the context that it goes on from.
 AT_ONCE = 1 << 19
 # Of the trusted documents one in so many is held out to set the thresholds.
 HELD_OUT = 10
@@ -53,40 +54,51 @@ def _table() -> np.ndarray:
 _SEEN_AS = _table()
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts as one array of symbols, each after ORDER - 1 start symbols; and the owner of each."""
+def _codes(texts: list[str], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as one array of symbols, each after ORDER - 1 start symbols, and the owner of each; the
+    first text stands after the symbols `before` if it goes on with an earlier piece."""
     raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     codes = np.where(raw < 0x10000, _SEEN_AS[np.minimum(raw, 0xFFFF)], raw)
     space = codes == 32
     again = np.r_[False, space[1:] & space[:-1] & (owner[1:] == owner[:-1])][: len(codes)]
+    if before is not None and len(codes) and owner[0] == 0:
+        again[0] = space[0] and before[-1] == 32
     codes, owner = codes[~again], owner[~again]
     every = np.arange(len(texts))
     owners = np.concatenate([np.repeat(every, ORDER - 1), owner])
     by_text = np.argsort(owners, kind="stable")
-    return np.concatenate([np.full(len(texts) * (ORDER - 1), _START, np.uint32), codes])[by_text], owners[by_text]
+    lead = np.full(len(texts) * (ORDER - 1), _START, np.uint32)
+    if before is not None:
+        lead[: ORDER - 1] = before
+    return np.concatenate([lead, codes])[by_text], owners[by_text]
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(numbers of texts, texts) with about AT_ONCE characters."""
-    numbers, some, size = [], [], 0
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str], bool]]:
+    """(numbers of texts, texts, whether the first goes on with the last of the piece before) with about AT_ONCE characters."""
+    numbers, some, size, goes_on = [], [], 0, False
     for i, text in enumerate(texts):
         for start in range(0, len(text), AT_ONCE):
+            if not some:
+                goes_on = start > 0
             numbers.append(i)
             some.append(text[start : start + AT_ONCE])
             size += len(some[-1])
             if size >= AT_ONCE:
-                yield np.array(numbers), some
+                yield np.array(numbers), some, goes_on
                 numbers, some, size = [], [], 0
     if some:
-        yield np.array(numbers), some
+        yield np.array(numbers), some, goes_on
 
 
 def _windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, owner, symbols) of the n-grams that end at each character, for some texts at a time."""
-    for numbers, some in _pieces(texts):
-        codes, owner = _codes(some)
+    codes = None
+    for numbers, some, goes_on in _pieces(texts):
+        codes, owner = _codes(some, codes[1 - ORDER :] if goes_on else None)
         n = len(codes) - ORDER + 1
+        if n <= 0:  # only white space that follows white space
+            continue
         hashes = np.zeros(n, np.uint64)
         for k in range(ORDER):
             hashes = hashes * _PRIME + codes[k : k + n]
@@ -95,8 +107,8 @@ def _windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield hashes[ends], numbers[owner[ends + ORDER - 1]], np.lib.stride_tricks.sliding_window_view(codes, ORDER)[ends]
 
 
-def _distinct(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Hashes, n-grams and counts of the distinct n-grams of some texts."""
+def _distinct(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """N-grams in order of their symbols and counts of the distinct n-grams of some texts."""
     hashes, grams, counts = np.zeros(0, np.uint64), np.zeros(0, f"<U{ORDER}"), np.zeros(0, np.int64)
     for found, _, symbols in _windows(texts):
         own, at, n = np.unique(found, return_index=True, return_counts=True)
@@ -105,7 +117,15 @@ def _distinct(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
         hashes, first, back = np.unique(both, return_index=True, return_inverse=True)
         counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
         grams = np.concatenate([grams, names])[first]
-    return hashes, grams.tolist(), counts
+    symbols = grams.view("<u4").reshape(-1, ORDER).astype(np.uint64)
+    head, tail = np.zeros(len(grams), np.uint64), np.zeros(len(grams), np.uint64)
+    for k in range(ORDER):
+        if k < 3:
+            head = head << np.uint64(21) | symbols[:, k]
+        else:
+            tail = tail << np.uint64(21) | symbols[:, k]
+    in_order = np.lexsort((tail, head))  # neighbours that look alike compress well on their way
+    return grams[in_order].tolist(), counts[in_order]
 
 
 def _unpacked(payload: bytes) -> pa.Table:
@@ -121,7 +141,23 @@ def _by_language(rows: pa.Table) -> Iterator[tuple[str, np.ndarray, list[str]]]:
         yield lang, at, texts[at].tolist()
 
 
-def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def _buckets(spark: SparkSession) -> int:
+    """As many buckets as a shuffle has partitions, within Spark's limit for them."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+
+
+def _bucketed(df: DataFrame, name: str, keys: list[str], entries: list[str]) -> DataFrame:
+    """The rows of `df` as a table in the shared folder bucketed by `keys`, which joins and groups by them need not shuffle.
+
+    Buckets are known to the catalog only. The name of the entry goes to `entries`, to be dropped when the rows are no longer read.
+    """
+    spark, entry = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(_buckets(spark), *keys).option("path", scratch_path(spark, name)).format("parquet").saveAsTable(entry)
+    entries.append(entry)
+    return spark.table(entry)
+
+
+def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str, entries: list[str] | None = None) -> DataFrame:
     """(block, ids, payload): rows of about BLOCK_BYTES, compressed.
 
     Written once, as blocks must not change, into a table bucketed by block: what is joined
@@ -156,13 +192,8 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
         F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
         whole_text(text_col).alias("text"),
     )
-    spark, id_type = docs.sparkSession, given.schema["_id"].dataType.simpleString()
-    path, name = scratch_path(spark, "text-blocks"), f"text_blocks_{uuid.uuid4().hex}"
-    # As many buckets as a shuffle has partitions, within Spark's limit for them.
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
-    blocks = given.mapInArrow(run, f"block long, ids array<{id_type}>, payload binary")
-    blocks.write.bucketBy(buckets, "block").option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    id_type = given.schema["_id"].dataType.simpleString()
+    return _bucketed(given.mapInArrow(run, f"block long, ids array<{id_type}>, payload binary"), "text_blocks", ["block"], [] if entries is None else entries)
 
 
 def _held_out(id_column: Column) -> Column:
@@ -187,7 +218,7 @@ def count_trusted(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
                     wanted[part["number"] - 1] = np.unpackbits(np.frombuffer(part["bits"], np.uint8), bitorder="little")
                 rows = rows.filter(pa.array(wanted.reshape(-1)[: rows.num_rows]))
                 for lang, _, texts in _by_language(rows):
-                    _, grams, counts = _distinct(texts)
+                    grams, counts = _distinct(texts)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts)], ["lang", "gram", "n"]
                     )
@@ -197,17 +228,17 @@ def count_trusted(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def _discounts(types: DataFrame) -> DataFrame:
-    """Per language d1, d2, d3 from how many n-grams occur once to four times; where that is too
+    """Per language and order d1, d2, d3 from how many n-grams occur once to four times; where that is too
     little to tell, three quarters as in absolute discounting."""
     n = {k: F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)}
-    counted = types.groupBy("lang").agg(*[n[k].alias(f"n{k}") for k in n])
+    counted = types.groupBy("lang", "order").agg(*[n[k].alias(f"n{k}") for k in n])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
     out = counted
     for k in (1, 2, 3):
         d = F.when(enough, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))
         out = out.withColumn(f"d{k}", F.when((d > 0) & (d < k), d).otherwise(F.lit(0.75)))
-    return out.select("lang", "d1", "d2", "d3")
+    return out.select("lang", "order", "d1", "d2", "d3")
 
 
 def _discount(n: Column) -> Column:
@@ -216,29 +247,36 @@ def _discount(n: Column) -> Column:
 
 def estimate(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     """Per order: (lang, gram, p) of every n-gram seen, interpolated with all shorter ones, and
-    (lang, context, weight), the share that a context leaves to the shorter ones."""
+    (lang, context, weight), the share that a context leaves to the shorter ones.
+
+    Discounts and contexts of all orders come from one table, so there is one plan for them and a small one per order.
+    """
     types = {ORDER: written(counts, f"counts-{ORDER}")}
     for order in range(ORDER - 1, 0, -1):
         longer = types[order + 1]
         types[order] = written(
             longer.groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"counts-{order}"
         )
-    model: dict[int, tuple[DataFrame, DataFrame]] = {}
+    every = reduce(DataFrame.unionByName, [types[k].withColumn("order", F.lit(k)) for k in types])
+    # What follows one context: at most as many n-grams as there are characters.
+    same = Window.partitionBy("lang", "context")
+    rows = every.join(_discounts(every), ["lang", "order"]).withColumn("context", F.expr("substring(gram, 1, order - 1)"))
+    terms = written(
+        rows.withColumn("total", F.sum("n").over(same)).withColumn("weight", F.sum(_discount(F.col("n"))).over(same) / F.col("total")).select(
+            "lang", "order", "gram", "context", ((F.col("n") - _discount(F.col("n"))) / F.col("total")).alias("own"), "weight"
+        ),
+        "terms",
+    )
+    contexts = written(terms.groupBy("lang", "order", "context").agg(F.first("weight").alias("weight")), "contexts")
     uniform = types[1].groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("lower"))
+    model: dict[int, tuple[DataFrame, DataFrame]] = {}
     for order in range(1, ORDER + 1):
-        rows = types[order].withColumn("context", F.substring("gram", 1, order - 1)).join(_discounts(types[order]), "lang")
-        contexts = written(
-            rows.groupBy("lang", "context").agg(
-                F.sum("n").alias("total"), (F.sum(_discount(F.col("n"))) / F.sum("n")).alias("weight")
-            ),
-            f"contexts-{order}",
-        )
+        own = terms.filter(F.col("order") == order).withColumn("suffix", F.substring("gram", 2, order - 1))
         lower = uniform if order == 1 else model[order - 1][0].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        rows = rows.join(contexts, ["lang", "context"]).withColumn("suffix", F.substring("gram", 2, order - 1))
-        grams = rows.join(lower, ["lang"] if order == 1 else ["lang", "suffix"]).select(
-            "lang", "gram", ((F.col("n") - _discount(F.col("n"))) / F.col("total") + F.col("weight") * F.col("lower")).alias("p")
+        grams = own.join(lower, ["lang"] if order == 1 else ["lang", "suffix"]).select(
+            "lang", "gram", (F.col("own") + F.col("weight") * F.col("lower")).alias("p")
         )
-        model[order] = written(grams, f"model-{order}"), contexts.select("lang", "context", "weight")
+        model[order] = written(grams, f"model-{order}"), contexts.filter(F.col("order") == order).select("lang", "context", "weight")
     unseen = model[1][1].join(uniform, "lang").select("lang", (F.col("weight") * F.col("lower")).alias("p"))
     model[0] = unseen, unseen
     return model
@@ -274,7 +312,7 @@ def answer(requests: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -
     raise AssertionError
 
 
-def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], entries: list[str] | None = None) -> DataFrame:
     """(_id, lang, n_chars, perplexity, text_md5) of every document; null where there is no character or no model."""
     id_field = blocks.schema["ids"].dataType.elementType
 
@@ -282,7 +320,7 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> D
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for lang, _, texts in _by_language(_unpacked(payload.as_py())):
-                    _, grams, _ = _distinct(texts)
+                    grams, _ = _distinct(texts)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block] * len(grams), pa.int64()), pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())],
                         ["block", "lang", "gram"],
@@ -328,7 +366,10 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> D
             }
         )
 
-    requests = written(blocks.select("block", "payload").mapInArrow(ask, "block long, lang string, gram string"), "requests")
+    # One shuffle by n-gram serves the distinct requests and their way back from the model.
+    asked = blocks.select("block", "payload").mapInArrow(ask, "block long, lang string, gram string")
+    asked = asked.repartition(_buckets(blocks.sparkSession), "lang", "gram")
+    requests = _bucketed(asked, "requests", ["lang", "gram"], [] if entries is None else entries)
     answers = answer(requests.select("lang", "gram").distinct(), model)
     returned = requests.join(answers, ["lang", "gram"]).select("block", "lang", "gram", "logp")
     schema = f"_id {id_field.simpleString()}, lang string, n_chars long, perplexity double, text_md5 binary"
@@ -361,9 +402,14 @@ def classify(
     """
     ready(docs.sparkSession)
     trusted = labels.filter("quality = 1").select(F.col(id_col).alias("_id")).dropna().distinct()
-    blocks = pack_blocks(docs, id_col, text_col, lang_col)
-    model = estimate(count_trusted(blocks, trusted.filter(~_held_out(F.col("_id")))))
-    scored = written(score(blocks, model), "perplexities")
+    entries: list[str] = []
+    try:
+        blocks = pack_blocks(docs, id_col, text_col, lang_col, entries)
+        model = estimate(count_trusted(blocks, trusted.filter(~_held_out(F.col("_id")))))
+        scored = written(score(blocks, model, entries), "perplexities")
+    finally:
+        for entry in entries:
+            docs.sparkSession.sql(f"DROP TABLE IF EXISTS {entry}")
     measured = scored.join(trusted.filter(_held_out(F.col("_id"))), "_id", "left_semi").filter("perplexity IS NOT NULL")
     thresholds = measured.groupBy("lang").agg(
         (F.percentile_approx("perplexity", quantile, 10000) * margin).alias("threshold")

@@ -57,7 +57,7 @@ class Brute:
         return math.exp(-sum(math.log(self.p(g)) for g in grams) / len(grams)) if grams else None
 
 
-@pytest.mark.parametrize("at_once, block", [(1 << 19, 16 << 20), (1 << 19, 2000)])
+@pytest.mark.parametrize("at_once, block", [(1 << 19, 16 << 20), (1 << 19, 2000), (7, 2000)])
 def test_equals_definition(spark, monkeypatch, at_once, block):
     monkeypatch.setattr(px, "AT_ONCE", at_once)
     monkeypatch.setattr(px, "BLOCK_BYTES", block)
@@ -94,6 +94,23 @@ def test_keeps_hardly_any_junk(spark):
     assert counts.get((0, True), 0) <= 1 and counts.get((1, False), 0) <= 3, counts
 
 
+def test_pieces_of_a_text_change_nothing(monkeypatch):
+    texts = ["a  \t b" * 40, "", "x", " " * 30 + "y", "1234 \u00e9\U0001f600 " * 25]
+    whole = px._distinct(texts)
+    for at_once in (1, 2, 3, 5, 64):
+        monkeypatch.setattr(px, "AT_ONCE", at_once)
+        grams, counts = px._distinct(texts)
+        assert grams == whole[0] and counts.tolist() == whole[1].tolist()
+    assert grams == sorted(grams)
+    assert Counter(dict(zip(grams, counts.tolist()))) == Counter(g for t in texts for g in grams_of(t))
+
+
+def test_leaves_no_table_behind(spark, edge_docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    px.classify(edge_docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs):
     labels = spark.createDataFrame([(1, 1), (5, 1), (None, 1), (9, 0)], "doc_id long, quality int")
     rows = px.classify(edge_docs, labels).collect()
