@@ -102,6 +102,15 @@ FROM run_open GROUP BY batch""",
     run_labels="""SELECT o.review_id, m.model, CASE WHEN m.model = 'spare' THEN 'neutral' WHEN coalesce(nullif(rating, 0), 3) >= 4 THEN 'positive'
   WHEN coalesce(nullif(rating, 0), 3) <= 2 THEN 'negative' ELSE 'neutral' END AS label FROM run_open o JOIN run_models m USING (batch)""",
 )
+add(
+    "stream_enrich",
+    """SELECT CAST(review_id AS VARCHAR) AS review_id, label AS sentiment_label,
+  CASE label WHEN 'positive' THEN 0.9 WHEN 'negative' THEN 0.1 ELSE 0.5 END::DOUBLE AS sentiment_score, 'other' AS topic,
+  CAST(NULL AS VARCHAR) AS key_issue, TIMESTAMP '2024-07-01 00:00:00' AS processed_at, 'plain' AS model_used
+FROM (SELECT review_id, CASE WHEN coalesce(nullif(rating, 0), 3) >= 4 THEN 'positive' WHEN coalesce(nullif(rating, 0), 3) <= 2 THEN 'negative'
+        ELSE 'neutral' END AS label
+      FROM usable r WHERE NOT EXISTS (SELECT 1 FROM review_enriched e WHERE e.review_id = CAST(r.review_id AS VARCHAR)))""",
+)
 _RUN_TRIES = {
     "run_open": """SELECT review_id, (row_number() OVER (ORDER BY review_id) - 1) // 15 AS batch FROM usable r
 WHERE NOT EXISTS (SELECT 1 FROM review_enriched e WHERE e.review_id = CAST(r.review_id AS VARCHAR))""",

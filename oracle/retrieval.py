@@ -160,6 +160,11 @@ add(
 )
 add("index_dedupe", f"""SELECT review_id, batch, {digest('embedding')} FROM vector_batches
 QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY batch) = 1""", **BATCHES)
+add(
+    "index_first_in_file",
+    f"""SELECT review_id, copy, {digest('embedding')} FROM (SELECT vec_id AS review_id, CAST(CASE WHEN label = 0 THEN 0 ELSE 1 END AS INT) AS copy,
+  CASE WHEN label = 0 THEN list_reverse(CAST(embedding AS DOUBLE[])) ELSE CAST(embedding AS DOUBLE[]) END AS embedding FROM embeddings)""",
+)
 add(
     "index_metadata",
     """SELECT count(*) AS source_reviews_loaded, count(*) - count(DISTINCT review_id) AS duplicates_removed,

@@ -111,6 +111,19 @@ add(
     """SELECT cuisine, count(DISTINCT customer_id) AS customers, count(DISTINCT restaurant_id) AS restaurants,
   count(DISTINCT city) AS cities, count(DISTINCT payment_method) AS payment_methods FROM stg_orders GROUP BY cuisine""",
 )
+add(
+    "multi_distinct_approx",
+    """SELECT cuisine, count(DISTINCT customer_id) AS customers, count(DISTINCT restaurant_id) AS restaurants,
+  count(DISTINCT city) AS cities, count(DISTINCT payment_method) AS payment_methods, true AS customers_within, true AS restaurants_within,
+  true AS cities_within, true AS payment_methods_within FROM stg_orders GROUP BY cuisine""",
+)
+for _period in ("month", "year"):
+    add(
+        f"sketch_roll_up_{_period}",
+        f"""SELECT CAST(date_trunc('{_period}', order_date) AS DATE) AS period, cuisine, count(*) AS orders, count(DISTINCT customer_id) AS customers,
+  count(DISTINCT restaurant_id) AS restaurants, count(delivery_time_min) FILTER (is_delivered) AS timed_orders, true AS customers_within,
+  true AS restaurants_within, true AS p50_within, true AS p90_within FROM stg_orders GROUP BY ALL""",
+    )
 add(
     "kpi_overall",
     f"""SELECT count(*) AS total_orders, count(*) FILTER (is_delivered) AS delivered_orders,

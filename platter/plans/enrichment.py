@@ -398,6 +398,34 @@ def run_log(tries: DataFrame) -> DataFrame:
     return rounds.withColumn("progress_percent", C.rounded_share(so_far, asked, 2, 100)).drop("priority")
 
 
+def request_table(pending: DataFrame, workers: int = 1) -> DataFrame:
+    """The open reviews as written requests, one row per batch."""
+    spark, path = pending.sparkSession, scratch_path(pending.sparkSession, "requests")
+    numbered = batching.request_payloads(batching.with_batch(pending, "review_id", BATCH_SIZE, workers))
+    tables.replace_table(numbered.withColumn("batch_id", F.concat_ws("/", "worker", "batch_no")), path)
+    return spark.read.parquet(path)
+
+
+def answer_open(reviews: DataFrame, stored: DataFrame, models: dict[str, Responder], run_at: str, log_path: str) -> DataFrame:
+    """Enrichment rows of the usable reviews that ``stored`` does not hold, one per review, models in priority order.
+
+    Of several rows of a review the one with the smallest rating, then comment digest is asked for. Nothing is written
+    but requests, answers and the log of tries.
+    """
+    pending = unprocessed_reviews(reviews, stored).withColumn("review_id", F.col("review_id").cast("bigint"))
+    pending = first_per_key(pending, ["review_id"], [F.col("rating"), F.xxhash64("comment")])
+    open_batches, answered = request_table(pending), []
+    for priority, (name, model) in enumerate(models.items(), 1):
+        if open_batches.isEmpty():
+            break
+        accepted, open_batches = ask_until_valid(open_batches, name, model, priority, run_at, log_path)
+        answered.append(accepted)
+    if not answered:
+        return reviews.sparkSession.createDataFrame([], REVIEW_ENRICHED)
+    rows = enrich_clean(response_items(reduce(DataFrame.unionByName, answered)), F.col("model"), F.lit(run_at))
+    return not_yet_written(rows, stored)
+
+
 def run_enrichment(
     spark: SparkSession,
     reviews: DataFrame,
@@ -418,10 +446,7 @@ def run_enrichment(
 
     before = target().count()
     pending = unprocessed_reviews(reviews, target()).withColumn("review_id", F.col("review_id").cast("bigint"))
-    requests = scratch_path(spark, "requests")
-    numbered = batching.request_payloads(batching.with_batch(pending, "review_id", BATCH_SIZE, workers))
-    tables.replace_table(numbered.withColumn("batch_id", F.concat_ws("/", "worker", "batch_no")), requests)
-    batches = spark.read.parquet(requests)
+    batches = request_table(pending, workers)
     asked = batches.agg(F.count(F.lit(1)).alias("n"), F.sum("reviews").alias("r")).first()
 
     open_batches, log = batches, log_path or scratch_path(spark, "attempts")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from platter.functions import text as X
 from platter.functions import vector as V
 from platter.operators import batching, dedupe, inverted_lists, ranking, similarity, vector_search
-from platter.plans import catalogue, enrichment, evaluation, index, marts, quality, retrieval, staging
+from platter.plans import catalogue, enrichment, evaluation, index, marts, quality, retrieval, sketches, staging
 from platter.plans.warehouse import Warehouse, build_all, current_build, publish_build
 from platter.session import prepare, scratch_path, settle
 from platter.sources import sample, tables
@@ -91,6 +91,37 @@ def _multi_distinct(spark, sf_dir):
     return marts.multi_distinct(house(spark, sf_dir).fct_orders)
 
 
+# The default relative standard error of Spark's approximate distinct count is 5 %.
+_APPROX_BOUND = 0.15
+
+
+@query("multi_distinct_approx")
+def _multi_distinct_approx(spark, sf_dir):
+    """Exact distinct counts and whether the approximate ones are within three standard errors."""
+    fact = house(spark, sf_dir).fct_orders
+    told = marts.multi_distinct(fact, exact=False)
+    names = [c for c in told.columns if c != "cuisine"]
+    told = told.select(F.col("cuisine").alias("_cuisine"), *[F.col(c).alias(f"_{c}") for c in names])
+    both = marts.multi_distinct(fact).join(told, F.col("cuisine").eqNullSafe(F.col("_cuisine")), "left")
+    checks = [sketches.within_bound(F.col(f"_{c}"), F.col(c), _APPROX_BOUND).alias(f"{c}_within") for c in names]
+    return both.select("cuisine", *names, *checks)
+
+
+def _sketch_roll_up(period: str):
+    def build(spark, sf_dir):
+        """Daily sketches are written once; the roll-up reads these, the check the fact."""
+        fact, path = house(spark, sf_dir).fct_orders, scratch_path(spark, "daily-sketches")
+        tables.replace_table(sketches.daily_sketches(fact, ["cuisine", "city"]), path)
+        rolled = sketches.roll_up(spark.read.parquet(path), period, ["cuisine"])
+        return sketches.roll_up_check(fact, rolled, period, ["cuisine"])
+
+    return build
+
+
+for _period in ("month", "year"):
+    query(f"sketch_roll_up_{_period}")(_sketch_roll_up(_period))
+
+
 @query("customer_latest_city")
 def _customer_city(spark, sf_dir):
     return marts.customer_latest_city(house(spark, sf_dir).fct_orders)
@@ -523,6 +554,21 @@ def _enrichment_run(spark, sf_dir):
     return stored.filter(F.col("model_used").isin(*models))
 
 
+@query("stream_enrich")
+def _stream_enrich(spark, sf_dir):
+    """Reviews arrive in two loads; two shards enrich what came with each load, in turns."""
+    wh = house(spark, sf_dir)
+    source, root, reviews = scratch_path(spark, "review-files"), scratch_path(spark, "enriched-stream"), wh.raw["reviews"]
+    late = F.pmod(F.xxhash64("review_id"), F.lit(3)) == 0
+    for load, turns in ((reviews.filter(~late), (0, 1)), (reviews.filter(late), (1, 0))):
+        tables.append_table(load, source)
+        for shard in turns:
+            jobs.stream_enrich(
+                spark, source, reviews.schema, root, {"plain": sample.plain_model}, "2024-07-01 00:00:00", wh.review_enriched, shard, 2
+            )
+    return jobs.stream_enriched(spark, root)
+
+
 @query("response_validate_strict")
 def _strict(spark, sf_dir):
     """Answers whose topics must come from the fixed list."""
@@ -676,6 +722,20 @@ def _index_dedupe(spark, sf_dir):
     return _vector_digest(index.index_dedupe(_embedding_batches(spark, sf_dir), ["batch"]), "review_id", "batch")
 
 
+@query("index_first_in_file")
+def _index_first_in_file(spark, sf_dir):
+    """Vectors of label 0 stand twice in the batch files, reversed at first; the first row in file and row order stays."""
+    rows, path = sample.table(spark, sf_dir, "embeddings"), scratch_path(spark, "vector-files")
+    all_rows = rows.select(F.col("vec_id").alias("review_id"), "embedding", F.lit(1).alias("copy"))
+    turned = rows.filter("label = 0").select(
+        F.col("vec_id").alias("review_id"), F.reverse("embedding").alias("embedding"), F.lit(0).alias("copy")
+    )
+    in_order = all_rows.unionByName(turned).repartitionByRange("review_id").sortWithinPartitions("review_id", "copy")
+    tables.write_embedding_batches(in_order, path)
+    batches = tables.read_embedding_batches(spark, path)
+    return _vector_digest(index.index_dedupe(batches, ["batch_file", "batch_position"]), "review_id", "copy")
+
+
 @query("index_metadata")
 def _index_metadata(spark, sf_dir):
     path = scratch_path(spark, "index")

@@ -469,6 +469,11 @@ def steady_model(payloads: list[str]) -> list[str]:
     return [_answers(p, None) for p in payloads]
 
 
+def plain_model(payloads: list[str]) -> list[str]:
+    """A stand-in model that always answers."""
+    return [_answers(p, None) for p in payloads]
+
+
 def spare_model(payloads: list[str]) -> list[str]:
     """A stand-in model that calls everything neutral and answers badly for multiples of seven."""
     return ["sorry" if json.loads(p)[0]["review_id"] % 7 == 0 else _answers(p, "neutral") for p in payloads]

@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from platter.functions import sqlcompat as C
 from platter.operators.ranking import first_per_key
+from platter.plans.enrichment import Responder, answer_open
 from platter.plans.index import current_vectors, ingest_violations, publish_upsert, published_mark
+from platter.schemas import REVIEW_ENRICHED
 from platter.sources import tables
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -83,6 +85,68 @@ def stream_embed(
     _drain(embed_rows(reviews, embed, dimension), out, checkpoint)
 
 
+# --------------------------------------------------------------------- enrichment
+def stream_enrich(
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType,
+    root: str,
+    models: dict[str, Responder],
+    run_at: str,
+    stored: DataFrame | None = None,
+    shard: int = 0,
+    shards: int = 1,
+    files_per_batch: int | None = None,
+) -> None:
+    """Enrich every review file that arrived since the shard's last run.
+
+    Several shards may run at once: a review belongs to the shard that its id's hash names, each shard has a checkpoint of its
+    own, and no two write the same review. A micro-batch asks only for reviews without a row in ``stored`` and in the shard's earlier
+    micro-batches, validates, and writes the rows to the folder of its number. A run that is killed after that write repeats the
+    micro-batch and replaces the folder, so no row is there twice. Reviews that no model answers validly are not stored and
+    not asked again unless they arrive again. A root keeps its number of shards.
+    """
+    place, own = f"{root}/enriched", f"shard={shard}-of-{shards}"
+    found = tables.names(spark, place) if tables.exists(spark, place) else []
+    if any(not n.endswith(f"-of-{shards}") for n in found if n.startswith("shard=")):
+        raise ValueError(f"{root} was written by another number of shards than {shards}: {sorted(found)}")
+
+    def take(rows: DataFrame, number: int) -> None:
+        session = rows.sparkSession
+        folder = f"{place}/{own}"
+        epochs = tables.names(session, folder) if tables.exists(session, folder) else []
+        earlier = [f"{folder}/{e}" for e in epochs if e.startswith("epoch=") and e != f"epoch={number}"]
+        done = session.read.schema(REVIEW_ENRICHED).parquet(*earlier) if earlier else session.createDataFrame([], REVIEW_ENRICHED)
+        known = done.select("review_id")
+        if stored is not None:
+            known = known.unionByName(stored.select(F.col("review_id").cast("string").alias("review_id")))
+        mine = rows.filter(F.pmod(F.xxhash64(F.col("review_id").cast("string")), F.lit(shards)) == shard)
+        # Enrichment reads its reviews more than once; the micro-batch is kept for that time only.
+        mine = mine.select("review_id", "rating", "comment").persist()
+        try:
+            enriched = answer_open(mine, known.withColumn("processed_at", F.lit(None).cast("timestamp")), models, run_at, f"{root}/attempts/{own}")
+            tables.replace_table(enriched, f"{folder}/epoch={number}")
+        finally:
+            mine.unpersist()
+
+    query = (
+        _files(spark, source, schema, files_per_batch)
+        .writeStream.foreachBatch(take)
+        .option("checkpointLocation", f"{root}/checkpoint/{own}")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def stream_enriched(spark: SparkSession, root: str) -> DataFrame:
+    """All rows that the shards have stored."""
+    place = f"{root}/enriched"
+    shards = [f"{place}/{n}" for n in tables.names(spark, place)] if tables.exists(spark, place) else []
+    folders = [f"{s}/{e}" for s in shards for e in tables.names(spark, s) if tables.exists(spark, f"{s}/{e}/_SUCCESS")]
+    return spark.read.schema(REVIEW_ENRICHED).parquet(*folders) if folders else spark.createDataFrame([], REVIEW_ENRICHED)
+
+
 # ------------------------------------------------------------------------- ingest
 def check_identity(spark: SparkSession, path: str, collection: str, model: str, dimension: int) -> None:
     """Refuse to mix vectors of different collections, models or dimensions; the first run records them."""
