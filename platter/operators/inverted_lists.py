@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platter.operators.vector_search import as_matrix, broadcast_if_small, merge_best, query_blocks, scan_best, unit_rows, vector_topk
+from platter.operators.vector_search import ROWS_AT_ONCE, as_matrix, broadcast_if_small, merge_best, query_blocks, scan_best, unit_rows, vector_topk
 from platter.session import scratch_path, settle
 
 # Rows the centroids are fitted on, about, and rows whose exact neighbours set the number of probes.
@@ -60,6 +60,12 @@ def fit_centroids(sample: np.ndarray, lists: int, seed: int = 42) -> np.ndarray:
     return centroids
 
 
+def nearest_lists(matrix: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Per unit row the list with the nearest centroid; rows are scored ROWS_AT_ONCE at a time, however long a batch is."""
+    parts = [(matrix[i : i + ROWS_AT_ONCE] @ centroids.T).argmax(axis=1) for i in range(0, len(matrix), ROWS_AT_ONCE)]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+
 def _write_lists(corpus: DataFrame, centroids: np.ndarray, path: str) -> None:
     """Every row in the list of its nearest centroid (column `cell`), sorted by list; a crowded directory is split over files and tasks."""
     shared = corpus.sparkSession.sparkContext.broadcast(centroids)
@@ -69,7 +75,7 @@ def _write_lists(corpus: DataFrame, centroids: np.ndarray, path: str) -> None:
         for batch in batches:
             if batch.num_rows:
                 matrix = unit_rows(as_matrix(batch.column("embedding"), own.shape[1]))
-                yield batch.append_column("cell", pa.array((matrix @ own.T).argmax(axis=1).astype(np.int64)))
+                yield batch.append_column("cell", pa.array(nearest_lists(matrix, own)))
 
     schema = T.StructType([*corpus.schema.fields, T.StructField("cell", T.LongType())])
     placed = corpus.mapInArrow(place, schema).withColumn("part", (F.col("cell") % DIRECTORIES).cast("int"))

@@ -1,5 +1,7 @@
 """Inverted lists: recall on the given vectors, exactness with all lists, and odd tables."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +68,16 @@ def test_odd_tables(spark, tmp_path):
     empty = str(tmp_path / "b")
     inverted_lists.build_lists(spark.createDataFrame([], CORPUS), empty, 3)
     assert inverted_lists.search_lists(queries.limit(0), empty, 3).count() == 0
+
+
+def test_long_batches_take_little_memory():
+    """A batch of Arrow's usual length against the largest number of lists: rows x lists is never there at once."""
+    rng = np.random.default_rng(2)
+    rows, centroids = rng.standard_normal((10_000, 16)), rng.standard_normal((inverted_lists.MOST_LISTS, 16))
+    tracemalloc.start()
+    got = inverted_lists.nearest_lists(rows, centroids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    assert (got[:700] == (rows[:700] @ centroids.T).argmax(axis=1)).all() and len(got) == len(rows)
+    assert len(inverted_lists.nearest_lists(rows[:0], centroids)) == 0
