@@ -104,3 +104,40 @@ def test_odd_languages_are_not_learned(spark):
     rows = [(i, "the quick brown fox " * 500, "en") for i in range(10)] + [(99, "abc", "typo")]
     model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == ["en"]
+
+
+def test_rare_languages_are_told(spark):
+    """A language below LEAST_LANGUAGE is told where its exact share is larger; brute force over the table of its n-grams."""
+    english = [(i, f"the quick brown fox jumps over lazy dogs {i % 7} " * 400, "en") for i in range(10)]
+    odd = [(100, "zwixu qorvat plemni", "xx"), (101, "zwixu plemni dorgha", "yy"), (102, "the quick brown fox", "typo")]
+    texts = [(200, "qorvat zwixu"), (201, "dorgha"), (202, "the fox"), (203, "the dogs dorgha dorgha"), (204, "1 2"), (205, None), (206, "qorvat zwixu")]
+    docs = spark.createDataFrame(english + odd, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert model.languages == ["en"]
+    assert {r.lang for r in model.rare.select("lang").distinct().collect()} == {"xx", "yy", "typo"}
+    asked = docs.select("doc_id", "text").union(spark.createDataFrame(texts, "doc_id long, text string"))
+    told = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(asked, model).collect()}
+    assert len(told) == len(english + odd + texts)
+    known = defaultdict(set)
+    for r in model.rare.collect():
+        known[r.lang].add(r.gram)
+    for r in asked.collect():
+        first, score = model.predict([r.text])
+        grams, counts = language._text_grams(r.text or "")
+        shares = {k: sum(int(n) for g, n in zip(grams.view("int64").tolist(), counts) if g in v) / max(counts.sum(), 1) for k, v in known.items()}
+        best = min(shares, key=lambda k: (-shares[k], k))
+        want = (best, shares[best]) if shares[best] > score[0] else (first[0], score[0])
+        assert told[r.doc_id] == want, r.doc_id
+    assert told[100][0] == told[200][0] == told[206][0] == "xx" and told[101][0] == told[201][0] == "yy"
+    assert told[0][0] == told[102][0] == told[202][0] == "en" and told[204] == told[205] == ("und", 0.0)
+
+
+def test_only_rare_languages(spark, monkeypatch):
+    """No language reaches the least share: none is in the filter, all are told."""
+    monkeypatch.setattr(language, "LEAST_LANGUAGE", 0.9)
+    docs = spark.createDataFrame([(1, "abc abd abe", "a"), (2, "xyz xyw xyv uvw", "b")], "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert model.languages == []
+    asked = docs.union(spark.createDataFrame([(3, "qqq", None)], docs.schema))
+    told = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(asked, model).collect()}
+    assert told == {1: ("a", 1.0), 2: ("b", 1.0), 3: ("b", 0.0)}
