@@ -243,3 +243,25 @@ def test_shuffle_sizing(spark):
         assert partitions == 1 << 21
     assert spark.conf.get(name, None) is None
     assert estimated_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")) > 50_000
+
+
+def test_food_mart_repeats_no_sums(spark):
+    """Rows repeated per distinct count carry no measures, and the counts stay per item: nulls and repeats of an order included."""
+    item = "order_item_id bigint, order_id bigint, restaurant_id bigint, f_id string, order_date date, city string, price decimal(18,2), quantity bigint, line_amount decimal(18,2)"
+    one = Decimal("1.50")
+    items = spark.createDataFrame(
+        [
+            (1, 1, 1, "a", DAY, "Goa", one, 2, one), (2, 1, 2, "a", DAY, "Goa", one, None, None), (3, 2, 1, "a", None, None, None, 1, one),
+            (4, 2, None, "b", None, None, one, 1, one), (5, None, 3, None, DAY, "Leh", one, 1, one),
+        ],
+        item,
+    )
+    food = spark.createDataFrame([("a", "A", "Veg"), ("b", "B", "Veg"), ("c", "C", None), (None, "N", None)], "f_id string, food_name string, veg_or_non_veg string")
+    got = marts.mart_food_performance(food, items)
+    repeated = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Expand" in line]
+    assert repeated and not any("line_amount" in line or "price" in line for line in repeated)
+    rows = {r.f_id: r for r in got.collect()}
+    assert {k: (r.total_orders, r.total_order_items, r.total_quantity_sold, r.restaurants_selling, r.cities_selling) for k, r in rows.items()} == {
+        "a": (2, 3, 3, 2, 1), "b": (1, 1, 1, 0, 0), "c": (0, 0, 0, 0, 0), None: (0, 0, 0, 0, 0),
+    }
+    assert rows["a"].total_revenue == 3 and rows["c"].first_order_date is None
