@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def _codes(texts: list[str], before: np.ndarray | None) -> tuple[np.ndarray, np.
     return np.concatenate([lead, codes])[by_text], owners[by_text]
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str], bool]]:
+def _pieces(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, list[str], bool]]:
     """(numbers of texts, texts, whether the first goes on with the last of the piece before) with about AT_ONCE characters."""
     numbers, some, size, goes_on = [], [], 0, False
     for i, text in enumerate(texts):
@@ -91,7 +92,7 @@ def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str], bool]]:
         yield np.array(numbers), some, goes_on
 
 
-def _windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _windows(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, owner, symbols) of the n-grams that end at each character, for some texts at a time."""
     codes = None
     for numbers, some, goes_on in _pieces(texts):
@@ -107,7 +108,7 @@ def _windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield hashes[ends], numbers[owner[ends + ORDER - 1]], np.lib.stride_tricks.sliding_window_view(codes, ORDER)[ends]
 
 
-def _distinct(texts: list[str]) -> tuple[list[str], np.ndarray]:
+def _distinct(texts: Iterable[str]) -> tuple[list[str], np.ndarray]:
     """N-grams in order of their symbols and counts of the distinct n-grams of some texts."""
     hashes, grams, counts = np.zeros(0, np.uint64), np.zeros(0, f"<U{ORDER}"), np.zeros(0, np.int64)
     for found, _, symbols in _windows(texts):
@@ -117,28 +118,54 @@ def _distinct(texts: list[str]) -> tuple[list[str], np.ndarray]:
         hashes, first, back = np.unique(both, return_index=True, return_inverse=True)
         counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
         grams = np.concatenate([grams, names])[first]
-    symbols = grams.view("<u4").reshape(-1, ORDER).astype(np.uint64)
+    del hashes
+    symbols = grams.view("<u4").reshape(-1, ORDER)
     head, tail = np.zeros(len(grams), np.uint64), np.zeros(len(grams), np.uint64)
     for k in range(ORDER):
         if k < 3:
-            head = head << np.uint64(21) | symbols[:, k]
+            head = head << np.uint64(21) | symbols[:, k].astype(np.uint64)
         else:
-            tail = tail << np.uint64(21) | symbols[:, k]
+            tail = tail << np.uint64(21) | symbols[:, k].astype(np.uint64)
     in_order = np.lexsort((tail, head))  # neighbours that look alike compress well on their way
     return grams[in_order].tolist(), counts[in_order]
 
 
-def _unpacked(payload: bytes) -> pa.Table:
-    return pa.ipc.open_stream(payload).read_all()
+def _unpacked(payload: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_buffer()).read_all()
 
 
-def _by_language(rows: pa.Table) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+class _Texts:
+    """Some texts of a block, each made a string when it is its turn."""
+
+    def __init__(self, column: pa.ChunkedArray, at: np.ndarray):
+        self.column, self.at = column.combine_chunks(), at
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __iter__(self) -> Iterator[str]:
+        return (self.column[i].as_py() for i in self.at.tolist())
+
+
+def _by_language(rows: pa.Table) -> Iterator[tuple[str, np.ndarray, _Texts]]:
     """(language, numbers of rows, texts)."""
+    rows = rows.combine_chunks()
     langs = np.array(rows.column("lang").to_pylist(), object)
-    texts = np.array(rows.column("text").to_pylist(), object)
     for lang in sorted(set(langs)):
         at = np.flatnonzero(langs == lang)
-        yield lang, at, texts[at].tolist()
+        yield lang, at, _Texts(rows.column("text"), at)
+
+
+def _keys(grams: pa.ChunkedArray) -> np.ndarray:
+    """The hash of each n-gram as in `_windows`."""
+    keys = np.zeros(len(grams), np.uint64)
+    for start in range(0, len(grams), 1 << 16):
+        names = np.array(grams.slice(start, 1 << 16).to_pylist(), f"<U{ORDER}")
+        part = keys[start : start + len(names)]
+        for k in range(ORDER):
+            part[:] = part * _PRIME + names.view("<u4").reshape(-1, ORDER)[:, k]
+            part ^= part >> np.uint64(32)
+    return keys
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -212,7 +239,7 @@ def count_trusted(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, chosen in zip(batch.column(0), batch.column(1).to_pylist()):
-                rows = _unpacked(payload.as_py())
+                rows = _unpacked(payload)
                 wanted = np.zeros((-(-rows.num_rows // _MAP_BITS), _MAP_BITS), bool)
                 for part in chosen:
                     wanted[part["number"] - 1] = np.unpackbits(np.frombuffer(part["bits"], np.uint8), bitorder="little")
@@ -319,7 +346,7 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], entr
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for lang, _, texts in _by_language(_unpacked(payload.as_py())):
+                for lang, _, texts in _by_language(_unpacked(payload)):
                     grams, _ = _distinct(texts)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block] * len(grams), pa.int64()), pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())],
@@ -328,19 +355,13 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], entr
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, langs, sizes, results, digests = [], [], [], [], []
-        known = right.column("lang").to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, object)
         for payload in left.column("payload"):
-            rows = _unpacked(payload.as_py())
+            rows = _unpacked(payload).combine_chunks()
             chars, perplexity = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, np.nan)
             for lang, at, texts in _by_language(rows):
-                mine = np.flatnonzero(known == lang)
-                names = right.column("gram").take(pa.array(mine)).to_pylist()
-                logs = right.column("logp").to_numpy()[mine]
-                symbols = np.array(names, f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
-                keys = np.zeros(len(names), np.uint64)
-                for k in range(ORDER):
-                    keys = keys * _PRIME + symbols[:, k]
-                    keys ^= keys >> np.uint64(32)
+                mine = right.filter(pc.equal(right.column("lang"), lang))
+                keys, logs = _keys(mine.column("gram")), mine.column("logp").to_numpy()
+                del mine
                 by_key = np.argsort(keys)
                 keys, logs = keys[by_key], logs[by_key]
                 total, n = np.zeros(len(texts)), np.zeros(len(texts))
@@ -351,7 +372,7 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], entr
                 chars[at] = n
                 if len(keys):
                     perplexity[at] = np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan)
-            digests += [hashlib.md5(t.encode("utf-8")).digest() for t in rows.column("text").to_pylist()]
+            digests += [hashlib.md5(t.as_buffer()).digest() for t in rows.column("text")]
             ids.append(rows.column("_id").combine_chunks())
             langs.append(rows.column("lang").combine_chunks())
             sizes.append(chars)

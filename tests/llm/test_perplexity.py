@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from platter.llm import perplexity as px
@@ -123,3 +125,17 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     assert {r.lang for r in rows if r.doc_id == 4} == {"und"}
     assert px.classify(no_docs, labels).count() == 0
     assert all(r.kept == (r.n_chars > 0) for r in px.classify(edge_docs, labels.limit(0)).collect())
+
+
+def test_texts_of_a_block_are_strings_in_turn():
+    """A worker holds a block once, not also as strings: those are made for a piece at a time."""
+    texts = [f"{i} " + "ab cd ef " * 2000 for i in range(400)]
+    rows = pa.table({"lang": ["en", "de"] * 200, "text": texts})
+    tracemalloc.start()
+    try:
+        seen = {lang: (at.tolist(), sum(len(t) for t in some)) for lang, at, some in px._by_language(rows)}
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert seen == {k: (list(range(i, 400, 2)), sum(map(len, texts[i::2]))) for k, i in (("en", 0), ("de", 1))}
+    assert peak < rows.nbytes / 8
