@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
+from codecs import charmap_decode
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 
-# Units a Python worker remembers; beyond that only those of the texts at hand.
+# Units, and pieces between spaces, that a Python worker remembers; beyond that only those of the texts at hand.
 REMEMBERED_UNITS = 400_000
-UNITS_AT_ONCE = 200
 
 # Unicode White_Space. The tokenizer splits texts at white space before it merges: a run of
 # other characters takes one space before it along, the rest of the white space stands alone.
@@ -22,14 +21,55 @@ _WORD = re.compile(f" ?[{_LETTER}]+")
 _UNITS = re.compile(
     f" ?[{_LETTER}]+(?=[.,]*(?:[{_SPACE}]|$))|[.,]+(?=[{_SPACE}]|$)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
-_HAS_SPACE = re.compile(f"[{_SPACE}]")
+# A word and the ASCII marks after it, which are two pre-tokens; an apostrophe could belong to a contraction.
+_WORD_AND_MARKS = re.compile(f"([{_LETTER}]+)([!-&(-/:-@\\[-`{{-~]*)")
+_ENDS_IN_SPACE = re.compile(f"[{_SPACE}]\\Z")
 TEXTS_AT_ONCE = 250
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """Byte-level BPE writes a byte as the Latin-1 character where that is visible, else as the next one from 256 on."""
     hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-    return {b: chr(256 + n) for n, b in enumerate(hidden)}
+    return "".join(chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256))
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class _Uncut(Exception):
+    """A piece that does not stand between two units."""
+
+
+class _Units(dict):
+    """Ids of units as they are asked for."""
+
+    def __init__(self, owner: UnitEncoder):
+        self.owner = owner
+
+    def __missing__(self, unit: str) -> bytes:
+        owner = self.owner
+        ids = self[unit] = owner.word(unit) if owner.direct and _WORD.fullmatch(unit) else owner.plain(unit)
+        return ids
+
+
+class _Pieces(dict):
+    """Ids of what stands between two spaces, with the space before it, as they are asked for. The key is without that space."""
+
+    def __init__(self, owner: UnitEncoder):
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> bytes:
+        owner = self.owner
+        found = _WORD_AND_MARKS.fullmatch(piece) if owner.direct else None
+        if found:
+            word, marks = found.groups()
+            ids = self[word] + owner.units[marks] if marks else owner.word(" " + word)
+        elif not piece or _ENDS_IN_SPACE.search(piece):
+            raise _Uncut
+        else:
+            ids = owner.by_units(" " + piece)
+        self[piece] = ids
+        return ids
 
 
 class UnitEncoder:
@@ -47,74 +87,56 @@ class UnitEncoder:
         self.marked = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # Units without white space are encoded many at a time with line feeds between them, which
-        # this kind of tokenizer never merges with what follows; the ids are cut at the line feeds.
-        self.line_feed = self._plain("\n")
-        self.letters = _byte_letters()
-        trial = [" trial", "trial", " 12", "..", " 's"]
-        self.joinable = len(self.line_feed) == 1 and self._joined(trial) == [self._bytes(self._plain(u)) for u in trial]
-        # A word is one pre-token, so the library's merges can be applied to it directly.
+        self.merge = self.tokenizer.model.tokenize
+        self.id_bytes = [n.to_bytes(4, "little") for n in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        # A word is one pre-token, so the library's merges can be applied to it directly, and so are the marks after it.
         words = [" trial", "Trial", " l\u00e4nger", "\u00c9t\u00e9s"]
-        self.direct = all(self._word(w) == self._bytes(self._plain(w)) for w in words)
-        self.known: dict[str, bytes] = {}
+        self.direct = all(self.word(w) == self.plain(w) and self.plain(w + m) == self.word(w) + self.plain(m) for w in words for m in (".", ",!", "##_#"))
+        self.units, self.pieces = _Units(self), _Pieces(self)
 
-    def _word(self, unit: str) -> bytes:
-        if unit.isascii():
-            spelled = unit.replace(" ", self.letters[32])
-        else:
-            spelled = unit.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = [token.id for token in self.tokenizer.model.tokenize(spelled)]
-        return pack(f"<{len(ids)}I", *ids)
+    def word(self, unit: str) -> bytes:
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[token.id] for token in self.merge(charmap_decode(unit.encode(), "strict", _BYTE_LETTERS)[0])])
 
-    def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def plain(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def _joined(self, units: list[str]) -> list[bytes]:
-        ids = np.array(
-            self.tokenizer.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, "<u4"
-        )
-        cuts = np.flatnonzero(ids == self.line_feed[0])
-        starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip(starts, ends)]
-
-    def _learn(self, units: list[str]) -> None:
-        rest = units
-        if self.direct:
-            rest, is_word, spell, known = [], _WORD.fullmatch, self._word, self.known
-            for unit in units:
-                if is_word(unit):
-                    known[unit] = spell(unit)
-                else:
-                    rest.append(unit)
-        alone = [u for u in rest if not self.joinable or u == " " or _HAS_SPACE.search(u, 1) or _HAS_SPACE.match(u[:1].strip(" "))]
-        for unit in alone:
-            self.known[unit] = self._bytes(self._plain(unit))
-        rest = [u for u in rest if u not in self.known]
-        for start in range(0, len(rest), UNITS_AT_ONCE):
-            some = rest[start : start + UNITS_AT_ONCE]
-            self.known.update(zip(some, self._joined(some), strict=True))
+    def by_units(self, text: str) -> bytes:
+        return b"".join(map(self.units.__getitem__, _UNITS.findall(text)))
+
+    def _whole(self, text: str) -> bytes:
+        """A space that follows a character other than white space begins a unit, so a text is cut there; if other white space
+        stands before a space, the text is cut into units only."""
+        if self.marked(text):
+            return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
+        first, *between = text.split(" ")
+        if not between:
+            return self.by_units(text)
+        last = between.pop()
+        if _ENDS_IN_SPACE.search(first):
+            return self.by_units(text)
+        try:
+            ids = b"".join(map(self.pieces.__getitem__, between))
+        except _Uncut:
+            return self.by_units(text)
+        return self.by_units(first) + ids + self.by_units(" " + last)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for start in range(0, len(texts), TEXTS_AT_ONCE):
             some = texts[start : start + TEXTS_AT_ONCE]
-            whole = {n: self._bytes(self.library.encode(text, add_special_tokens=False).ids) for n, text in enumerate(some) if self.marked(text)}
-            split = [[] if n in whole else _UNITS.findall(text) for n, text in enumerate(some)]
-            found = [list(map(self.known.get, units)) for units in split]
-            missing = {u for units, ids in zip(split, found) if None in ids for u, known in zip(units, ids) if known is None}
-            self._learn(list(missing))
-            for n, (units, ids) in enumerate(zip(split, found)):
-                if None in ids:
-                    ids = [self.known[u] if known is None else known for u, known in zip(units, ids)]
-                out.append(whole[n] if n in whole else b"".join(ids))
-            if len(self.known) > REMEMBERED_UNITS:  # what these texts use is worth keeping
-                self.known = {unit: self.known[unit] for unit in set().union(*split)}
+            out += map(self._whole, some)
+            for known in (self.units, self.pieces):
+                if len(known) > REMEMBERED_UNITS:  # what these texts use is worth keeping
+                    used = set().union(*(t.split(" ") if known is self.pieces else _UNITS.findall(t) for t in some))
+                    kept = {u: known[u] for u in used & known.keys()}
+                    known.clear()
+                    known.update(kept)
         return out
 
 

@@ -36,6 +36,23 @@ def test_encoder_equals_library(library, alphabet, monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(library, t) for t in texts]
 
 
+def test_known_words_are_not_cut_again(library, monkeypatch):
+    cut, units = [], tokens._UNITS
+
+    class Counted:
+        def findall(self, text):
+            cut.append(text)
+            return units.findall(text)
+
+    monkeypatch.setattr(tokens, "_UNITS", Counted())
+    encoder = tokens.UnitEncoder(PATH)
+    text = "Längere words, many. " * 50 + "end"
+    first = encoder.encode_batch([text])
+    cut.clear()
+    assert encoder.encode_batch([text]) == first == [np.array(ids_of(library, text), "<u4").tobytes()]
+    assert sum(map(len, cut)) < 20
+
+
 def test_markers_as_the_unchanged_library(spark):
     plain = Tokenizer.from_file(PATH)
     texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|> y<|endoftext|><|endoftext|>\n", "<|endoftext| > a", "plain words, no marker"]
