@@ -41,6 +41,7 @@ MARGIN = 1.1
 NO_LANGUAGE = "und"
 _START = 2  # stands before a text
 _MAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
+_ROWS_AT_ONCE = 1 << 16  # n-grams of one record batch
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,20 +60,24 @@ def _codes(texts: list[str], before: np.ndarray | None) -> tuple[np.ndarray, np.
     """The texts as one array of symbols, each after ORDER - 1 start symbols, and the owner of each; the
     first text stands after the symbols `before` if it goes on with an earlier piece."""
     raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    codes = np.where(raw < 0x10000, _SEEN_AS[np.minimum(raw, 0xFFFF)], raw)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    codes = _SEEN_AS[np.minimum(raw, 0xFFFF)]
+    far = raw >= 0x10000
+    codes[far] = raw[far]
     space = codes == 32
     again = np.r_[False, space[1:] & space[:-1] & (owner[1:] == owner[:-1])][: len(codes)]
     if before is not None and len(codes) and owner[0] == 0:
         again[0] = space[0] and before[-1] == 32
-    codes, owner = codes[~again], owner[~again]
-    every = np.arange(len(texts))
-    owners = np.concatenate([np.repeat(every, ORDER - 1), owner])
-    by_text = np.argsort(owners, kind="stable")
-    lead = np.full(len(texts) * (ORDER - 1), _START, np.uint32)
+    if again.any():
+        codes, owner = codes[~again], owner[~again]
+    # Every symbol moves behind the start symbols of its own text and of those before it.
+    sizes = np.bincount(owner, minlength=len(texts)) + ORDER - 1
+    owners = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    out = np.full(len(owners), _START, np.uint32)
+    out[np.arange(len(codes)) + (ORDER - 1) * (owner + 1)] = codes
     if before is not None:
-        lead[: ORDER - 1] = before
-    return np.concatenate([lead, codes])[by_text], owners[by_text]
+        out[: ORDER - 1] = before
+    return out, owners
 
 
 def _pieces(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, list[str], bool]]:
@@ -92,33 +97,50 @@ def _pieces(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, list[str], bool]
         yield np.array(numbers), some, goes_on
 
 
-def _windows(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, owner, symbols) of the n-grams that end at each character, for some texts at a time."""
+def _windows(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, owner, place, symbols) for some texts at a time: the n-grams that end at each character, each being the
+    ORDER symbols from its place on."""
     codes = None
     for numbers, some, goes_on in _pieces(texts):
         codes, owner = _codes(some, codes[1 - ORDER :] if goes_on else None)
         n = len(codes) - ORDER + 1
         if n <= 0:  # only white space that follows white space
             continue
+        ends = np.flatnonzero(codes[ORDER - 1 :] != _START)
         hashes = np.zeros(n, np.uint64)
         for k in range(ORDER):
-            hashes = hashes * _PRIME + codes[k : k + n]
+            hashes *= _PRIME
+            hashes += codes[k : k + n]
             hashes ^= hashes >> np.uint64(32)
-        ends = np.flatnonzero(codes[ORDER - 1 :] != _START)
-        yield hashes[ends], numbers[owner[ends + ORDER - 1]], np.lib.stride_tricks.sliding_window_view(codes, ORDER)[ends]
+        yield hashes[ends], numbers[owner[ends + ORDER - 1]], ends, codes
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, n-gram, count) of every distinct n-gram, from parts of which each has it once at most."""
+    hashes = np.concatenate([p[0] for p in parts])
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+    grams = np.concatenate([p[1] for p in parts])[order[first]]
+    counts = np.concatenate([p[2] for p in parts])[order]
+    return hashes[first], grams, np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _distinct(texts: Iterable[str]) -> tuple[list[str], np.ndarray]:
     """N-grams in order of their symbols and counts of the distinct n-grams of some texts."""
-    hashes, grams, counts = np.zeros(0, np.uint64), np.zeros(0, f"<U{ORDER}"), np.zeros(0, np.int64)
-    for found, _, symbols in _windows(texts):
-        own, at, n = np.unique(found, return_index=True, return_counts=True)
-        names = np.ascontiguousarray(symbols[at]).astype("<u4").view(f"<U{ORDER}")[:, 0]
-        both = np.concatenate([hashes, own])
-        hashes, first, back = np.unique(both, return_index=True, return_inverse=True)
-        counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
-        grams = np.concatenate([grams, names])[first]
-    del hashes
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, f"<U{ORDER}"), np.zeros(0, np.int64))]
+    for found, _, places, codes in _windows(texts):
+        order = np.argsort(found)
+        found = found[order]
+        starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][: len(found)])
+        symbols = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[places[order[starts]]]
+        names = np.ascontiguousarray(symbols).astype("<u4").view(f"<U{ORDER}")[:, 0]
+        parts.append((found[starts], names, np.diff(starts, append=len(found))))
+        # What is merged at least doubles what is held, so an n-gram is sorted a few times only.
+        if sum(len(p[0]) for p in parts[1:]) > len(parts[0][0]):
+            parts = [_merged(parts)]
+    _, grams, counts = _merged(parts)
+    del parts
     symbols = grams.view("<u4").reshape(-1, ORDER)
     head, tail = np.zeros(len(grams), np.uint64), np.zeros(len(grams), np.uint64)
     for k in range(ORDER):
@@ -130,6 +152,14 @@ def _distinct(texts: Iterable[str]) -> tuple[list[str], np.ndarray]:
     return grams[in_order].tolist(), counts[in_order]
 
 
+def _gram_batches(grams: list[str], **columns: pa.Array | str | int | np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Record batches of n-grams with other columns, some rows at a time; a single value stands in every row."""
+    for start in range(0, len(grams), _ROWS_AT_ONCE):
+        part = pa.array(grams[start : start + _ROWS_AT_ONCE], pa.string())
+        others = {k: pa.array(v[start : start + _ROWS_AT_ONCE]) if isinstance(v, np.ndarray) else pa.repeat(v, len(part)) for k, v in columns.items()}
+        yield pa.RecordBatch.from_pydict({**others, "gram": part})
+
+
 def _unpacked(payload: pa.BinaryScalar) -> pa.Table:
     return pa.ipc.open_stream(payload.as_buffer()).read_all()
 
@@ -138,7 +168,7 @@ class _Texts:
     """Some texts of a block, each made a string when it is its turn."""
 
     def __init__(self, column: pa.ChunkedArray, at: np.ndarray):
-        self.column, self.at = column.combine_chunks(), at
+        self.column, self.at = column, at
 
     def __len__(self) -> int:
         return len(self.at)
@@ -149,7 +179,6 @@ class _Texts:
 
 def _by_language(rows: pa.Table) -> Iterator[tuple[str, np.ndarray, _Texts]]:
     """(language, numbers of rows, texts)."""
-    rows = rows.combine_chunks()
     langs = np.array(rows.column("lang").to_pylist(), object)
     for lang in sorted(set(langs)):
         at = np.flatnonzero(langs == lang)
@@ -168,6 +197,25 @@ def _keys(grams: pa.ChunkedArray) -> np.ndarray:
     return keys
 
 
+class _Places:
+    """Places of given hashes among sorted distinct ones, found from the leading bits instead of by bisection."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Every hash must be among the keys."""
+        at = self.starts[hashes >> self.shift]
+        missed = np.flatnonzero(self.keys[at] != hashes)
+        while len(missed):
+            at[missed] += 1
+            missed = missed[self.keys[at[missed]] != hashes[missed]]
+        return at
+
+
 def _buckets(spark: SparkSession) -> int:
     """As many buckets as a shuffle has partitions, within Spark's limit for them."""
     return min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
@@ -246,11 +294,9 @@ def count_trusted(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
                 rows = rows.filter(pa.array(wanted.reshape(-1)[: rows.num_rows]))
                 for lang, _, texts in _by_language(rows):
                     grams, counts = _distinct(texts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts)], ["lang", "gram", "n"]
-                    )
+                    yield from _gram_batches(grams, lang=lang, n=counts)
 
-    counts = blocks.join(chosen, "block").select("payload", "chosen").mapInArrow(run, "lang string, gram string, n long")
+    counts = blocks.join(chosen, "block").select("payload", "chosen").mapInArrow(run, "lang string, n long, gram string")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -348,15 +394,12 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], entr
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for lang, _, texts in _by_language(_unpacked(payload)):
                     grams, _ = _distinct(texts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block] * len(grams), pa.int64()), pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())],
-                        ["block", "lang", "gram"],
-                    )
+                    yield from _gram_batches(grams, block=block, lang=lang)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, langs, sizes, results, digests = [], [], [], [], []
         for payload in left.column("payload"):
-            rows = _unpacked(payload).combine_chunks()
+            rows = _unpacked(payload)
             chars, perplexity = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, np.nan)
             for lang, at, texts in _by_language(rows):
                 mine = right.filter(pc.equal(right.column("lang"), lang))
@@ -364,11 +407,12 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], entr
                 del mine
                 by_key = np.argsort(keys)
                 keys, logs = keys[by_key], logs[by_key]
+                places = _Places(keys) if len(keys) else None
                 total, n = np.zeros(len(texts)), np.zeros(len(texts))
-                for hashes, owner, _ in _windows(texts):
+                for hashes, owner, _, _ in _windows(texts):
                     n += np.bincount(owner, minlength=len(texts))
-                    if len(keys):
-                        total += np.bincount(owner, logs[np.searchsorted(keys, hashes)], minlength=len(texts))
+                    if places:
+                        total += np.bincount(owner, logs[places.of(hashes)], minlength=len(texts))
                 chars[at] = n
                 if len(keys):
                     perplexity[at] = np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan)

@@ -2,6 +2,7 @@ import math
 import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -139,3 +140,19 @@ def test_texts_of_a_block_are_strings_in_turn():
         tracemalloc.stop()
     assert seen == {k: (list(range(i, 400, 2)), sum(map(len, texts[i::2]))) for k, i in (("en", 0), ("de", 1))}
     assert peak < rows.nbytes / 8
+
+
+def test_a_block_is_not_copied():
+    """Neither the whole block nor the texts of a language stand a second time in a worker's memory."""
+    rows = pa.concat_tables([pa.table({"lang": ["en", "de"] * 50, "text": ["ab cd ef " * 1000] * 100})] * 3)
+    before, most = pa.total_allocated_bytes(), 0
+    for _, _, texts in px._by_language(rows):
+        for _ in texts:
+            most = max(most, pa.total_allocated_bytes() - before)
+    assert most < rows.nbytes / 8
+
+
+def test_places_of_hashes():
+    keys = np.unique(np.r_[np.arange(5, dtype=np.uint64), np.uint64(2**64 - 1), np.random.default_rng(7).integers(0, 2**64, 2000, np.uint64)])
+    for some in (keys, keys[:1], keys[-1:]):
+        assert px._Places(some).of(some[::-1]).tolist() == list(range(len(some)))[::-1]
