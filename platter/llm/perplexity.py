@@ -164,25 +164,40 @@ def _unpacked(payload: pa.BinaryScalar) -> pa.Table:
     return pa.ipc.open_stream(payload.as_buffer()).read_all()
 
 
+class _Block:
+    """The rows of a payload, unpacked a record batch at a time whenever they are read."""
+
+    def __init__(self, payload: pa.BinaryScalar):
+        self.payload = payload
+
+    def to_batches(self) -> Iterator[pa.RecordBatch]:
+        return iter(pa.ipc.open_stream(self.payload.as_buffer()))
+
+
 class _Texts:
     """Some texts of a block, each made a string when it is its turn."""
 
-    def __init__(self, column: pa.ChunkedArray, at: np.ndarray):
-        self.column, self.at = column, at
+    def __init__(self, rows: pa.Table | _Block, at: np.ndarray):
+        self.rows, self.at = rows, at
 
     def __len__(self) -> int:
         return len(self.at)
 
     def __iter__(self) -> Iterator[str]:
-        return (self.column[i].as_py() for i in self.at.tolist())
+        start = 0
+        for batch in self.rows.to_batches():
+            own = self.at[slice(*np.searchsorted(self.at, [start, start + batch.num_rows]))] - start
+            texts = batch.column("text")
+            yield from (texts[i].as_py() for i in own.tolist())
+            start += batch.num_rows
 
 
-def _by_language(rows: pa.Table) -> Iterator[tuple[str, np.ndarray, _Texts]]:
+def _by_language(rows: pa.Table | _Block) -> Iterator[tuple[str, np.ndarray, _Texts]]:
     """(language, numbers of rows, texts)."""
-    langs = np.array(rows.column("lang").to_pylist(), object)
+    langs = np.array([lang for batch in rows.to_batches() for lang in batch.column("lang").to_pylist()], object)
     for lang in sorted(set(langs)):
         at = np.flatnonzero(langs == lang)
-        yield lang, at, _Texts(rows.column("text"), at)
+        yield lang, at, _Texts(rows, at)
 
 
 def _keys(grams: pa.ChunkedArray) -> np.ndarray:
@@ -392,19 +407,23 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], entr
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for lang, _, texts in _by_language(_unpacked(payload)):
+                for lang, _, texts in _by_language(_Block(payload)):
                     grams, _ = _distinct(texts)
                     yield from _gram_batches(grams, block=block, lang=lang)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, langs, sizes, results, digests = [], [], [], [], []
         for payload in left.column("payload"):
-            rows = _unpacked(payload)
-            chars, perplexity = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, np.nan)
+            rows = _Block(payload)
+            for batch in rows.to_batches():
+                ids.append(batch.column("_id"))
+                langs.append(batch.column("lang"))
+                digests += [hashlib.md5(t.as_buffer()).digest() for t in batch.column("text")]
+            size = len(digests) - sum(map(len, sizes))
+            chars, perplexity = np.zeros(size, np.int64), np.full(size, np.nan)
             for lang, at, texts in _by_language(rows):
-                mine = right.filter(pc.equal(right.column("lang"), lang))
-                keys, logs = _keys(mine.column("gram")), mine.column("logp").to_numpy()
-                del mine
+                mine = pc.equal(right.column("lang"), lang)
+                keys, logs = _keys(right.column("gram").filter(mine)), right.column("logp").filter(mine).to_numpy()
                 by_key = np.argsort(keys)
                 keys, logs = keys[by_key], logs[by_key]
                 places = _Places(keys) if len(keys) else None
@@ -416,9 +435,6 @@ def score(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], entr
                 chars[at] = n
                 if len(keys):
                     perplexity[at] = np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan)
-            digests += [hashlib.md5(t.as_buffer()).digest() for t in rows.column("text")]
-            ids.append(rows.column("_id").combine_chunks())
-            langs.append(rows.column("lang").combine_chunks())
             sizes.append(chars)
             results.append(perplexity)
         return pa.table(
