@@ -63,10 +63,17 @@ def _drain(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def _files(spark: SparkSession, source: str, schema: T.StructType, files_per_batch: int | None) -> DataFrame:
+def _files(
+    spark: SparkSession, source: str, schema: T.StructType, files_per_batch: int | None, bytes_per_batch: int | None = None
+) -> DataFrame:
+    """Files of a source; a micro-batch takes so many of them, or as many as have that size together and one at least."""
     reader = spark.readStream.schema(schema)
+    if files_per_batch and bytes_per_batch:
+        raise ValueError("a micro-batch is bounded by files or by bytes, not by both")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(source)
 
 
@@ -184,6 +191,7 @@ def stream_ingest(
     collection: str,
     model: str,
     files_per_batch: int | None = None,
+    bytes_per_batch: int | None = None,
 ) -> DataFrame:
     """Ingest new batch files as vector points; returns the current point table.
 
@@ -209,7 +217,7 @@ def stream_ingest(
         tables.replace_table(points, f"{root}/points/arrival={number}")
 
     query = (
-        _files(spark, source, schema, files_per_batch)
+        _files(spark, source, schema, files_per_batch, bytes_per_batch)
         .writeStream.foreachBatch(take)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)

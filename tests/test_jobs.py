@@ -282,6 +282,17 @@ def test_stream_embed_resumes(spark, tmp_path):
     assert table.filter("review_id = 41").first()["embedding"] == [7.0, 1.0]
 
 
+def test_stream_ingest_takes_small_files_together(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "review_id bigint, comment string, batch int"
+    rows = spark.createDataFrame([(i, "a" * i, i % 6) for i in range(1, 25)], schema).coalesce(1)
+    rows.write.partitionBy("batch").parquet(source)
+    for limit, arrivals in ((1 << 20, 1), (1, 6)):
+        root = str(tmp_path / f"root{limit}")
+        points = jobs.stream_ingest(spark, source, rows.schema, root, lengths, 2, "reviews", "m", bytes_per_batch=limit)
+        assert {r["review_id"]: r["embedding"][0] for r in points.collect()} == {i: float(i) for i in range(1, 25)}
+        assert len([n for n in tables.names(spark, f"{root}/points") if n.startswith("arrival=")]) == arrivals
+
+
 def test_stream_ingest(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "root")
     schema = "review_id bigint, comment string, batch int"
