@@ -245,6 +245,8 @@ WORDS = 4
 DEVIATIONS = 5
 # Of a node's candidates in a shard, nearest first, how many have been tried after each round.
 TRIED = (1, 16, None)
+# A set's shingles are counted in so many buckets; the counts bound what two sets have in common.
+BUCKETS = 128
 _rng = np.random.default_rng(20240102)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -282,17 +284,38 @@ def _pieces(members: DataFrame, total: int) -> DataFrame:
     return written(paired.select("shard", one, other, "_piece", "node", "print"), "shard-members")
 
 
+def _counts(grams: np.ndarray) -> bytes:
+    """How many of the distinct hashes fall into each bucket, at most 255."""
+    found = np.bincount((grams % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return np.minimum(found, 255).astype(np.uint8).tobytes()
+
+
+def _can_reach(similarity: float, sizes: np.ndarray, counts: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Whether set i and others can have this Jaccard similarity: never False for two sets that have it.
+
+    What two counts of a bucket differ by is in one set only, and no more than that is left of it at most 255.
+    """
+    apart = (np.maximum(counts[others], counts[i]) - np.minimum(counts[others], counts[i])).sum(axis=1, dtype=np.int64)
+    both = sizes[others] + sizes[i]
+    common = (both - apart) // 2
+    return common / np.maximum(both - common, 1) >= similarity
+
+
 def _shingle_sets(texts: DataFrame, groups: DataFrame, pieces: DataFrame, shingle: int) -> DataFrame:
-    """(node, grams): the shingle hashes of the nodes that share a shard with others; one text (_text) is read for each node."""
+    """(node, grams, counts): the shingle hashes of the nodes that share a shard with others, and how many fall into each
+    bucket; one text (_text) is read for each node."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        grams = [np.unique(_shingle_hashes(text, shingle, SEED)).view(np.int64) for text in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"])
+        grams = [np.unique(_shingle_hashes(text, shingle, SEED)) for text in batch.column(1).to_pylist()]
+        columns = [
+            batch.column(0), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())), pa.array([_counts(g) for g in grams], pa.binary())
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["node", "grams", "counts"])
 
     wanted = groups.select("node", "_digest").join(pieces.select("node").distinct(), "node", "left_semi")
     # Copies are combined inside the tasks, so a text with many sends a row per task.
     one_each = texts.groupBy(F.unhex(F.md5("_text")).alias("_digest")).agg(F.min("_text").alias("_text"))
-    return written(one_each.join(wanted, "_digest").select("node", "_text").mapInArrow(by_batch(run), "node long, grams array<long>"), "shingle-sets")
+    return written(one_each.join(wanted, "_digest").select("node", "_text").mapInArrow(by_batch(run), "node long, grams array<long>, counts binary"), "shingle-sets")
 
 
 def _candidates(prints: np.ndarray, piece: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -306,11 +329,11 @@ def _candidates(prints: np.ndarray, piece: np.ndarray, radius: int) -> Iterator[
         yield i, others, away[others]
 
 
-def _proposals(radius: int, start: int, until: int | None):
+def _proposals(radius: int, similarity: float, start: int, until: int | None):
     """A mapInArrow function from the members of pairs of pieces to pairs of nodes (a, b) to be verified.
 
     Of each member the candidates from number `start` to number `until`, nearest first, if they have
-    other labels. A row without a pair says that candidates with other labels are left for the next round.
+    other labels and can reach the similarity. A row without a pair says that such candidates are left for the next round.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,10 +341,11 @@ def _proposals(radius: int, start: int, until: int | None):
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
             for key, members in zip(keys, batch.column(3)):
                 fields = members.values
-                nodes, piece, labels = (fields.field(name).to_numpy() for name in ("node", "_piece", "label"))
+                nodes, piece, labels, sizes = (fields.field(name).to_numpy() for name in ("node", "_piece", "label", "size"))
                 by_node = np.argsort(nodes)
-                nodes, piece, labels = nodes[by_node], piece[by_node], labels[by_node]
+                nodes, piece, labels, sizes = nodes[by_node], piece[by_node], labels[by_node], sizes[by_node]
                 prints = np.frombuffer(b"".join(fields.field("print").to_pylist()), np.uint64).reshape(-1, WORDS)[by_node]
+                counts = np.frombuffer(b"".join(fields.field("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)[by_node]
                 if key[1] != key[2] and len(np.unique(piece)) < 2:
                     continue
                 a, b, left = [], [], False
@@ -331,7 +355,9 @@ def _proposals(radius: int, start: int, until: int | None):
                     others = others[np.argsort(away, kind="stable")]
                     foreign = labels[others] != labels[i]
                     now = others[start:until][foreign[start:until]]
-                    left = left or (until is not None and bool(foreign[until:].any()))
+                    now = now[_can_reach(similarity, sizes, counts, i, now)]
+                    if until is not None and not left:
+                        left = bool(_can_reach(similarity, sizes, counts, i, others[until:][foreign[until:]]).any())
                     a.append(np.minimum(nodes[i], nodes[now]))
                     b.append(np.maximum(nodes[i], nodes[now]))
                 empty = np.zeros(0, np.int64)
@@ -363,7 +389,8 @@ def similar_texts(
     Similarity is Jaccard's over the sets of shingles. Texts are nodes by their set. Shards are bands of
     minimal shingle hashes; SimHash fingerprints of 256 bits within a wide radius pick the candidate
     pairs of a shard, and every link is a pair whose sets were compared. Candidates are tried nearest
-    first, in a few rounds; pairs that earlier rounds connected are left out. A shard with more than
+    first, in a few rounds; pairs that earlier rounds connected are left out, and so are pairs whose sets have
+    too little in common by the counts of their shingles. A shard with more than
     TREE_SIZE nodes is dealt into pieces, and every two pieces are searched together. Equal sets are
     always linked. Null texts count as empty, and all texts without words are alike. Null ids never
     name a component unless all its ids are null.
@@ -402,9 +429,10 @@ def similar_texts(
             pieces.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         )
         proposed = written(
-            labelled.groupBy("shard", "_one", "_other")
-            .agg(F.collect_list(F.struct("node", "_piece", "label", "print")).alias("members"))
-            .mapInArrow(_proposals(radius_for(similarity), tried, until), "shard long, _one long, _other long, a long, b long"),
+            labelled.join(sets.select("node", F.size("grams").cast("long").alias("size"), "counts"), "node")
+            .groupBy("shard", "_one", "_other")
+            .agg(F.collect_list(F.struct("node", "_piece", "label", "print", "size", "counts")).alias("members"))
+            .mapInArrow(_proposals(radius_for(similarity), similarity, tried, until), "shard long, _one long, _other long, a long, b long"),
             "candidate-pairs",
         )
         edges = written(_verified(proposed.filter("a IS NOT NULL").select("a", "b").distinct(), sets, similarity), "verified-pairs")

@@ -134,6 +134,35 @@ def test_links_are_exact(spark, monkeypatch, tree_size):
     assert 10 < sum(i != c for i, c in want.items()) < 50
 
 
+def test_only_pairs_that_can_be_alike_are_verified(spark, monkeypatch):
+    """One shard of texts that share half their words, all of them within the radius, and one pair of near copies."""
+    monkeypatch.setattr(simhash, "_bands", lambda hashes: [7])
+    monkeypatch.setattr(simhash, "radius_for", lambda similarity: 256)
+    compared, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: (compared.append(pairs.count()), verified(pairs, *rest))[1])
+    same = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join([*same, *(f"r{i}w{k}" for k in range(60))])) for i in range(80)]
+    rows.append((80, rows[3][1] + " more"))
+    got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 3 if i == 80 else i for i in range(81)}
+    assert sum(compared) < 100  # of 3,240 pairs
+
+
+def test_bound_loses_no_pair():
+    """Sets at and around the similarity, small and with more than 255 shingles in a bucket."""
+    rng = np.random.default_rng(9)
+    for size in (1, 3, 40, 400, 60000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        sets = [base] + [np.r_[base[: size - new], rng.integers(0, 1 << 63, new, dtype=np.uint64)] for new in sorted({0, size // 10, size // 9, size // 8, size // 5, size})]
+        sizes = np.array([len(np.unique(s)) for s in sets])
+        counts = np.frombuffer(b"".join(simhash._counts(np.unique(s)) for s in sets), np.uint8).reshape(-1, simhash.BUCKETS)
+        everyone = np.arange(len(sets))
+        for i in everyone:
+            common = np.array([len(np.intersect1d(sets[i], s)) for s in sets])
+            alike = common / (sizes + sizes[i] - common) >= 0.8
+            assert not (alike & ~simhash._can_reach(0.8, sizes, counts, i, everyone)).any()
+
+
 def test_similar_texts_edges(spark, edge_docs, edge_rows):
     got = simhash.similar_texts(edge_docs).collect()
     assert len(got) == len(edge_rows)
